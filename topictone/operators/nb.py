@@ -19,9 +19,10 @@ independent of partitioning.
 
 Plan: the token counts are one ``groupBy(token)`` with map-side partial
 aggregation (a frequent token is combined in every task before the shuffle).
-Scoring repartitions the texts once by their key; the token explode, the join
-with the weights (broadcast after a size check, otherwise salted on frequent
-tokens) and the per-text sum then run without another exchange.
+Scoring explodes the tokens, joins the weights (broadcast after a size check,
+otherwise a shuffle join salted on frequent tokens) and sums per text with
+map-side partial aggregation; the per-text sums are joined back to the texts
+on their unique key.
 """
 
 from __future__ import annotations
@@ -90,11 +91,11 @@ class NBModel(Scorer):
         generated = key_col is None
         if generated:
             df, key_col = with_row_key(df)
-        # One shuffle: the texts by key.  The explode, the (broadcast) weight
-        # join and the per-text sum keep that partitioning.
-        keyed = df.repartition(key_col)
-        per_text = self.logits(keyed, text_col, key_col)
-        out = keyed.join(per_text, key_col, "left")
+        # The explode, the (broadcast) weight join and the map-side partial sum
+        # run in the scan's tasks, so only (key, sum, count) per text is
+        # shuffled; the texts themselves are shuffled once, by the key join.
+        per_text = self.logits(df, text_col, key_col)
+        out = df.join(per_text, key_col, "left")
         z = self.z_expr()
         cols = [F.col(f"`{c}`") for c in df.columns if not (generated and c == key_col)]
         extra = []
@@ -119,7 +120,7 @@ class NBModel(Scorer):
         return NBModel(weights=spark.read.parquet(os.path.join(path, "weights")),
                        prior=int(meta["prior"]), vocab=int(meta["vocab"]),
                        normalise=meta["normalise"], temperature=float(meta["temperature"]),
-                       token_cfg=TokenConfig(int(meta["max_length"]), bool(meta["lowercase"])),
+                       token_cfg=TokenConfig(meta["max_length"], bool(meta["lowercase"])),
                        join_cfg=join_cfg)
 
 

@@ -309,3 +309,5 @@ ORACLES["topic_report"] = (
     f"{_report('res', 'source, lang')}\nSELECT * FROM rep")
 ORACLES["topic_report_events"] = _with_report("SELECT * FROM rep")
 ORACLES["global_topic"] = _events("SELECT * FROM res", topic="")
+# A saved and reloaded model scores exactly as the fitted one.
+ORACLES["nb_model_roundtrip"] = ORACLES["nb_score"]

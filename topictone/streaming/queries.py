@@ -1,4 +1,117 @@
-"""Registered streaming queries (filled in below)."""
+"""Registered streaming queries.
 
-STREAM_QUERIES: dict = {}
-STREAM_ORACLES: dict = {}
+Each one streams a given table from its data directory (file source,
+``availableNow``), writes to file sinks with checkpoints in the shared folder,
+and returns the sink read back as a DataFrame.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.scorers import ColumnScorer
+from ..operators.topics import topic_baselines
+from ..plans.model_queries import _hashed_fit
+from ..plans.oracles import ORACLES, _event_p, _three_way, _valid
+from ..plans.queries import event_probability
+from ..session import shared_path, write_shared
+from .scoring import adjust_stream, start_scoring_stream, windowed_baselines
+
+WINDOW = "1 hour"
+WATERMARK = "1 hour"
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A file stream over one table of the directory (other tables, with other
+    schemas, sit in the same folder; the glob filter selects this one)."""
+    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
+    return (spark.readStream.schema(schema)
+            .option("pathGlobFilter", f"{name}.parquet")
+            .option("maxFilesPerTrigger", 1)
+            .parquet(sf_dir))
+
+
+def _run_to_end(df: DataFrame, name: str) -> DataFrame:
+    spark = df.sparkSession
+    sink, ckpt = shared_path(spark, f"{name}-sink"), shared_path(spark, f"{name}-ckpt")
+    q = (df.writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start(sink))
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(sink)
+
+
+def _scoring(spark, sf_dir, name: str, table: str, text_col: str):
+    fit = _hashed_fit(spark, sf_dir)
+    stream = table_stream(spark, sf_dir, table)
+    sink, rejects, ckpt = (shared_path(spark, f"{name}-{k}") for k in ("sink", "rejects", "ckpt"))
+    streams = start_scoring_stream(stream, fit.model, text_col, sink=sink, rejects=rejects,
+                                   checkpoint=ckpt, source=table)
+    streams.await_all()
+    return sink, rejects
+
+
+def q_stream_score(spark, sf_dir):
+    """X1 + X2: documents arriving as a stream, scored by the Spark ML model."""
+    sink, _ = _scoring(spark, sf_dir, "stream-score", "documents", "text")
+    return spark.read.parquet(sink).select(
+        "doc_id", "source", "lang", "label", "sentiment", "confidence", "reply", "source_name")
+
+
+def q_stream_rejects(spark, sf_dir):
+    """Conversation turns without text go to the rejects sink."""
+    _, rejects = _scoring(spark, sf_dir, "stream-rejects", "conversations", "text")
+    schema = "conv_id bigint, turn bigint, role string, text string, reject_reason string"
+    return spark.read.schema(schema).parquet(rejects)
+
+
+def q_stream_topic_adjust(spark, sf_dir):
+    """Events stream adjusted with the baselines the batch job published."""
+    events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    scorer = ColumnScorer(event_probability())
+    published = write_shared(
+        topic_baselines(scorer.score(events.select("user_id", "value")), ["user_id"]),
+        "published-baselines")
+    stream = table_stream(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    return _run_to_end(adjust_stream(stream, published, ["user_id"], scorer), "stream-adjust")
+
+
+def q_stream_windowed_baseline(spark, sf_dir):
+    """Hourly baselines per event type, emitted after the watermark."""
+    stream = table_stream(spark, sf_dir, "events")
+    scored = ColumnScorer(event_probability()).score(stream.select("ts", "event_type", "value"))
+    out = _run_to_end(windowed_baselines(scored, "ts", WINDOW, WATERMARK, ["event_type"]),
+                      "stream-window")
+    fmt = "yyyy-MM-dd HH:mm:ss"
+    return out.select(F.date_format("window_start", fmt).alias("window_start"),
+                      F.date_format("window_end", fmt).alias("window_end"),
+                      "event_type", "n", "sum_p4", "baseline", "polarity")
+
+
+STREAM_QUERIES = {
+    "stream_score": q_stream_score,
+    "stream_rejects": q_stream_rejects,
+    "stream_topic_adjust": q_stream_topic_adjust,
+    "stream_windowed_baseline": q_stream_windowed_baseline,
+}
+
+_WINDOWED = f"""WITH
+sp AS (SELECT ts, event_type, {_event_p(False)} AS pos_prob FROM events),
+wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events),
+w AS (
+  SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ws, event_type, count(*) AS n,
+         CAST(sum(CAST(round(pos_prob * 10000.0::DOUBLE) AS BIGINT)) AS BIGINT) AS sum_p4
+  FROM sp GROUP BY ALL)
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start,
+       strftime(ws + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end,
+       event_type, n, sum_p4, CAST(sum_p4 AS DOUBLE) / (10000.0::DOUBLE * n) AS baseline,
+       {_three_way('CAST(sum_p4 AS DOUBLE) / (10000.0::DOUBLE * n)')} AS polarity
+FROM w, wm WHERE ws + INTERVAL 1 HOUR <= mark"""
+
+STREAM_ORACLES = {
+    "stream_rejects": f"""SELECT conv_id, turn, role, text,
+        CASE WHEN text IS NULL THEN 'null text' ELSE 'blank text' END AS reject_reason
+        FROM conversations WHERE NOT coalesce({_valid('text')}, false)""",
+    "stream_topic_adjust": ORACLES["topic_analysis_events_neg"],
+    "stream_windowed_baseline": _WINDOWED,
+}
