@@ -10,6 +10,7 @@ letters-and-digits run (the test tables contain no Han characters).
 
 from __future__ import annotations
 
+from ..config import PANDAS_NA
 from ..functions.text import STRIP_PATTERN, WHITESPACE_CLASS
 
 NONBLANK = WHITESPACE_CLASS.replace("[", "[^", 1)
@@ -311,3 +312,23 @@ ORACLES["topic_report_events"] = _with_report("SELECT * FROM rep")
 ORACLES["global_topic"] = _events("SELECT * FROM res", topic="")
 # A saved and reloaded model scores exactly as the fitted one.
 ORACLES["nb_model_roundtrip"] = ORACLES["nb_score"]
+
+# ------------------------------------------------------------- file I/O --
+
+NA_LIST = ", ".join("'" + v.replace("'", "''") + "'" for v in PANDAS_NA if v)
+CSV_DOCS = f"(SELECT * FROM documents WHERE text NOT IN ({NA_LIST}))"
+LINE_SPLIT = r"'\r\n|\r|\n'"
+
+ORACLES["csv_comments"] = (
+    f'SELECT doc_id, source, text AS "评论" FROM {CSV_DOCS} d WHERE {_valid("text")}')
+ORACLES["csv_topic_job"] = (
+    f"WITH {_docs_topic_ctes('quality', 'mean', ['source'], docs=CSV_DOCS)[1:]},"
+    f"{_report('res', 'source')}\nSELECT * FROM rep")
+ORACLES["csv_class_split"] = (
+    f"WITH {_docs_topic_ctes('quality', 'mean', ['source'], docs=CSV_DOCS)[1:]}\n"
+    "SELECT adj_sentiment AS adj_class, count(*) AS n FROM res GROUP BY 1")
+ORACLES["text_lines"] = f"""SELECT text FROM (
+    SELECT regexp_replace(unnest(regexp_split_to_array(text, {LINE_SPLIT})), '{STRIP_PATTERN}', '', 'g') AS text
+    FROM documents WHERE text IS NOT NULL) WHERE text <> ''"""
+ORACLES["labelled_lines"] = f"""SELECT regexp_replace(unnest(regexp_split_to_array(text, {LINE_SPLIT})), '{STRIP_PATTERN}', '', 'g') AS text,
+    1 AS label FROM benchmark WHERE text IS NOT NULL"""
