@@ -1,0 +1,59 @@
+"""Scoring with an external pre-trained model (M7).
+
+``pyspark.ml.functions.predict_batch_udf`` runs the model in Arrow batches of
+``batch_size`` texts; ``make_predict_fn`` is called once per Python worker,
+so the model is loaded once per worker, not per row or per batch.
+``make_predict_fn()`` must return a function ``texts (numpy object array) ->
+positive probabilities (numpy float array)``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .scorers import Scorer
+
+
+class ExternalScorer(Scorer):
+    expensive = True   # model inference: do not run it twice
+
+    def __init__(self, make_predict_fn: Callable, batch_size: int = 16):
+        from pyspark.ml.functions import predict_batch_udf
+        self.batch_size = batch_size
+        self._udf = predict_batch_udf(make_predict_fn, return_type=T.DoubleType(),
+                                      batch_size=batch_size)
+
+    def score(self, df, text_col, key_col=None, p_col="pos_prob"):
+        text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+        return df.withColumn(p_col, F.round(self._udf(text), 4))
+
+
+def sequence_classifier_fn(model_path: str, max_length: int = 128, device: str | None = None):
+    """``make_predict_fn`` for a saved sequence-classification model with its
+    tokenizer (two labels, index 1 positive).  Needs ``torch`` and
+    ``transformers`` on the executors; they are imported lazily."""
+
+    def make():
+        try:
+            import numpy as np
+            import torch
+            from transformers import AutoModelForSequenceClassification, AutoTokenizer
+        except ImportError as e:  # pragma: no cover - optional dependency
+            raise ImportError("sequence_classifier_fn needs torch and transformers") from e
+        dev = device or ("cuda" if torch.cuda.is_available() else "cpu")
+        tok = AutoTokenizer.from_pretrained(model_path)
+        model = AutoModelForSequenceClassification.from_pretrained(model_path).to(dev).eval()
+
+        def predict(texts):
+            enc = tok([str(t) for t in texts], padding=True, truncation=True,
+                      max_length=max_length, return_tensors="pt").to(dev)
+            with torch.no_grad():
+                probs = torch.softmax(model(**enc).logits, dim=-1).cpu().numpy()
+            return (probs[:, 1] if probs.shape[1] > 1 else probs[:, 0]).astype(np.float64)
+
+        return predict
+
+    return make
