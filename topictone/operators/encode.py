@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_JOIN, DEFAULT_TOKENS, JoinConfig, TokenConfig
 from ..functions.text import tokens
+from ..session import spread
 
 PAD_ID = 0
 UNK_ID = 1
@@ -26,7 +27,7 @@ def build_vocabulary(df: DataFrame, text_col: str, *, vocab_size: int, min_count
     per-partition top-k merged by Spark (``orderBy().limit()``), and only the
     bounded result is numbered.
     """
-    counts = (df.select(F.explode(tokens(text_col, token_cfg)).alias("token"))
+    counts = (spread(df.select(text_col)).select(F.explode(tokens(text_col, token_cfg)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
               .filter(F.col("n") >= F.lit(min_count)))
     top = counts.orderBy(F.col("n").desc(), F.col("token").asc()).limit(vocab_size)
@@ -51,7 +52,8 @@ def encode_fixed(df: DataFrame, vocabulary: DataFrame, text_col: str, key_col: s
         raise ValueError("fixed-length encoding needs token_cfg.max_length")
     if vocab_size > join_cfg.broadcast_max_rows:
         raise ValueError("vocabulary too large to broadcast; lower vocab_size")
-    toks = (df.select(key_col, *carry, tokens(text_col, token_cfg).alias("__tt_toks"))
+    toks = (spread(df.select(key_col, *carry, text_col))
+            .select(key_col, *carry, tokens(text_col, token_cfg).alias("__tt_toks"))
             .repartition(key_col))
     exploded = toks.select(key_col, *carry,
                            F.posexplode_outer("__tt_toks").alias("__tt_pos", "token"))

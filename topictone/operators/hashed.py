@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_TOKENS, TokenConfig
 from ..functions.text import TOKEN_PATTERN
+from ..session import spread
 from .predict import accuracy
 from .scorers import Scorer
 
@@ -57,7 +58,7 @@ class HashedModel(Scorer):
 
     def score(self, df: DataFrame, text_col: str, key_col: str | None = None,
               p_col: str = "pos_prob") -> DataFrame:
-        out = self.model.transform(df.withColumn(TEXT, F.col(f"`{text_col}`")))
+        out = self.model.transform(spread(df).withColumn(TEXT, F.col(f"`{text_col}`")))
         p = F.round(vector_to_array(F.col(PROB)).getItem(1), 4)
         return out.withColumn(p_col, p).drop(*INTERNAL)
 
@@ -76,15 +77,15 @@ class HashedFit:
 
 
 def fit_hashed(train: DataFrame, eval_df: DataFrame, text_col: str, label_col: str, *,
-               num_features: int = 1 << 18, reg_grid=(0.0, 0.01, 0.1), max_iter: int = 50,
+               num_features: int = 1 << 18, reg_grid=(0.0, 0.01, 0.1), max_iter: int = 30,
                token_cfg: TokenConfig = DEFAULT_TOKENS) -> HashedFit:
     """M1 + M8: fit one logistic regression per ``regParam`` on ``train`` and keep
     the one with the best accuracy on ``eval_df`` (ties: the smaller value)."""
     spark = train.sparkSession
     lab = F.col(f"`{label_col}`").cast("double")
-    tr = train.select(F.col(f"`{text_col}`").alias(TEXT), lab.alias("__tt_label")) \
+    tr = spread(train).select(F.col(f"`{text_col}`").alias(TEXT), lab.alias("__tt_label")) \
         .filter(F.col("__tt_label").isin(0.0, 1.0))
-    ev = eval_df.select(F.col(f"`{text_col}`").alias(TEXT), lab.alias("__tt_label")) \
+    ev = spread(eval_df).select(F.col(f"`{text_col}`").alias(TEXT), lab.alias("__tt_label")) \
         .filter(F.col("__tt_label").isin(0.0, 1.0))
     feat = Pipeline(stages=featurizer(num_features, token_cfg)).fit(tr)
     # Features are read once per L-BFGS iteration: keep them on the executors

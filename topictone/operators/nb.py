@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_JOIN, DEFAULT_TOKENS, JoinConfig, TokenConfig
 from ..functions.text import tokens
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .joins import TableSize, attach, measure
 from .scorers import Scorer, with_row_key
 
@@ -70,7 +70,8 @@ class NBModel(Scorer):
     def logits(self, df: DataFrame, text_col: str, key_col: str) -> DataFrame:
         """``key_col, z, n_tokens`` per text (texts without tokens included
         when ``df`` is joined back; here only texts with tokens appear)."""
-        toks = df.select(key_col, F.explode(tokens(text_col, self.token_cfg)).alias("token"))
+        texts = spread(df.select(key_col, text_col))
+        toks = texts.select(key_col, F.explode(tokens(text_col, self.token_cfg)).alias("token"))
         side = self.weight_side()
         if self._size is None:
             self._size = measure(side)
@@ -128,8 +129,8 @@ def token_counts(df: DataFrame, text_col: str, label_col: str,
                  token_cfg: TokenConfig = DEFAULT_TOKENS) -> DataFrame:
     """``token, n0, n1``: occurrences of each token in label-0 / label-1 rows."""
     lab = F.col(label_col).cast("int")
-    t = df.filter(lab.isin(0, 1)).select(
-        lab.alias("__tt_label"), F.explode(tokens(text_col, token_cfg)).alias("token"))
+    t = spread(df.filter(lab.isin(0, 1)).select(lab.alias("__tt_label"), text_col)).select(
+        "__tt_label", F.explode(tokens(text_col, token_cfg)).alias("token"))
     return t.groupBy("token").agg(
         F.count_if(F.col("__tt_label") == 0).alias("n0"),
         F.count_if(F.col("__tt_label") == 1).alias("n1"))

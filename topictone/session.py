@@ -55,14 +55,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder and
+    continue from the files (lineage cut, computed once).
 
-    A reliable checkpoint survives the loss of executors (unlike a local
-    checkpoint or a cache, whose blocks live on executors).
+    Files on the shared file system survive the loss of executors, unlike a
+    local checkpoint or cached blocks.  (A reliable ``Dataset.checkpoint``
+    would compute an uncached plan twice: once for its action, once to write.)
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return write_shared(df, name)
 
 
 def write_shared(df: DataFrame, name: str) -> DataFrame:
@@ -70,3 +71,18 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over the cluster before CPU-heavy per-row work
+    (tokenising, model inference) when it comes from fewer input files than
+    the cluster has task slots, e.g. one large unsplittable file or one
+    parquet row group.  A table stored in many files (the normal case at
+    scale) is returned unchanged, so no shuffle is added there."""
+    if df.isStreaming:
+        return df   # a stream's micro-batches are partitioned by its source
+    target = partitions or df.sparkSession.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= target:
+        return df
+    return df.repartition(target)
