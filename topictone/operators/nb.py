@@ -67,19 +67,29 @@ class NBModel(Scorer):
         return self.weights.select(
             "token", "k", (F.col("n0") + F.col("n1")).alias("__tt_tok_n"))
 
-    def logits(self, df: DataFrame, text_col: str, key_col: str) -> DataFrame:
-        """``key_col, z, n_tokens`` per text (texts without tokens included
-        when ``df`` is joined back; here only texts with tokens appear)."""
-        texts = spread(df.select(key_col, text_col))
-        toks = texts.select(key_col, F.explode(tokens(text_col, self.token_cfg)).alias("token"))
+    def logits(self, df: DataFrame, text_col: str, key_col: str,
+               carry: tuple[str, ...] = ()) -> DataFrame:
+        """``key_col, *carry, __tt_ksum, __tt_ntok`` for every text (a text
+        without tokens has one row with sum 0 and no tokens).  ``carry``
+        columns must be functionally dependent on the key (e.g. its topic)."""
+        texts = spread(df.select(key_col, *carry, text_col))
+        toks = texts.select(key_col, *carry,
+                            F.explode_outer(tokens(text_col, self.token_cfg)).alias("token"))
         side = self.weight_side()
         if self._size is None:
             self._size = measure(side)
         joined = attach(toks, side, ["token"], how="left", null_safe=False,
                         count_col="__tt_tok_n", cfg=self.join_cfg, size=self._size)
-        return joined.groupBy(key_col).agg(
+        return joined.groupBy(key_col, *carry).agg(
             F.sum(F.coalesce(F.col("k"), F.lit(0))).alias("__tt_ksum"),
-            F.count(F.lit(1)).alias("__tt_ntok"))
+            F.count("token").alias("__tt_ntok"))
+
+    def score_keys(self, df: DataFrame, text_col: str, key_col: str,
+                   carry: tuple[str, ...] = (), p_col: str = "pos_prob") -> DataFrame:
+        """``key_col, *carry, p_col`` without joining back to the texts: a
+        small table (no text), used to materialise scores cheaply."""
+        per_text = self.logits(df, text_col, key_col, tuple(carry))
+        return per_text.select(key_col, *carry, sigmoid_p(self.z_expr()).alias(p_col))
 
     def z_expr(self):
         ksum = F.coalesce(F.col("__tt_ksum"), F.lit(0))

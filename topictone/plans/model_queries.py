@@ -63,7 +63,19 @@ def q_nb_model_roundtrip(spark, sf_dir):
     return loaded.score(docs, "text", "doc_id", keep_z=True).drop("text")
 
 
+def q_training_metrics(spark, sf_dir):
+    """D1-D5 + M2 + M8 + M9: the labelled union (documents with labels,
+    benchmark passages as positives, conversation turns as negatives), a keyed
+    split, NB fitted on train, variant chosen on eval, accuracy per split."""
+    from .queries import q_labelled_union
+    from .training import train
+    trained = train(q_labelled_union(spark, sf_dir).select("text", "label"),
+                    kind="nb", token_cfg=WHOLE_TEXT)
+    return trained.metrics.withColumn("variant", F.lit(trained.choice))
+
+
 MODEL_QUERIES = {
+    "training_metrics": q_training_metrics,
     "hashed_score": q_hashed_score,
     "hashed_best_model": q_hashed_best_model,
     "hashed_topic_analysis": q_hashed_topic_analysis,

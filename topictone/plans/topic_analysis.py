@@ -1,6 +1,7 @@
 """The topic analysis as one Spark plan.
 
-    valid comments -> score -> [materialise if the scorer is expensive]
+    valid comments -> score -> [an expensive scorer: materialise only
+         (key, topic, p), then join p back to the comments on the key]
       -> baselines (groupBy topic, partial + final aggregation; materialised,
          it is small: one row per topic)
       -> attach baselines to rows (broadcast after a size check, else a
@@ -55,10 +56,20 @@ def analyze_topics(df: DataFrame, scorer: Scorer, text_col: str | None,
         valid = df.filter(is_valid_text(text_col))
     else:
         valid = df
-    scored = scorer.score(valid, text_col, key_col)
-    if materialize if materialize is not None else scorer.expensive:
-        scored = cut_lineage(scored)
-    baselines = cut_lineage(topic_baselines(scored, topic_cols, cfg))
+    expensive = materialize if materialize is not None else scorer.expensive
+    if expensive and key_col is not None and hasattr(scorer, "score_keys"):
+        # Materialise only (key, topic, p) -- small, no text -- then put p back
+        # on the comments with one join on the unique key.
+        keyed = cut_lineage(scorer.score_keys(valid, text_col, key_col, tuple(topic_cols)),
+                            "scores")
+        baselines = cut_lineage(topic_baselines(keyed, topic_cols, cfg), "baselines")
+        scored = valid.join(keyed.select(key_col, "pos_prob"), key_col, "inner") \
+            .select(*[F.col(f"`{c}`") for c in valid.columns], "pos_prob")
+    else:
+        scored = scorer.score(valid, text_col, key_col)
+        if expensive:
+            scored = cut_lineage(scored, "scored")
+        baselines = cut_lineage(topic_baselines(scored, topic_cols, cfg), "baselines")
     result = adjust(scored, baselines, topic_cols, cfg, join_cfg)
     if keep_invalid and text_col is not None:
         invalid = df.filter(~is_valid_text(text_col) | F.col(text_col).isNull())
