@@ -146,3 +146,19 @@ def test_encoding(spark):
     assert enc[1]["attention_mask"] == [1, 1, 1, 1, 0, 0, 0, 0]
     assert enc[2]["input_ids"] == [0] * 8 and enc[2]["n_real"] == 0
     assert enc[3]["input_ids"] == [2, 3] * 4
+
+
+def test_nb_salted_weight_join_matches_broadcast(spark):
+    """Past the broadcast limits the weights are joined by a shuffle salted on
+    frequent tokens; scores must not change."""
+    from topictone.config import JoinConfig
+    train = spark.createDataFrame(TRAIN, "text string, label int")
+    model = fit_nb(train, "text", "label")
+    tiny = fit_nb(train, "text", "label", join_cfg=JoinConfig(0, 0, 1))
+    texts = [(i, t) for i, (t, _) in enumerate(TRAIN * 5)] + [(999, ""), (1000, None)]
+    df = spark.createDataFrame(texts, "id bigint, text string")
+    a = sorted(tuple(r) for r in model.score(df, "text", "id", keep_z=True).collect())
+    scored = tiny.score(df, "text", "id", keep_z=True)
+    assert "__tt_salt" in scored._jdf.queryExecution().executedPlan().toString()
+    b = sorted(tuple(r) for r in scored.collect())
+    assert a == b
