@@ -9,6 +9,7 @@ aggregations over the partitions).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -78,7 +79,7 @@ class HashedFit:
 
 def fit_hashed(train: DataFrame, eval_df: DataFrame, text_col: str, label_col: str, *,
                num_features: int = 1 << 18, reg_grid=(0.0, 0.01, 0.1), max_iter: int = 30,
-               token_cfg: TokenConfig = DEFAULT_TOKENS) -> HashedFit:
+               token_cfg: TokenConfig = DEFAULT_TOKENS, parallelism: int = 3) -> HashedFit:
     """M1 + M8: fit one logistic regression per ``regParam`` on ``train`` and keep
     the one with the best accuracy on ``eval_df`` (ties: the smaller value)."""
     spark = train.sparkSession
@@ -92,16 +93,21 @@ def fit_hashed(train: DataFrame, eval_df: DataFrame, text_col: str, label_col: s
     # (recomputable from lineage if an executor is lost).
     tr_f = feat.transform(tr).select(FEATURES, "__tt_label").persist(StorageLevel.MEMORY_AND_DISK)
     ev_f = feat.transform(ev).select(FEATURES, "__tt_label").persist(StorageLevel.MEMORY_AND_DISK)
+    def fit_one(reg: float):
+        lr = LogisticRegression(featuresCol=FEATURES, labelCol="__tt_label", regParam=reg,
+                                maxIter=max_iter, rawPredictionCol=RAW,
+                                probabilityCol=PROB, predictionCol=PRED)
+        m = lr.fit(tr_f)
+        acc = accuracy(m.transform(ev_f), "__tt_label", PRED).first()
+        return (float(reg), int(acc["n"]), int(acc["correct"]),
+                float(acc["accuracy"]) if acc["n"] else 0.0, m)
+
     try:
-        results = []
-        for reg in reg_grid:
-            lr = LogisticRegression(featuresCol=FEATURES, labelCol="__tt_label", regParam=reg,
-                                    maxIter=max_iter, rawPredictionCol=RAW,
-                                    probabilityCol=PROB, predictionCol=PRED)
-            m = lr.fit(tr_f)
-            acc = accuracy(m.transform(ev_f), "__tt_label", PRED).first()
-            results.append((float(reg), int(acc["n"]), int(acc["correct"]),
-                            float(acc["accuracy"]) if acc["n"] else 0.0, m))
+        # Each L-BFGS iteration is a small job; fitting the grid points
+        # concurrently (as Spark ML's tuning classes do with ``parallelism``)
+        # keeps the cluster's task slots busy.
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(reg_grid)))) as pool:
+            results = list(pool.map(fit_one, reg_grid))
     finally:
         tr_f.unpersist()
         ev_f.unpersist()
