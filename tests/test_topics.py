@@ -181,3 +181,22 @@ def test_output_name_clash_raises(spark):
     df = spark.createDataFrame([("a", 1, .5, .1)], "topic string, id bigint, p double, adj_factor double")
     with pytest.raises(ValueError, match="adj_factor"):
         analyze_topics(df, ColumnScorer("p"), None, ["topic"], "id")
+
+
+def test_blank_in_the_middle_does_not_shift_results(spark):
+    """Each score stays on its own row; blanks are dropped, not misaligned."""
+    from topictone.operators.nb import fit_nb
+    train = spark.createDataFrame([("good nice", 1), ("great good", 1), ("bad awful", 0),
+                                   ("awful terrible", 0)], "text string, label int")
+    model = fit_nb(train, "text", "label")
+    rows = [(1, "good nice", "a"), (2, "   ", "a"), (3, None, "a"), (4, "awful bad", "a"),
+            (5, "great", "a")]
+    df = spark.createDataFrame(rows, "id bigint, text string, topic string")
+    res = {r["id"]: r for r in analyze_topics(df, model, "text", ["topic"], "id").result.collect()}
+    assert set(res) == {1, 4, 5}
+    assert res[1]["pos_prob"] > .5 and res[4]["pos_prob"] < .5 and res[5]["pos_prob"] > .5
+    alone = model.score(df.filter("id = 4"), "text", "id").first()["pos_prob"]
+    assert res[4]["pos_prob"] == alone
+    kept = analyze_topics(df, model, "text", ["topic"], "id", keep_invalid=True).result
+    k = {r["id"]: r for r in kept.collect()}
+    assert set(k) == {1, 2, 3, 4, 5} and k[2]["adj_sentiment"] is None and k[3]["pos_prob"] is None

@@ -332,3 +332,14 @@ ORACLES["text_lines"] = f"""SELECT text FROM (
     FROM documents WHERE text IS NOT NULL) WHERE text <> ''"""
 ORACLES["labelled_lines"] = f"""SELECT regexp_replace(unnest(regexp_split_to_array(text, {LINE_SPLIT})), '{STRIP_PATTERN}', '', 'g') AS text,
     1 AS label FROM benchmark WHERE text IS NOT NULL"""
+
+ORACLES["encoded_training_set"] = f"""WITH {VOCAB[1:]},
+    toks AS (SELECT l.doc_id, l.quality AS label, {_toks('d.text', 128)} AS t
+             FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+    ex AS (SELECT doc_id, unnest(t) AS token, unnest(generate_series(1, len(t))) AS pos FROM toks),
+    ids AS (SELECT ex.doc_id, list(coalesce(v.id, 1) ORDER BY ex.pos) AS ids
+            FROM ex LEFT JOIN vocab v ON ex.token = v.token GROUP BY ex.doc_id)
+    SELECT toks.doc_id, toks.label,
+           array_to_string(list_resize(coalesce(ids.ids, []::INTEGER[]), 128, 0), ' ') AS input_ids,
+           array_to_string(list_resize(list_transform(coalesce(ids.ids, []::INTEGER[]), lambda x: 1), 128, 0), ' ') AS attention_mask
+    FROM toks LEFT JOIN ids ON toks.doc_id = ids.doc_id"""

@@ -150,6 +150,17 @@ def q_encoded_fixed_length(spark, sf_dir):
                       "n_real")
 
 
+def q_encoded_training_set(spark, sf_dir):
+    """E4 + P9: the labelled documents as fixed-length ids, mask and label."""
+    docs = table(spark, sf_dir, "documents")
+    vocab = build_vocabulary(docs, "text", vocab_size=VOCAB_SIZE,
+                             min_count=VOCAB_MIN_COUNT, token_cfg=WHOLE_TEXT)
+    enc = encode_fixed(labelled_docs(spark, sf_dir), vocab, "text", "doc_id",
+                       token_cfg=TRUNCATED, vocab_size=VOCAB_SIZE, carry=("label",))
+    return enc.select("doc_id", "label", F.array_join("input_ids", " ").alias("input_ids"),
+                      F.array_join("attention_mask", " ").alias("attention_mask"))
+
+
 def q_nb_model(spark, sf_dir):
     model = nb_all_labels(spark, sf_dir)
     return model.weights.withColumn("prior", F.lit(model.prior).cast("bigint"))
@@ -304,6 +315,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tokens_truncated": q_tokens_truncated,
     "vocabulary": q_vocabulary,
     "encoded_fixed_length": q_encoded_fixed_length,
+    "encoded_training_set": q_encoded_training_set,
     "nb_model": q_nb_model,
     "nb_score": q_nb_score,
     "nb_score_mean": q_nb_score_mean,
