@@ -35,8 +35,10 @@ def topic_report(result: DataFrame, topic_cols: list[str],
     adjustment effect (NULL in a neutral topic) and the support flag."""
     counts = class_counts(result, topic_cols, cfg)
     n, b = F.col("n"), F.col("baseline")
+    # A count difference, NULL in a neutral topic; DOUBLE so that the NULL
+    # survives conversions that have no integer NULL (e.g. pandas).
     effect = (F.when(b > F.lit(cfg.hi), F.col("adj_pos") - F.col("orig_pos"))
-              .when(b < F.lit(cfg.lo), F.col("orig_pos") - F.col("adj_pos")))
+              .when(b < F.lit(cfg.lo), F.col("orig_pos") - F.col("adj_pos"))).cast("double")
     shares = {f"{c}_share": F.col(c) / n
               for c in ("orig_pos", "orig_neg", "adj_pos", "adj_neg", "adj_neutral")}
     return counts.select(

@@ -103,8 +103,8 @@ rep AS (
          orig_pos / n AS orig_pos_share, orig_neg / n AS orig_neg_share,
          adj_pos / n AS adj_pos_share, adj_neg / n AS adj_neg_share,
          adj_neutral / n AS adj_neutral_share,
-         CASE WHEN baseline > 0.6::DOUBLE THEN adj_pos - orig_pos
-              WHEN baseline < 0.4::DOUBLE THEN orig_pos - adj_pos END AS effect,
+         CAST(CASE WHEN baseline > 0.6::DOUBLE THEN adj_pos - orig_pos
+              WHEN baseline < 0.4::DOUBLE THEN orig_pos - adj_pos END AS DOUBLE) AS effect,
          n < 50 AS low_support
   FROM rcnt)"""
 
