@@ -1,8 +1,9 @@
 """The batch job end to end: read comments, analyse topics, write the full and
 per-class results, write the topic report.
 
-The result is written once; the report is computed from the written result
-(so scoring is not repeated and the job's lineage ends at the files).
+The result is computed once and written as parquet; every other output is
+read from those files (so scoring and joins are not repeated, and the job's
+lineage ends at the files).
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..config import DEFAULT_TOPIC, TopicConfig
 from ..operators.report import topic_report
 from ..operators.scorers import Scorer
-from ..sinks.writers import output_base, write_report, write_result
+from ..sinks.writers import (output_base, write_all, write_by_class, write_report,
+                             write_result)
 from ..sources.comments import DEFAULT_TEXT_COL, read_comments
 from .topic_analysis import analyze_topics
 
@@ -35,16 +37,21 @@ def run_topic_job_df(comments: DataFrame, scorer: Scorer, out_dir: str, *, base:
                      text_col: str, topic_cols: list[str], key_col: str | None = None,
                      fmt: str = "parquet", bom: bool = False, headers: str = "en",
                      mode: str = "errorifexists", cfg: TopicConfig = DEFAULT_TOPIC) -> dict[str, str]:
+    """The analysis is computed once, into ``<base>_all`` as parquet; the
+    per-class output, a CSV copy and the report are read from those files."""
     spark = comments.sparkSession
     analysis = analyze_topics(comments, scorer, text_col, topic_cols, key_col, cfg)
-    paths = write_result(analysis.result, out_dir, base, fmt="parquet", split=True, mode=mode)
-    if fmt != "parquet":
-        written = spark.read.parquet(paths["all"])
-        paths = write_result(written, os.path.join(out_dir, fmt), base, fmt=fmt, split=True,
-                             bom=bom, headers=headers, mode=mode) | {"parquet_all": paths["all"]}
-        source = written
+    name = f"{base}_all" if fmt == "parquet" else f"{base}_all_parquet"
+    parquet_all = write_all(analysis.result, os.path.join(out_dir, name), mode=mode)
+    written = spark.read.parquet(parquet_all)
+    paths = {"parquet_all": parquet_all}
+    if fmt == "parquet":
+        paths["all"] = parquet_all
+        paths["by_class"] = write_by_class(written, os.path.join(out_dir, f"{base}_by_class"),
+                                           headers=headers, mode=mode)
     else:
-        source = spark.read.parquet(paths["all"])
-    paths["report"] = write_report(topic_report(source, topic_cols, cfg),
+        paths.update(write_result(written, out_dir, base, fmt=fmt, split=True, bom=bom,
+                                  headers=headers, mode=mode))
+    paths["report"] = write_report(topic_report(written, topic_cols, cfg),
                                    os.path.join(out_dir, f"{base}_report"), mode=mode)
     return paths

@@ -49,23 +49,39 @@ def _writer(df: DataFrame, fmt: str, mode: str, partition_by: list[str] | None =
     return w.format(fmt)
 
 
+def write_all(result: DataFrame, path: str, *, fmt: str = "parquet", bom: bool = False,
+              headers: str = "en", mode: str = "errorifexists") -> str:
+    """K1: every row in one output."""
+    out = _headers(result, headers)
+    if bom and fmt == "csv":
+        out = _with_bom(out)
+    _writer(out, fmt, mode).save(path)
+    return path
+
+
+def write_by_class(result: DataFrame, path: str, *, fmt: str = "parquet", bom: bool = False,
+                   headers: str = "en", mode: str = "errorifexists") -> str:
+    """K2: ``<path>/adj_class=<class>/`` -- one ``partitionBy`` write for all
+    classes (the class column is kept in the files too)."""
+    by_class = _headers(result.withColumn(CLASS_DIR_COL, F.col("adj_sentiment")), headers)
+    if bom and fmt == "csv":
+        by_class = _with_bom(by_class)
+    _writer(by_class, fmt, mode, [CLASS_DIR_COL]).save(path)
+    return path
+
+
 def write_result(result: DataFrame, out_dir: str, base: str = "comments", *, fmt: str = "parquet",
                  split: bool = True, bom: bool = False, headers: str = "en",
                  mode: str = "errorifexists") -> dict[str, str]:
     """K1 + K2: ``<out_dir>/<base>_all`` (every row) and, with ``split``,
-    ``<out_dir>/<base>_by_class/adj_class=<class>/`` (one write)."""
-    paths = {"all": os.path.join(out_dir, f"{base}_all")}
-    out = _headers(result, headers)
-    if bom and fmt == "csv":
-        out = _with_bom(out)
-    _writer(out, fmt, mode).save(paths["all"])
+    ``<out_dir>/<base>_by_class/adj_class=<class>/``.
+
+    ``result`` is computed once per output; pass a materialised result (e.g.
+    read back from files) when writing both, as the topic job does."""
+    opts = {"fmt": fmt, "bom": bom, "headers": headers, "mode": mode}
+    paths = {"all": write_all(result, os.path.join(out_dir, f"{base}_all"), **opts)}
     if split:
-        paths["by_class"] = os.path.join(out_dir, f"{base}_by_class")
-        by_class = result.withColumn(CLASS_DIR_COL, F.col("adj_sentiment"))
-        by_class = _headers(by_class, headers)
-        if bom and fmt == "csv":
-            by_class = _with_bom(by_class)
-        _writer(by_class, fmt, mode, [CLASS_DIR_COL]).save(paths["by_class"])
+        paths["by_class"] = write_by_class(result, os.path.join(out_dir, f"{base}_by_class"), **opts)
     return paths
 
 
