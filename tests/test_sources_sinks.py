@@ -61,6 +61,9 @@ def test_read_lines(spark, tmp_dir):
     kept = read_lines(spark, path, drop_blank=False, label=0).collect()
     assert len(kept) == 8 and {r["label"] for r in kept} == {0}
     assert sum(1 for r in kept if r["text"] == "") == 3
+    # U+2028 inside a line does not end it (Python's text mode does not either)
+    p2 = _write(os.path.join(tmp_dir, "ls.txt"), "a\u2028b\nc\n".encode("utf-8"))
+    assert sorted(r["text"] for r in read_lines(spark, p2).collect()) == ["a\u2028b", "c"]
 
 
 def test_write_result_split_and_bom(spark, tmp_dir):

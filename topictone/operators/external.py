@@ -57,3 +57,8 @@ def sequence_classifier_fn(model_path: str, max_length: int = 128, device: str |
         return predict
 
     return make
+
+
+def external_scorer(make_predict_fn: Callable, batch_size: int = 16) -> ExternalScorer:
+    """M7: a Scorer around ``make_predict_fn`` (see the module docstring)."""
+    return ExternalScorer(make_predict_fn, batch_size)

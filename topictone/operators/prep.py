@@ -59,3 +59,8 @@ def split_sizes(df: DataFrame) -> DataFrame:
 def split_label_distribution(df: DataFrame, label_col: str = "label") -> DataFrame:
     """Rows per split and label."""
     return df.groupBy("split", label_col).agg(F.count(F.lit(1)).alias("n"))
+
+
+def split_report(df: DataFrame, label_col: str = "label") -> tuple[DataFrame, DataFrame]:
+    """D4 + D5: (rows per split, rows per split and label)."""
+    return split_sizes(df), split_label_distribution(df, label_col)
