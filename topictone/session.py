@@ -82,7 +82,10 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     if df.isStreaming:
         return df   # a stream's micro-batches are partitioned by its source
     target = partitions or df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= target:
+    # Only the number of files is needed: take the length of the JVM-side
+    # list instead of copying every path to Python (a large table has
+    # hundreds of thousands of files).
+    n_files = len(df._jdf.inputFiles())
+    if n_files == 0 or n_files >= target:
         return df
     return df.repartition(target)
