@@ -65,6 +65,21 @@ def q_stream_rejects(spark, sf_dir):
     return spark.read.schema(schema).parquet(rejects)
 
 
+def q_stream_event_replies(spark, sf_dir):
+    """X1 + X2 with an exact check: each arriving event gets label,
+    confidence and reply from its ready probability; the audit columns
+    (``source_name``, ``scored_at``) are written too."""
+    from ..config import REPLY_LABELS
+    from ..functions.labels import binary_reply
+    from ..operators.predict import predict
+    stream = table_stream(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    pred = predict(stream, ColumnScorer(event_probability()), None, keep_prob=True)
+    audit = pred.withColumns({"reply": binary_reply("sentiment", REPLY_LABELS),
+                              "source_name": F.lit("events"),
+                              "scored_at": F.current_timestamp()})
+    return _run_to_end(audit, "stream-replies").drop("scored_at")
+
+
 def q_stream_topic_adjust(spark, sf_dir):
     """Events stream adjusted with the baselines the batch job published."""
     events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
@@ -91,6 +106,7 @@ def q_stream_windowed_baseline(spark, sf_dir):
 STREAM_QUERIES = {
     "stream_score": q_stream_score,
     "stream_rejects": q_stream_rejects,
+    "stream_event_replies": q_stream_event_replies,
     "stream_topic_adjust": q_stream_topic_adjust,
     "stream_windowed_baseline": q_stream_windowed_baseline,
 }
@@ -109,6 +125,13 @@ SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start,
 FROM w, wm WHERE ws + INTERVAL 1 HOUR <= mark"""
 
 STREAM_ORACLES = {
+    "stream_event_replies": f"""SELECT event_id, user_id, value, pos_prob,
+        CASE WHEN pos_prob > 0.5::DOUBLE THEN 1 ELSE 0 END AS label,
+        CASE WHEN pos_prob > 0.5::DOUBLE THEN '好评 (Positive)' ELSE '差评 (Negative)' END AS sentiment,
+        round(CASE WHEN pos_prob > 0.5::DOUBLE THEN pos_prob ELSE 1.0::DOUBLE - pos_prob END, 4) AS confidence,
+        CASE WHEN pos_prob > 0.5::DOUBLE THEN '好评 (Positive)' ELSE '差评 (Negative)' END AS reply,
+        'events' AS source_name
+        FROM (SELECT event_id, user_id, value, {_event_p(False)} AS pos_prob FROM events)""",
     "stream_rejects": f"""SELECT conv_id, turn, role, text,
         CASE WHEN text IS NULL THEN 'null text' ELSE 'blank text' END AS reject_reason
         FROM conversations WHERE NOT coalesce({_valid('text')}, false)""",
