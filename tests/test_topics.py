@@ -200,3 +200,22 @@ def test_blank_in_the_middle_does_not_shift_results(spark):
     kept = analyze_topics(df, model, "text", ["topic"], "id", keep_invalid=True).result
     k = {r["id"]: r for r in kept.collect()}
     assert set(k) == {1, 2, 3, 4, 5} and k[2]["adj_sentiment"] is None and k[3]["pos_prob"] is None
+
+
+def test_salted_join_spreads_a_hot_topic(spark):
+    """A topic with two thirds of the rows is split over several reduce
+    partitions by the salted join (AQE off so partitions are not merged)."""
+    from topictone.config import JoinConfig
+    rows = [("hot" if i % 3 else f"t{i % 50}", i, (i % 100) / 100) for i in range(6000)]
+    df = spark.createDataFrame(rows, "topic string, id bigint, p double").repartition(4)
+    scored = ColumnScorer("p").score(df, None)
+    bl = topic_baselines(scored, ["topic"])
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = adjust(scored, bl, ["topic"], join_cfg=JoinConfig(0, 0, 1))
+        parts = (out.filter(F.col("topic") == "hot")
+                 .select(F.spark_partition_id().alias("pid")).distinct().count())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert parts >= 4        # ceil(2/3 * 8) = 6 salts over 8 shuffle partitions
