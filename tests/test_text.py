@@ -55,3 +55,13 @@ def test_tokens(spark):
     assert whole[2] == [] and whole[3] == []
     assert len(whole[4]) == 300 and len(cut[4]) == 128 and cut[4][0] == "w0"
     assert whole[5] == list("纯中文评论")
+
+
+def test_array_helpers(spark):
+    from topictone.functions.labels import argmax_index, positive_probability
+    df = spark.createDataFrame([(1, [0.5, 0.5]), (2, [0.2, 0.8]), (3, [0.7]), (4, [0.9, 0.1])],
+                               "id int, probs array<double>")
+    got = {r["id"]: (r["a"], r["p"]) for r in df.select(
+        "id", argmax_index("probs").alias("a"), positive_probability("probs").alias("p")).collect()}
+    assert got[1] == (0, 0.5)      # a tie picks class 0, like numpy's argmax
+    assert got[2] == (1, 0.8) and got[3] == (0, 0.7) and got[4] == (0, 0.1)
