@@ -154,7 +154,7 @@ def test_nb_salted_weight_join_matches_broadcast(spark):
     from topictone.config import JoinConfig
     train = spark.createDataFrame(TRAIN, "text string, label int")
     model = fit_nb(train, "text", "label")
-    tiny = fit_nb(train, "text", "label", join_cfg=JoinConfig(0, 0, 1))
+    tiny = fit_nb(train, "text", "label", join_cfg=JoinConfig(0, 0))
     texts = [(i, t) for i, (t, _) in enumerate(TRAIN * 5)] + [(999, ""), (1000, None)]
     df = spark.createDataFrame(texts, "id bigint, text string")
     a = sorted(tuple(r) for r in model.score(df, "text", "id", keep_z=True).collect())

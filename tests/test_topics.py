@@ -149,7 +149,7 @@ def test_salted_join_matches_broadcast(spark):
     scored = ColumnScorer("p").score(df, None)
     bl = topic_baselines(scored, ["topic"])
     a = sorted((tuple(r) for r in adjust(scored, bl, ["topic"]).collect()), key=_key)
-    tiny = JoinConfig(broadcast_max_rows=0, broadcast_max_bytes=0, rows_per_split=1)
+    tiny = JoinConfig(broadcast_max_rows=0, broadcast_max_bytes=0)
     b_df = adjust(scored, bl, ["topic"], join_cfg=tiny)
     plan = b_df._jdf.queryExecution().executedPlan().toString()
     assert "__tt_salt" in plan
@@ -213,7 +213,7 @@ def test_salted_join_spreads_a_hot_topic(spark):
     old = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        out = adjust(scored, bl, ["topic"], join_cfg=JoinConfig(0, 0, 1))
+        out = adjust(scored, bl, ["topic"], join_cfg=JoinConfig(0, 0))
         parts = (out.filter(F.col("topic") == "hot")
                  .select(F.spark_partition_id().alias("pid")).distinct().count())
     finally:

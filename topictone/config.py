@@ -89,13 +89,14 @@ class JoinConfig:
     """Size checks for joins against a derived table (baselines, model).
 
     ``broadcast_max_rows`` / ``broadcast_max_bytes`` bound what may be
-    broadcast; beyond them the join is a shuffle join in which keys holding
-    more than ``rows_per_split`` rows are salted into several splits.
+    broadcast; beyond them the join is a shuffle join in which a key holding
+    a share ``s`` of the rows is salted into ``ceil(s * P)`` splits (``P`` =
+    ``spark.sql.shuffle.partitions``).  Set the byte limit well below the
+    executors' memory.
     """
 
     broadcast_max_rows: int = 2_000_000
     broadcast_max_bytes: int = 256 * 1024 * 1024
-    rows_per_split: int = 2_000_000
 
 
 DEFAULT_TOPIC = TopicConfig()
