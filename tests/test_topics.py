@@ -166,6 +166,9 @@ def test_report_and_transitions(spark):
         assert r["orig_pos"] + r["orig_neg"] == r["n"]
     assert rep["mid"]["effect"] is None
     assert rep["pos"]["effect"] <= 0          # a shifted comment never becomes positive
+    from topictone.operators.report import report_display
+    shown = {r["topic"]: r for r in report_display(topic_report(an.result, ["topic"]), ["topic"]).collect()}
+    assert shown["b04"]["baseline"] == "0.4000" and shown["one"]["orig_neg_share"] == "100.00%"
     tm = transition_matrix(an.result, ["topic"]).collect()
     assert sum(r["n"] for r in tm) == df.count()
 

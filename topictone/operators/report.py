@@ -53,3 +53,16 @@ def transition_matrix(result: DataFrame, topic_cols: list[str]) -> DataFrame:
     """Rows per (topic, original class, adjusted class)."""
     return (result.groupBy(*topic_cols, "abs_sentiment", "adj_sentiment")
             .agg(F.count(F.lit(1)).alias("n")))
+
+
+def report_display(report: DataFrame, topic_cols: list[str]) -> DataFrame:
+    """The report as display strings: baseline with 4 decimals, shares as
+    percentages with 2 decimals (the numbers stay numeric in ``topic_report``)."""
+    def pct(c: str):
+        return F.format_string("%.2f%%", F.col(c) * F.lit(100.0)).alias(c)
+
+    return report.select(
+        *topic_cols, "n", F.format_string("%.4f", "baseline").alias("baseline"), "polarity",
+        "orig_pos", pct("orig_pos_share"), "orig_neg", pct("orig_neg_share"),
+        "adj_pos", pct("adj_pos_share"), "adj_neg", pct("adj_neg_share"),
+        "adj_neutral", pct("adj_neutral_share"), "effect", "low_support")
