@@ -48,3 +48,18 @@ def test_nb_scoring_shuffles_only_keys_and_sums(spark):
     plan = _plan(model.score(docs, "text", "doc_id").select("doc_id", "pos_prob"))
     assert "BroadcastHashJoin" in plan             # weights measured and small
     assert plan.count("partial_sum") == 1          # map-side per-text sum
+
+
+def test_nb_topic_analysis_materialises_scores_without_text(spark):
+    from pyspark.sql import functions as F
+    from topictone.config import TokenConfig
+    from topictone.operators.nb import fit_nb
+    from topictone.sources.comments import read_table
+    docs = read_table(spark, SF01, "documents").select("doc_id", "source", "text")
+    labs = read_table(spark, SF01, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = fit_nb(labs.join(docs, "doc_id"), "text", "label", token_cfg=TokenConfig())
+    an = analyze_topics(docs, model, "text", ["source"], key_col="doc_id")
+    plan = _plan(an.result)
+    # the comments are scanned once; the scores come from a small table
+    assert "ReadSchema: struct<doc_id:bigint,pos_prob:double>" in plan
+    assert "Window" not in plan and "SinglePartition" not in plan
