@@ -88,7 +88,35 @@ def q_labelled_lines(spark, sf_dir):
     return read_lines(spark, _text_lines(spark, sf_dir, "benchmark"), drop_blank=False, label=1)
 
 
+def q_labelled_csv(spark, sf_dir):
+    """S3 + P5: the labelled documents as a ``label,review`` CSV, read back
+    as ``text, label``."""
+    from ..sources.comments import read_labelled_csv
+    from .queries import labelled_docs
+    path = shared_path(spark, "labelled-csv")
+    write_comments_csv(labelled_docs(spark, sf_dir).select(
+        F.col("label").cast("string").alias("label"), F.col("text").alias("review")), path)
+    return read_labelled_csv(spark, path)
+
+
+def q_prediction_log(spark, sf_dir):
+    """K6: document predictions appended twice to a prediction log."""
+    from ..config import REPLY_LABELS
+    from ..operators.predict import predict
+    from ..sinks.writers import append_predictions
+    from .queries import nb_all_labels
+    model = nb_all_labels(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pred = predict(docs, model, "text", "doc_id", REPLY_LABELS).drop("text")
+    log = shared_path(spark, "prediction-log")
+    append_predictions(pred, log, source="documents")
+    append_predictions(pred, log, source="documents")
+    return spark.read.parquet(log).drop("scored_at")
+
+
 IO_QUERIES = {
+    "labelled_csv": q_labelled_csv,
+    "prediction_log": q_prediction_log,
     "csv_comments": q_csv_comments,
     "csv_topic_job": q_csv_topic_job,
     "csv_class_split": q_csv_class_split,

@@ -235,6 +235,11 @@ SELECT count(*) AS n,
 FROM part JOIN nbs ON part.doc_id = nbs.doc_id"""
 
 
+PREDICT_SELECT = """SELECT doc_id,
+               CASE WHEN pos_prob > 0.5::DOUBLE THEN 1 ELSE 0 END AS label,
+               CASE WHEN pos_prob > 0.5::DOUBLE THEN '好评 (Positive)' ELSE '差评 (Negative)' END AS sentiment,
+               round(CASE WHEN pos_prob > 0.5::DOUBLE THEN pos_prob ELSE 1.0::DOUBLE - pos_prob END, 4) AS confidence"""
+
 DOC_TOPICS = ["source", "lang"]
 
 ORACLES: dict[str, str] = {
@@ -264,11 +269,7 @@ ORACLES: dict[str, str] = {
     "nb_score": f"WITH {_nb_ctes()[1:]},{_nb_doc_ctes()} SELECT doc_id, nb_z, n_tokens, pos_prob FROM nbs",
     "nb_score_mean": f"WITH {_nb_ctes()[1:]},{_nb_doc_ctes(normalise='mean')} SELECT doc_id, nb_z, n_tokens, pos_prob FROM nbs",
     "predict_label_confidence": f"""WITH {_nb_ctes()[1:]},{_nb_doc_ctes()}
-        SELECT doc_id,
-               CASE WHEN pos_prob > 0.5::DOUBLE THEN 1 ELSE 0 END AS label,
-               CASE WHEN pos_prob > 0.5::DOUBLE THEN '好评 (Positive)' ELSE '差评 (Negative)' END AS sentiment,
-               round(CASE WHEN pos_prob > 0.5::DOUBLE THEN pos_prob ELSE 1.0::DOUBLE - pos_prob END, 4) AS confidence
-        FROM nbs""",
+        {PREDICT_SELECT} FROM nbs""",
     "binary_reply": f"""WITH {_docs_topic_ctes('toxic', 'mean', ['source'])[1:]}
         SELECT doc_id, adj_sentiment,
                CASE WHEN adj_sentiment = 'positive' THEN 'positive' ELSE 'negative' END AS reply FROM res""",
@@ -343,3 +344,9 @@ ORACLES["encoded_training_set"] = f"""WITH {VOCAB[1:]},
            array_to_string(list_resize(coalesce(ids.ids, []::INTEGER[]), 128, 0), ' ') AS input_ids,
            array_to_string(list_resize(list_transform(coalesce(ids.ids, []::INTEGER[]), lambda x: 1), 128, 0), ' ') AS attention_mask
     FROM toks LEFT JOIN ids ON toks.doc_id = ids.doc_id"""
+
+ORACLES["labelled_csv"] = """SELECT d.text, l.quality AS label
+    FROM labels l JOIN documents d ON l.doc_id = d.doc_id"""
+ORACLES["prediction_log"] = f"""WITH {_nb_ctes()[1:]},{_nb_doc_ctes()},
+    one AS ({PREDICT_SELECT}, 'documents' AS source_name FROM nbs)
+    SELECT * FROM one UNION ALL SELECT * FROM one"""
