@@ -1,10 +1,7 @@
 """Text expressions against Python's own definitions."""
 
-import sys
-
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from topictone.config import TokenConfig
 from topictone.functions.text import is_valid_text, null_to_empty, strip_col, tokens

@@ -82,10 +82,6 @@ def _events(body: str, positive_leaning: bool = False, topic: str = "user_id") -
     return f"WITH {_events_ctes(positive_leaning, topic)}\n{body}"
 
 
-RESULT = ("abs_sentiment, abs_confidence, adj_sentiment, pos_prob, adj_pos_prob, "
-          "adj_factor, topic_baseline")
-
-
 def _report(src: str, topic: str) -> str:
     """Report columns over a result relation ``src`` grouped by ``topic``."""
     return f"""
