@@ -63,3 +63,16 @@ def test_nb_topic_analysis_materialises_scores_without_text(spark):
     # the comments are scanned once; the scores come from a small table
     assert "ReadSchema: struct<doc_id:bigint,pos_prob:double>" in plan
     assert "Window" not in plan and "SinglePartition" not in plan
+
+
+def test_spread_only_for_few_files(spark, tmp_dir):
+    from topictone.session import spread
+    from topictone.sources.comments import read_table
+    one_file = read_table(spark, SF01, "documents")
+    assert "RoundRobinPartitioning" in _plan(spread(one_file.select("text")))
+    many = spark.range(0, 4000).selectExpr("id", "cast(id as string) AS text").repartition(64)
+    many.write.parquet(tmp_dir + "/many")
+    df = spark.read.parquet(tmp_dir + "/many")
+    assert "RoundRobinPartitioning" not in _plan(spread(df))
+    stream = spark.readStream.schema(df.schema).parquet(tmp_dir + "/many")
+    assert spread(stream) is stream
