@@ -97,10 +97,8 @@ def q_stream_windowed_baseline(spark, sf_dir):
     scored = ColumnScorer(event_probability()).score(stream.select("ts", "event_type", "value"))
     out = _run_to_end(windowed_baselines(scored, "ts", WINDOW, WATERMARK, ["event_type"]),
                       "stream-window")
-    fmt = "yyyy-MM-dd HH:mm:ss"
-    return out.select(F.date_format("window_start", fmt).alias("window_start"),
-                      F.date_format("window_end", fmt).alias("window_end"),
-                      "event_type", "n", "sum_p4", "baseline", "polarity")
+    return out.select("window_start", "window_end", "event_type", "n", "sum_p4", "baseline",
+                      "polarity")
 
 
 STREAM_QUERIES = {
@@ -118,8 +116,8 @@ w AS (
   SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ws, event_type, count(*) AS n,
          CAST(sum(CAST(round(pos_prob * 10000.0::DOUBLE) AS BIGINT)) AS BIGINT) AS sum_p4
   FROM sp GROUP BY ALL)
-SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start,
-       strftime(ws + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end,
+SELECT CAST(epoch(ws) AS BIGINT) AS window_start,
+       CAST(epoch(ws + INTERVAL 1 HOUR) AS BIGINT) AS window_end,
        event_type, n, sum_p4, CAST(sum_p4 AS DOUBLE) / (10000.0::DOUBLE * n) AS baseline,
        {_three_way('CAST(sum_p4 AS DOUBLE) / (10000.0::DOUBLE * n)')} AS polarity
 FROM w, wm WHERE ws + INTERVAL 1 HOUR <= mark"""

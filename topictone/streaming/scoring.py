@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULT_JOIN, DEFAULT_TOPIC, REPLY_LABELS, JoinConfig, Labels, TopicConfig
@@ -105,18 +106,31 @@ def adjust_stream(stream: DataFrame, published: DataFrame, topic_cols: list[str]
     return adjust(scored, published, topic_cols, cfg, join_cfg)
 
 
+def event_time_utc(ts_col: str, dtype) -> "F.Column":
+    """An event-time TIMESTAMP for the watermark.  A TIMESTAMP column is used
+    as it is; a TIMESTAMP_NTZ (wall clock) is read as UTC, so the windows do
+    not depend on the session time zone."""
+    c = F.col(ts_col)
+    if isinstance(dtype, T.TimestampNTZType):
+        secs = F.expr(f"extract(SECOND FROM `{ts_col}`)")
+        return F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c),
+                                F.minute(c), secs, F.lit("UTC"))
+    return c.cast("timestamp")
+
+
 def windowed_baselines(stream: DataFrame, ts_col: str, window: str, watermark: str,
                        topic_cols: list[str], p_col: str = "pos_prob",
                        cfg: TopicConfig = DEFAULT_TOPIC) -> DataFrame:
-    """``window_start, window_end, topics, n, sum_p4, baseline, polarity``
-    per tumbling event-time window (append mode after the watermark)."""
-    ts = F.col(ts_col).cast("timestamp")
-    agg = (stream.withColumn("__tt_ts", ts)
+    """``window_start, window_end`` (epoch seconds), topics, ``n, sum_p4,
+    baseline, polarity`` per tumbling event-time window (append mode: a
+    window is emitted once the watermark passes its end)."""
+    agg = (stream.withColumn("__tt_ts", event_time_utc(ts_col, stream.schema[ts_col].dataType))
            .withWatermark("__tt_ts", watermark)
            .groupBy(F.window("__tt_ts", window).alias("__tt_w"), *topic_cols)
            .agg(F.count(F.lit(1)).alias("n"), F.sum(micro_units(p_col)).alias("sum_p4")))
     baseline = F.col("sum_p4").cast("double") / (F.lit(10000.0) * F.col("n"))
     return agg.select(
-        F.col("__tt_w.start").alias("window_start"), F.col("__tt_w.end").alias("window_end"),
+        F.unix_seconds(F.col("__tt_w.start")).alias("window_start"),
+        F.unix_seconds(F.col("__tt_w.end")).alias("window_end"),
         *topic_cols, "n", "sum_p4", baseline.alias("baseline"),
         three_way(baseline, cfg).alias("polarity"))
