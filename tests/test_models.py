@@ -162,3 +162,19 @@ def test_nb_salted_weight_join_matches_broadcast(spark):
     assert "__tt_salt" in scored._jdf.queryExecution().executedPlan().toString()
     b = sorted(tuple(r) for r in scored.collect())
     assert a == b
+
+
+def test_nb_min_count_vocabulary(spark):
+    """Tokens below min_count leave the model; the rest is NB over the kept
+    vocabulary (checked against the brute-force version on pruned texts)."""
+    train = spark.createDataFrame(TRAIN, "text string, label int")
+    model = fit_nb(train, "text", "label", min_count=2)
+    kept = {r["token"] for r in model.weights.collect()}
+    counts = Counter(w for t, _ in TRAIN for w in tok(t))
+    assert kept == {w for w, c in counts.items() if c >= 2}
+    pruned = [(" ".join(w for w in tok(t) if w in kept), y) for t, y in TRAIN]
+    texts = ["很好 good", "bad 差 dirty", "unknownword"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    got = {r["id"]: r["nb_z"] for r in model.score(df, "text", "id", keep_z=True).collect()}
+    want = brute_nb(pruned, [" ".join(w for w in tok(t) if w in kept) for t in texts])
+    assert [got[i] for i in range(3)] == [z for z, _ in want]

@@ -148,9 +148,15 @@ def token_counts(df: DataFrame, text_col: str, label_col: str,
 
 def fit_nb(df: DataFrame, text_col: str, label_col: str, *, normalise: str = "sum",
            temperature: float = 4.0, token_cfg: TokenConfig = DEFAULT_TOKENS,
-           join_cfg: JoinConfig = DEFAULT_JOIN) -> NBModel:
+           min_count: int = 1, join_cfg: JoinConfig = DEFAULT_JOIN) -> NBModel:
     """Train on ``df`` (rows with label 0 or 1).  Raises when a class is
-    missing, since no two-class model exists then."""
+    missing, since no two-class model exists then.
+
+    ``min_count`` is the model's vocabulary rule: tokens seen fewer times in
+    training are not part of the model (S1, S0 and V count only the kept
+    tokens) and score 0 like any unknown token.  1 keeps every token; a larger
+    value keeps the weight table small enough to broadcast on very large
+    corpora, where most distinct tokens are rare."""
     if normalise not in ("sum", "mean"):
         raise ValueError("normalise must be 'sum' or 'mean'")
     lab = F.col(label_col).cast("int")
@@ -158,7 +164,10 @@ def fit_nb(df: DataFrame, text_col: str, label_col: str, *, normalise: str = "su
     n1_rows, n0_rows = int(rows["N1"]), int(rows["N0"])
     if n1_rows == 0 or n0_rows == 0:
         raise ValueError(f"training data needs both classes (label 1: {n1_rows}, label 0: {n0_rows})")
-    counts = cut_lineage(token_counts(df, text_col, label_col, token_cfg))
+    counts = token_counts(df, text_col, label_col, token_cfg)
+    if min_count > 1:
+        counts = counts.filter(F.col("n0") + F.col("n1") >= F.lit(min_count))
+    counts = cut_lineage(counts, "nb-counts")
     tot = counts.agg(F.coalesce(F.sum("n1"), F.lit(0)).alias("S1"),
                      F.coalesce(F.sum("n0"), F.lit(0)).alias("S0"),
                      F.count(F.lit(1)).alias("V")).first()
