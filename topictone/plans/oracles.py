@@ -107,8 +107,9 @@ rep AS (
 
 # ----------------------------------------------------------- documents --
 
-def _nb_ctes(label: str = "quality", where_split: str | None = None) -> str:
+def _nb_ctes(label: str = "quality", where_split: str | None = None, min_count: int = 1) -> str:
     """CTEs ``lab`` (training rows), ``w`` (weights), ``pr`` (prior)."""
+    having = f" HAVING count(*) >= {min_count}" if min_count > 1 else ""
     src = "labelled"
     if where_split:
         src = f"(SELECT * FROM split_rows WHERE split = '{where_split}')"
@@ -120,7 +121,7 @@ lab AS (SELECT * FROM {src} WHERE label IN (0, 1)),
 ltok AS (SELECT label, unnest({_toks('text')}) AS token FROM lab),
 cnt AS (
   SELECT token, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1
-  FROM ltok GROUP BY token),
+  FROM ltok GROUP BY token{having}),
 tot AS (SELECT CAST(sum(n1) AS BIGINT) AS s1, CAST(sum(n0) AS BIGINT) AS s0, count(*) AS v FROM cnt),
 w AS (
   SELECT token, n0, n1,
@@ -346,3 +347,6 @@ ORACLES["labelled_csv"] = """SELECT d.text, l.quality AS label
 ORACLES["prediction_log"] = f"""WITH {_nb_ctes()[1:]},{_nb_doc_ctes()},
     one AS ({PREDICT_SELECT}, 'documents' AS source_name FROM nbs)
     SELECT * FROM one UNION ALL SELECT * FROM one"""
+
+ORACLES["nb_score_min_count"] = (
+    f"WITH {_nb_ctes(min_count=2)[1:]},{_nb_doc_ctes()} SELECT doc_id, nb_z, n_tokens, pos_prob FROM nbs")

@@ -178,6 +178,15 @@ def q_nb_score_mean(spark, sf_dir):
     return model.score(docs, "text", "doc_id", keep_z=True).drop("text")
 
 
+def q_nb_score_min_count(spark, sf_dir):
+    """M2/M3 with the vocabulary rule: tokens seen once in training are not
+    part of the model."""
+    model = fit_nb(labelled_docs(spark, sf_dir), "text", "label", token_cfg=WHOLE_TEXT,
+                   min_count=2)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return model.score(docs, "text", "doc_id", keep_z=True).drop("text")
+
+
 def q_predict_label_confidence(spark, sf_dir):
     model = nb_all_labels(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -319,6 +328,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nb_model": q_nb_model,
     "nb_score": q_nb_score,
     "nb_score_mean": q_nb_score_mean,
+    "nb_score_min_count": q_nb_score_min_count,
     "predict_label_confidence": q_predict_label_confidence,
     "binary_reply": q_binary_reply,
     "accuracy": q_accuracy,
