@@ -222,3 +222,19 @@ def test_salted_join_spreads_a_hot_topic(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
     assert parts >= 4        # ceil(2/3 * 8) = 6 salts over 8 shuffle partitions
+
+
+def test_unkeyed_table_with_nb_scorer(spark):
+    """Without a key column the result is the same as with one, and carries
+    no generated column."""
+    from topictone.operators.nb import fit_nb
+    train = spark.createDataFrame([("good nice", 1), ("great good", 1), ("bad awful", 0),
+                                   ("awful terrible", 0)], "text string, label int")
+    model = fit_nb(train, "text", "label")
+    rows = [(i, t, f"s{i % 2}") for i, t in enumerate(["good", "bad", "nice great", "awful",
+                                                         "good bad", "  ", "terrible"])]
+    df = spark.createDataFrame(rows, "id bigint, text string, topic string")
+    keyed = analyze_topics(df, model, "text", ["topic"], "id").result
+    unkeyed = analyze_topics(df, model, "text", ["topic"]).result
+    assert unkeyed.columns == keyed.columns
+    assert sorted(map(tuple, unkeyed.collect())) == sorted(map(tuple, keyed.collect()))

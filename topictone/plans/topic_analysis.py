@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_JOIN, DEFAULT_TOPIC, JoinConfig, TopicConfig
 from ..functions.text import is_valid_text
 from ..operators.report import topic_report
-from ..operators.scorers import Scorer
+from ..operators.scorers import Scorer, with_row_key
 from ..operators.topics import RESULT_COLUMNS, adjust, check_no_clash, topic_baselines
 from ..session import cut_lineage
 from ..sources.comments import require_column
@@ -57,6 +57,11 @@ def analyze_topics(df: DataFrame, scorer: Scorer, text_col: str | None,
     else:
         valid = df
     expensive = materialize if materialize is not None else scorer.expensive
+    generated = None
+    if expensive and key_col is None and hasattr(scorer, "score_keys"):
+        # An unkeyed table gets a key once (materialised so it stays fixed).
+        valid, generated = with_row_key(valid)
+        key_col = generated
     if expensive and key_col is not None and hasattr(scorer, "score_keys"):
         # Materialise only (key, topic, p) -- small, no text -- then put p back
         # on the comments with one join on the unique key.
@@ -71,6 +76,8 @@ def analyze_topics(df: DataFrame, scorer: Scorer, text_col: str | None,
             scored = cut_lineage(scored, "scored")
         baselines = cut_lineage(topic_baselines(scored, topic_cols, cfg), "baselines")
     result = adjust(scored, baselines, topic_cols, cfg, join_cfg)
+    if generated is not None:
+        result = result.drop(generated)
     if keep_invalid and text_col is not None:
         invalid = df.filter(~is_valid_text(text_col) | F.col(text_col).isNull())
         empty = {c: F.lit(None).cast(result.schema[c].dataType) for c in RESULT_COLUMNS}
