@@ -85,3 +85,20 @@ def test_write_result_split_and_bom(spark, tmp_dir):
     assert spark.read.json(rep).count() == 1
     with pytest.raises(Exception):
         write_result(res, tmp_dir, "comments")   # errorifexists by default
+
+
+def test_one_line_csv_and_bom_in_every_part(spark, tmp_dir):
+    path = _write(os.path.join(tmp_dir, "one.csv"), "评论,n\n好,1\nNA,2\n差,3\n".encode("utf-8"))
+    rows = {r["n"]: r["评论"] for r in read_comments(spark, path, multi_line=False).collect()}
+    assert rows == {"1": "好", "2": None, "3": "差"}
+    df = spark.createDataFrame([("a", i, .9 if i % 2 else .1) for i in range(40)],
+                               "topic string, id bigint, p double").repartition(3)
+    res = analyze_topics(df, ColumnScorer("p"), None, ["topic"], "id").result.repartition(3)
+    out = write_result(res, os.path.join(tmp_dir, "multi"), "c", fmt="csv", bom=True, split=False)
+    parts = [f for f in os.listdir(out["all"]) if f.startswith("part-")]
+    assert len(parts) == 3
+    for f in parts:
+        with open(os.path.join(out["all"], f), "rb") as fh:
+            assert fh.read(3) == b"\xef\xbb\xbf"
+    back = read_comments(spark, out["all"], "abs_sentiment", na_values=None)
+    assert back.count() == 40 and back.columns[0] == "topic"
