@@ -65,3 +65,22 @@ def test_cli(spark, tmp_dir, capsys):
     main(["predict", "--model", model, "--text", "很好"])
     pred = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert pred["sentiment"] in ("好评 (Positive)", "差评 (Negative)")
+
+
+def test_cli_transformer_model_option(spark, tmp_dir, capsys, monkeypatch):
+    """--transformer-model goes through the Arrow-batched external scorer; a
+    stub stands in for the model (torch is not installed here)."""
+    import numpy as np
+    import topictone.__main__ as cli
+
+    def fake_fn(path, max_length):
+        assert path == "/models/x" and max_length == 64
+
+        def make():
+            return lambda texts: np.array([0.9 if "好" in str(t) else 0.1 for t in texts])
+        return make
+
+    monkeypatch.setattr(cli, "sequence_classifier_fn", fake_fn)
+    main(["predict", "--transformer-model", "/models/x", "--max-length", "64", "--text", "很好"])
+    pred = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert pred["label"] == 1 and pred["confidence"] == 0.9

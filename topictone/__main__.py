@@ -15,6 +15,7 @@ import json
 from pyspark.sql import SparkSession
 
 from .config import LABELS_EN, LABELS_ZH, TokenConfig, TopicConfig
+from .operators.external import external_scorer, sequence_classifier_fn
 from .operators.predict import predict
 from .plans.topic_job import run_topic_job
 from .plans.training import labelled_sources, load_model, save_model, train
@@ -27,6 +28,17 @@ def _session() -> SparkSession:
     return spark
 
 
+def _scorer(spark: SparkSession, args, ap):
+    """A model saved by ``train``, or a saved transformer model scored in
+    Arrow batches on the executors."""
+    if args.transformer_model:
+        return external_scorer(sequence_classifier_fn(args.transformer_model, args.max_length),
+                               args.batch_size)
+    if not args.model:
+        ap.error("give --model or --transformer-model")
+    return load_model(spark, args.model)
+
+
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="topictone")
     sub = ap.add_subparsers(dest="cmd", required=True)
@@ -41,7 +53,11 @@ def main(argv: list[str] | None = None) -> None:
 
     a = sub.add_parser("analyze")
     a.add_argument("--input", required=True)
-    a.add_argument("--model", required=True)
+    a.add_argument("--model", help="a model saved by `train`")
+    a.add_argument("--transformer-model", help="a saved sequence-classification model "
+                   "directory (needs torch + transformers on the executors)")
+    a.add_argument("--max-length", type=int, default=128, help="transformer input length")
+    a.add_argument("--batch-size", type=int, default=16, help="transformer batch size")
     a.add_argument("--text-column", default="评论")
     a.add_argument("--topic-columns", default="", help="comma separated; empty = one topic")
     a.add_argument("--output-dir", default="./result")
@@ -50,7 +66,10 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--overwrite", action="store_true")
 
     p = sub.add_parser("predict")
-    p.add_argument("--model", required=True)
+    p.add_argument("--model")
+    p.add_argument("--transformer-model")
+    p.add_argument("--max-length", type=int, default=128)
+    p.add_argument("--batch-size", type=int, default=8)
     p.add_argument("--text")
     p.add_argument("--file")
     p.add_argument("--out")
@@ -66,13 +85,13 @@ def main(argv: list[str] | None = None) -> None:
     elif args.cmd == "analyze":
         cfg = TopicConfig(labels=LABELS_ZH if args.labels == "zh" else LABELS_EN)
         topics = [c for c in args.topic_columns.split(",") if c]
-        paths = run_topic_job(spark, args.input, load_model(spark, args.model), args.output_dir,
+        paths = run_topic_job(spark, args.input, _scorer(spark, args, ap), args.output_dir,
                               text_col=args.text_column, topic_cols=topics, fmt=args.format,
                               headers=args.labels, cfg=cfg,
                               mode="overwrite" if args.overwrite else "errorifexists")
         print(json.dumps(paths, ensure_ascii=False))
     else:
-        model = load_model(spark, args.model)
+        model = _scorer(spark, args, ap)
         if args.text is not None:
             df = spark.createDataFrame([(args.text,)], "text string")
             print(json.dumps(predict(df, model, "text").first().asDict(), ensure_ascii=False))
