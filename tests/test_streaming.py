@@ -70,3 +70,21 @@ def test_adjust_stream_equals_batch(spark, tmp_dir):
     batch = analyze_topics(static, scorer, None, ["topic"], "id").result
     a = sorted(tuple(r) for r in spark.read.parquet(tmp_dir + "/o").select(*batch.columns).collect())
     assert a == sorted(tuple(r) for r in batch.collect())
+
+
+def test_event_time_utc_matches_cast_in_utc(spark):
+    """Built from fields, the UTC reading of a wall-clock time equals the cast
+    done in a UTC session."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+    from topictone.streaming.scoring import event_time_utc
+    df = spark.createDataFrame([(1,)], "id int").select(
+        F.expr("TIMESTAMP_NTZ'2024-03-10 02:30:00.123456'").alias("ts"))
+    built = df.select(F.unix_micros(event_time_utc("ts", T.TimestampNTZType(), "America/Los_Angeles")))
+    cast = df.select(F.unix_micros(event_time_utc("ts", T.TimestampNTZType(), "UTC")))
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        assert built.first()[0] == cast.first()[0] == 1710037800123456
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

@@ -106,12 +106,16 @@ def adjust_stream(stream: DataFrame, published: DataFrame, topic_cols: list[str]
     return adjust(scored, published, topic_cols, cfg, join_cfg)
 
 
-def event_time_utc(ts_col: str, dtype) -> "F.Column":
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Etc/GMT", "Z", "+00:00")
+
+
+def event_time_utc(ts_col: str, dtype, session_tz: str = "UTC") -> "F.Column":
     """An event-time TIMESTAMP for the watermark.  A TIMESTAMP column is used
     as it is; a TIMESTAMP_NTZ (wall clock) is read as UTC, so the windows do
-    not depend on the session time zone."""
+    not depend on the session time zone (a plain cast when the session is in
+    UTC, otherwise built from its fields)."""
     c = F.col(ts_col)
-    if isinstance(dtype, T.TimestampNTZType):
+    if isinstance(dtype, T.TimestampNTZType) and session_tz not in UTC_NAMES:
         secs = F.expr(f"extract(SECOND FROM `{ts_col}`)")
         return F.make_timestamp(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c),
                                 F.minute(c), secs, F.lit("UTC"))
@@ -124,7 +128,8 @@ def windowed_baselines(stream: DataFrame, ts_col: str, window: str, watermark: s
     """``window_start, window_end`` (epoch seconds), topics, ``n, sum_p4,
     baseline, polarity`` per tumbling event-time window (append mode: a
     window is emitted once the watermark passes its end)."""
-    agg = (stream.withColumn("__tt_ts", event_time_utc(ts_col, stream.schema[ts_col].dataType))
+    tz = stream.sparkSession.conf.get("spark.sql.session.timeZone")
+    agg = (stream.withColumn("__tt_ts", event_time_utc(ts_col, stream.schema[ts_col].dataType, tz))
            .withWatermark("__tt_ts", watermark)
            .groupBy(F.window("__tt_ts", window).alias("__tt_w"), *topic_cols)
            .agg(F.count(F.lit(1)).alias("n"), F.sum(micro_units(p_col)).alias("sum_p4")))
