@@ -350,3 +350,39 @@ ORACLES["prediction_log"] = f"""WITH {_nb_ctes()[1:]},{_nb_doc_ctes()},
 
 ORACLES["nb_score_min_count"] = (
     f"WITH {_nb_ctes(min_count=2)[1:]},{_nb_doc_ctes()} SELECT doc_id, nb_z, n_tokens, pos_prob FROM nbs")
+
+# Training flow: keyed split of the labelled union, NB on train, the variant
+# with the better eval accuracy (ties: "sum"), accuracy per split.
+_SIG = ("round(1.0::DOUBLE / (1.0::DOUBLE + exp(-least(greatest(CAST({z} AS DOUBLE) / "
+        "1000000.0::DOUBLE, -30.0::DOUBLE), 30.0::DOUBLE))), 4)")
+ORACLES["training_metrics"] = f"""WITH {LABELLED_UNION[1:]},
+split_rows AS (
+  SELECT row_number() OVER () AS doc_id, text, label, {_split('text')} AS split
+  FROM lu WHERE text IS NOT NULL),
+{_nb_ctes('quality', where_split='train')[1:]},
+dtok AS (SELECT doc_id, unnest({_toks('text')}) AS token FROM split_rows),
+ks AS (
+  SELECT dtok.doc_id, CAST(sum(coalesce(w.k, 0)) AS BIGINT) AS ksum, count(*) AS ntok
+  FROM dtok LEFT JOIN w ON dtok.token = w.token GROUP BY dtok.doc_id),
+zz AS (
+  SELECT d.split, d.label, pr.prior + coalesce(ks.ksum, 0) AS z_sum,
+         CAST(pr.prior AS DOUBLE) + 4.0::DOUBLE * CAST(coalesce(ks.ksum, 0) AS DOUBLE)
+           / CAST(greatest(coalesce(ks.ntok, 0), 1) AS DOUBLE) AS z_mean
+  FROM split_rows d CROSS JOIN pr LEFT JOIN ks ON d.doc_id = ks.doc_id),
+pp AS (
+  SELECT split, label,
+         CASE WHEN {_SIG.format(z='z_sum')} > 0.5::DOUBLE THEN 1 ELSE 0 END AS pred_sum,
+         CASE WHEN {_SIG.format(z='z_mean')} > 0.5::DOUBLE THEN 1 ELSE 0 END AS pred_mean
+  FROM zz),
+ev AS (
+  SELECT count(*) FILTER (WHERE pred_sum = label) / count(*) AS acc_sum,
+         count(*) FILTER (WHERE pred_mean = label) / count(*) AS acc_mean
+  FROM pp WHERE split = 'eval'),
+choice AS (SELECT CASE WHEN acc_mean > acc_sum THEN 'mean' ELSE 'sum' END AS variant FROM ev),
+hits AS (
+  SELECT pp.split, choice.variant,
+         CASE WHEN choice.variant = 'sum' THEN pred_sum ELSE pred_mean END = pp.label AS hit
+  FROM pp CROSS JOIN choice)
+SELECT split, count(*) AS n, count(*) FILTER (WHERE hit) AS correct,
+       count(*) FILTER (WHERE hit) / count(*) AS accuracy, variant
+FROM hits GROUP BY split, variant"""
