@@ -96,14 +96,29 @@ def attach(big: DataFrame, small: DataFrame, keys: list[str], *,
     it drives the salting when ``small`` is too large to broadcast.
     """
     if not keys:
-        # One global row (e.g. a single topic): a broadcast of one row.
-        return big.crossJoin(F.broadcast(small))
+        return _attach_constant(big, small, how)
     size = size or measure(small)
     if fits_broadcast(size, cfg):
         return _join(big, F.broadcast(small), keys, how, null_safe)
     return _salted_join(big, small, keys, how, null_safe, count_col)
 
 
+def _attach_constant(big: DataFrame, small: DataFrame, how: str) -> DataFrame:
+    """No key: ``small`` holds at most one row (one global topic).  Its values
+    become literal columns -- no join at all.  With no row, an inner attach
+    keeps no row (as a join would) and a left attach fills NULLs."""
+    rows = small.limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError("a table attached without keys must have at most one row")
+    fields = small.schema.fields
+    values = rows[0] if rows else [None] * len(fields)
+    cols = {f.name: F.lit(v).cast(f.dataType) for f, v in zip(fields, values)}
+    out = big.withColumns(cols)
+    if not rows and how == "inner":
+        out = out.filter(F.lit(False))
+    return out
+
+
 def _salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str,
                  null_safe: bool, count_col: str | None) -> DataFrame:
     spark = big.sparkSession
