@@ -38,14 +38,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session (created if unset)."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect sessions have no SparkContext
+        sc = None
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         # Only reached where the cluster names no folder, e.g. local tests.
         configured = tempfile.mkdtemp(prefix="topictone-ckpt-")
+        if sc is None:
+            spark.conf.set("spark.checkpoint.dir", configured)
+    if sc is None:
+        return configured
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
@@ -81,11 +88,16 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     scale) is returned unchanged, so no shuffle is added there."""
     if df.isStreaming:
         return df   # a stream's micro-batches are partitioned by its source
-    target = partitions or df.sparkSession.sparkContext.defaultParallelism
-    # Only the number of files is needed: take the length of the JVM-side
-    # list instead of copying every path to Python (a large table has
-    # hundreds of thousands of files).
-    n_files = len(df._jdf.inputFiles())
+    spark = df.sparkSession
+    try:
+        target = partitions or spark.sparkContext.defaultParallelism
+        # Only the number of files is needed: take the length of the JVM-side
+        # list instead of copying every path to Python (a large table has
+        # hundreds of thousands of files).
+        n_files = len(df._jdf.inputFiles())
+    except Exception:  # noqa: BLE001 - Spark Connect: public API only
+        target = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n_files = len(df.inputFiles())
     if n_files == 0 or n_files >= target:
         return df
     return df.repartition(target)
