@@ -9,6 +9,7 @@ aggregations over the partitions).
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -79,7 +80,8 @@ class HashedFit:
 
 def fit_hashed(train: DataFrame, eval_df: DataFrame, text_col: str, label_col: str, *,
                num_features: int = 1 << 18, reg_grid=(0.0, 0.01, 0.1), max_iter: int = 30,
-               token_cfg: TokenConfig = DEFAULT_TOKENS, parallelism: int = 3) -> HashedFit:
+               token_cfg: TokenConfig = DEFAULT_TOKENS, parallelism: int = 3,
+               rows_per_task: int = 50_000) -> HashedFit:
     """M1 + M8: fit one logistic regression per ``regParam`` on ``train`` and keep
     the one with the best accuracy on ``eval_df`` (ties: the smaller value)."""
     spark = train.sparkSession
@@ -90,8 +92,13 @@ def fit_hashed(train: DataFrame, eval_df: DataFrame, text_col: str, label_col: s
         .filter(F.col("__tt_label").isin(0.0, 1.0))
     feat = Pipeline(stages=featurizer(num_features, token_cfg)).fit(tr)
     # Features are read once per L-BFGS iteration: keep them on the executors
-    # (recomputable from lineage if an executor is lost).
-    tr_f = feat.transform(tr).select(FEATURES, "__tt_label").persist(StorageLevel.MEMORY_AND_DISK)
+    # (recomputable from lineage if an executor is lost), in partitions sized
+    # to the data: each iteration is one task per partition plus a tree
+    # aggregation, so tiny partitions only add scheduling and merge levels.
+    # The cache is filled in parallel (count), then read in fewer partitions.
+    cached = feat.transform(tr).select(FEATURES, "__tt_label").persist(StorageLevel.MEMORY_AND_DISK)
+    n_train = cached.count()
+    tr_f = cached.coalesce(max(1, math.ceil(n_train / rows_per_task)))
     ev_f = feat.transform(ev).select(FEATURES, "__tt_label").persist(StorageLevel.MEMORY_AND_DISK)
     def fit_one(reg: float):
         lr = LogisticRegression(featuresCol=FEATURES, labelCol="__tt_label", regParam=reg,
@@ -109,7 +116,7 @@ def fit_hashed(train: DataFrame, eval_df: DataFrame, text_col: str, label_col: s
         with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(reg_grid)))) as pool:
             results = list(pool.map(fit_one, reg_grid))
     finally:
-        tr_f.unpersist()
+        cached.unpersist()
         ev_f.unpersist()
     best = max(results, key=lambda r: (r[3], -r[0]))
     model = PipelineModel(stages=list(feat.stages) + [best[4]])
