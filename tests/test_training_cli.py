@@ -84,3 +84,22 @@ def test_cli_transformer_model_option(spark, tmp_dir, capsys, monkeypatch):
     main(["predict", "--transformer-model", "/models/x", "--max-length", "64", "--text", "很好"])
     pred = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert pred["label"] == 1 and pred["confidence"] == 0.9
+
+
+def test_cli_parquet_output_and_split_report(spark, tmp_dir, capsys):
+    from topictone.operators.prep import assign_split, split_report
+    pos, neg, _ = _files(tmp_dir)
+    model = os.path.join(tmp_dir, "m")
+    main(["train", "--pos", pos, "--neg", neg, "--out", model])
+    comments = os.path.join(tmp_dir, "c.csv")
+    with open(comments, "w", encoding="utf-8") as f:
+        f.write("评论\n" + "\n".join(POS[:6] + NEG[:6]) + "\n")
+    out = os.path.join(tmp_dir, "r")
+    main(["analyze", "--input", comments, "--model", model, "--output-dir", out,
+          "--format", "parquet"])
+    paths = json.loads([ln for ln in capsys.readouterr().out.splitlines() if ln.startswith("{")][-1])
+    assert spark.read.parquet(paths["all"]).count() == 12
+    assert spark.read.parquet(paths["by_class"]).count() == 12
+    data = labelled_sources(spark, pos_lines=pos, neg_lines=neg)
+    sizes, dist = split_report(assign_split(data, ["text"], text_col="text"))
+    assert sum(r["n"] for r in sizes.collect()) == sum(r["n"] for r in dist.collect()) == data.count()
