@@ -1,0 +1,11 @@
+import pytest
+
+
+@pytest.fixture(scope="session")
+def sf001():
+    return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def sf01():
+    return "/root/testdata/sf0.01"
