@@ -10,8 +10,8 @@ import __spark_entry__ as entry
 from conftest import SF001
 
 TABLES = ["events", "documents", "benchmark", "labels", "conversations"]
-ORACLES = entry.oracle_sql()
-QUERIES = entry.queries()
+QUERIES = {k: f for k, f in entry.queries().items() if f.__module__.startswith("topictone.") and ".llm." not in f.__module__}
+ORACLES = {k: sql for k, sql in entry.oracle_sql().items() if k in QUERIES}
 
 
 @pytest.fixture(scope="module")
