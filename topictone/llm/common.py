@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def groups_of(batches: Iterator[pa.RecordBatch], text_col: str,
     held, size = [], 0
     for batch in batches:
         at = 0
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text_col)), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_pylist()
         for i, n in enumerate(sizes):
             if size and size + n > max_bytes:
                 if i > at:

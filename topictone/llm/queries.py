@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import bpe_documents, read_ranks
 from .common import read_table
+from .decontaminate import contamination
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -21,3 +22,32 @@ def op9_bpe_monoid(spark, sf_dir):
 
     ranks = read_ranks(public.path("byte_bpe_multi_50k.tiktoken"))
     return bpe_documents(read_table(spark, sf_dir, "documents"), ranks, public.PATTERN, digests=True)
+
+
+@query
+def op1_fm_decontaminate(spark, sf_dir):
+    """Occurrences of ten-word windows of every benchmark item in every document."""
+    return contamination(read_table(spark, sf_dir, "documents"),
+                         read_table(spark, sf_dir, "benchmark")).drop("items", "spans")
+
+
+_OP1_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLES["op1_fm_decontaminate"] = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_OP1_WORDS} AS w FROM documents),
+i AS MATERIALIZED (SELECT item_id, {_OP1_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+iw AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[p:p + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+dw AS (
+  SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p
+        FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k)),
+o AS MATERIALIZED (SELECT doc_id, item_id, k, p FROM dw JOIN iw USING (k, g)),
+h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM o) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
+       FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM o) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)"""
