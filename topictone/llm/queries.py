@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import bpe_documents, read_ranks
 from .common import read_table
 from .decontaminate import contamination
+from .secrets import secret_spans
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +52,9 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+
+@query
+def op2_guess_cost_secrets(spark, sf_dir):
+    """Base and guess-cost spans of every document."""
+    return secret_spans(read_table(spark, sf_dir, "documents"))
