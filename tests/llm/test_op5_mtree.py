@@ -1,0 +1,62 @@
+"""M-tree search against brute force, with ties and odd vectors."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from topictone.llm import mtree
+
+
+def brute(rows, k=5, step=50):
+    ok = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows
+          if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, qv in sorted({(i, tuple(v)) for i, v in ok if i % step == 0}):
+        best = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, v in ok if i != q)[:k]
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_against_brute_force(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    monkeypatch.setattr(mtree, "TREE_ROWS", 150)
+    monkeypatch.setattr(mtree, "QUERY_BLOCK", 3)
+    dim = rng.choice([1, 2, 8])
+    rows = [(i, [float(np.float32(rng.gauss(0, 0.5))) for _ in range(dim)]) for i in range(700)]
+    rows += [(1000 + i, [0.5] * dim) for i in range(400)]  # one very common vector
+    rows += [(2000, None), (2050, [None] * dim), (2100, [math.nan] * dim), (2150, [math.inf] * dim), (None, [9.0] * dim),
+             (2200, []), (2250, [1.0] * (dim + 1)), (7, rows[7][1]), (50, rows[50][1])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int").repartition(4)
+    got = sorted(tuple(r) for r in mtree.exact_top_k(df, F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score").collect())
+    assert got == brute(rows)
+
+
+def test_few_empty_and_huge(spark):
+    schema = "vec_id long, embedding array<double>"
+    few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], schema)
+    assert [tuple(r) for r in mtree.exact_top_k(few, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1, 256 * 512)]
+    assert mtree.exact_top_k(few.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert mtree.exact_top_k(few, F.col("vec_id") == 77).count() == 0
+    rng = random.Random(2)
+    rows = [(i, [rng.uniform(-1, 1) * 1e6 for _ in range(3)]) for i in range(300)]
+    got = sorted(tuple(r) for r in mtree.exact_top_k(spark.createDataFrame(rows, schema), F.col("vec_id") % 50 == 0).collect())
+    assert got == brute(rows)
+
+
+def test_search_skips_pages():
+    rng = np.random.default_rng(0)
+    centres = rng.normal(0, 2000, (40, 16))
+    vectors = np.floor(np.repeat(centres, 200, 0) + rng.normal(0, 10, (8000, 16)))
+    tree = mtree.MTree(np.arange(8000), np.ones(8000, int), vectors)
+    seen = []
+    plain = tree.exact
+    tree.exact = lambda rows, q: (seen.append(len(rows)), plain(rows, q))[1]
+    q = vectors[5]
+    got = tree.search(5, q, 5)
+    scores = vectors @ q
+    assert [s for s, _ in got] == sorted(np.delete(scores, 5).tolist(), reverse=True)[:5]
+    assert sum(seen) < 2000

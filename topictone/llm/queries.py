@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .bpe import bpe_documents, read_ranks
 from .common import read_table
 from .decontaminate import contamination
+from .mtree import exact_top_k
 from .secrets import secret_spans
+from .sharding import balanced_shards
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +62,27 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)"""
 def op2_guess_cost_secrets(spark, sf_dir):
     """Base and guess-cost spans of every document."""
     return secret_spans(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_karmarkar_karp(spark, sf_dir):
+    """All documents in 16 shards of near equal bytes."""
+    return balanced_shards(read_table(spark, sf_dir, "documents"), 16)
+
+
+@query
+def op5_mtree_top_k(spark, sf_dir):
+    """The 5 best of all other vectors for every 50th vector."""
+    return exact_top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+ORACLES["op5_mtree_top_k"] = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
