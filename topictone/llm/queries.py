@@ -10,6 +10,7 @@ from .decontaminate import contamination
 from .mtree import exact_top_k
 from .secrets import secret_spans
 from .sharding import balanced_shards
+from .toxicity import fit_toxicity, fold, score_toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +87,13 @@ s AS (
   FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+
+@query
+def op7_cnn_toxicity(spark, sf_dir):
+    """Scores of every document; rows with crc32(doc_id) mod 4 = 2 are not learnt from."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = fit_toxicity(docs, read_table(spark, sf_dir, "labels"), train_rows=fold("id", 4) != 2)
+    return score_toxicity(docs, model).select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "toxic")
