@@ -8,6 +8,7 @@ from .bpe import bpe_documents, read_ranks
 from .common import read_table
 from .decontaminate import contamination
 from .mtree import exact_top_k
+from .near_duplicates import near_duplicates
 from .secrets import secret_spans
 from .sharding import balanced_shards
 from .toxicity import fit_toxicity, fold, score_toxicity
@@ -97,3 +98,26 @@ def op7_cnn_toxicity(spark, sf_dir):
     return score_toxicity(docs, model).select(
         "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "toxic")
+
+
+@query
+def op6_sketch_near_duplicates(spark, sf_dir):
+    """Components of documents whose four-word shingles are 80 % alike."""
+    return near_duplicates(read_table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+ORACLES["op6_sketch_near_duplicates"] = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + least(len(w), 4) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+l AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s AS x JOIN s AS y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN n AS p ON p.doc_id = a JOIN n AS q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id,
+       doc_id <= coalesce(m, doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY 1) USING (doc_id)"""
