@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_documents, read_ranks
 from .common import read_table
+from .context_mixing import mixing_scores
 from .decontaminate import contamination
 from .mtree import exact_top_k
 from .near_duplicates import near_duplicates
@@ -121,3 +122,10 @@ r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id,
        doc_id <= coalesce(m, doc_id) AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY 1) USING (doc_id)"""
+
+
+@query
+def op10_context_mixing(spark, sf_dir):
+    """log10 probabilities of every document; rows with crc32(doc_id) mod 7 = 2
+    are not learnt from."""
+    return mixing_scores(read_table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
