@@ -10,6 +10,7 @@ from .context_mixing import mixing_scores
 from .decontaminate import contamination
 from .mtree import exact_top_k
 from .near_duplicates import near_duplicates
+from .pii import personal_data
 from .secrets import secret_spans
 from .sharding import balanced_shards
 from .toxicity import fit_toxicity, fold, score_toxicity
@@ -129,3 +130,9 @@ def op10_context_mixing(spark, sf_dir):
     """log10 probabilities of every document; rows with crc32(doc_id) mod 7 = 2
     are not learnt from."""
     return mixing_scores(read_table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+
+
+@query
+def op3_information_pii(spark, sf_dir):
+    """Base spans and disclosing terms of every document."""
+    return personal_data(read_table(spark, sf_dir, "documents"))
