@@ -25,6 +25,7 @@ def test_against_brute_force(spark, monkeypatch, seed):
     rng = random.Random(seed)
     monkeypatch.setattr(mtree, "TREE_ROWS", 150)
     monkeypatch.setattr(mtree, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(mtree, "LEAF", 32)
     dim = rng.choice([1, 2, 8])
     rows = [(i, [float(np.float32(rng.gauss(0, 0.5))) for _ in range(dim)]) for i in range(700)]
     rows += [(1000 + i, [0.5] * dim) for i in range(400)]  # one very common vector
@@ -47,14 +48,15 @@ def test_few_empty_and_huge(spark):
     assert got == brute(rows)
 
 
-def test_search_skips_pages():
+def test_search_skips_pages(monkeypatch):
     rng = np.random.default_rng(0)
     centres = rng.normal(0, 2000, (40, 16))
     vectors = np.floor(np.repeat(centres, 200, 0) + rng.normal(0, 10, (8000, 16)))
+    monkeypatch.setattr(mtree, "LEAF", 128)
     tree = mtree.MTree(np.arange(8000), np.ones(8000, int), vectors)
     seen = []
-    plain = tree.exact
-    tree.exact = lambda rows, q: (seen.append(len(rows)), plain(rows, q))[1]
+    plain = tree.best_rows
+    tree.best_rows = lambda rows, *rest: (seen.append(len(rows)), plain(rows, *rest))[1]
     q = vectors[5]
     got = tree.search(5, q, 5)
     scores = vectors @ q

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..session import shared_path
 from .common import collected, write_shared
 
-TREE_ROWS, LEAF, FAN, QUERY_BLOCK = 20_000, 128, 24, 4096
+TREE_ROWS, LEAF, FAN, QUERY_BLOCK = 20_000, 1024, 24, 4096
 LONG = 1 << 63
 
 
@@ -46,9 +46,9 @@ def _slack(x):
 
 
 class MTree:
-    """pages: list of (is_leaf, entries); a leaf's entries are row numbers and
-    their parent distances, a node's are child pages, routing rows, radii and
-    parent distances."""
+    """pages: list of (is_leaf, entries); a leaf's entries are a range of rows
+    (rows are stored leaf by leaf) and their parent distances, a node's are child
+    pages, routing rows, radii and parent distances."""
 
     def __init__(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray):
         self.ids, self.copies, self.vectors = ids, copies, vectors
@@ -60,6 +60,17 @@ class MTree:
         pivot = int(everything[0])
         self.root, self.pivot = self._build(everything, pivot, np.random.default_rng(0)), pivot
         self.radius = float(_slack(self._distances(everything, pivot).max()))
+        order = np.concatenate([p[1] for p in self.pages if p[0]])
+        place = np.empty(len(order), np.int64)
+        place[order] = everything
+        self.ids, self.copies, self.vectors, self.pivot = ids[order], copies[order], vectors[order], int(place[pivot])
+        at = 0
+        for n, page in enumerate(self.pages):
+            if page[0]:
+                self.pages[n] = (True, np.arange(at, at + len(page[1])), page[2])
+                at += len(page[1])
+            else:
+                self.pages[n] = (*page[:2], place[page[2]], *page[3:])
 
     def _distances(self, rows: np.ndarray, pivot: int) -> np.ndarray:
         return np.linalg.norm(self.vectors[rows] - self.vectors[pivot], axis=1)
@@ -91,11 +102,23 @@ class MTree:
     def products(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
         return self.vectors[rows] @ q
 
-    def exact(self, rows: np.ndarray, q: np.ndarray) -> list[int]:
-        if self.safe and self.top * float(np.abs(q).max(initial=0)) * max(1, len(q)) < 2.0**52:
-            return self.products(rows, q).astype(np.int64).tolist()
-        whole = [int(x) for x in q]
-        return [sum(int(a) * b for a, b in zip(self.vectors[r], whole)) for r in rows]
+    def best_rows(self, rows: np.ndarray, q: np.ndarray, query_id: int, k: int) -> list[tuple[int, int]]:
+        """(exact score, row) of the k best of a page's rows with another id,
+        best first, ties by id."""
+        own = self.ids[rows] == query_id
+        if own.any():
+            rows = rows[~own]
+        if not (self.safe and self.top * float(np.abs(q).max(initial=0)) * max(1, len(q)) < 2.0**52):
+            whole = [int(x) for x in q]
+            exact = sorted((-sum(int(a) * b for a, b in zip(self.vectors[r], whole)), int(self.ids[r]), int(r)) for r in rows)
+            return [(-s, r) for s, _, r in exact[:k]]
+        whole_page = len(rows) and int(rows[-1] - rows[0]) == len(rows) - 1  # rows of a page ascend
+        scores = self.vectors[rows[0]:rows[-1] + 1] @ q if whole_page else self.products(rows, q)
+        if len(rows) > k:
+            some = scores >= np.partition(scores, len(rows) - k)[len(rows) - k]
+            rows, scores = rows[some], scores[some]
+        order = np.lexsort((self.ids[rows], -scores))[:k]
+        return [(int(s), r) for s, r in zip(scores[order], rows[order].tolist())]
 
     def search(self, query_id: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
         """The k best (score, id) of rows with another id; ties to smaller ids."""
@@ -114,16 +137,15 @@ class MTree:
             if entry[0]:
                 _, rows, gap = entry
                 rows = rows[_up(parent + norm * gap) >= floor]
-                for row, score in zip(rows.tolist(), self.exact(rows, q)):
-                    if self.ids[row] != query_id:
-                        for _ in range(min(int(self.copies[row]), k)):
-                            pair = (score, -int(self.ids[row]))
-                            if len(best) < k:
-                                heapq.heappush(best, pair)
-                            elif pair > best[0]:
-                                heapq.heapreplace(best, pair)
-                            else:
-                                break
+                for score, row in self.best_rows(rows, q, query_id, k):
+                    for _ in range(min(int(self.copies[row]), k)):
+                        pair = (score, -int(self.ids[row]))
+                        if len(best) < k:
+                            heapq.heappush(best, pair)
+                        elif pair > best[0]:
+                            heapq.heapreplace(best, pair)
+                        else:
+                            break
                 if len(best) == k:
                     floor = float(best[0][0]) * (1 - 1e-12) - 1 if abs(best[0][0]) >= 2**52 else float(best[0][0])
             else:
