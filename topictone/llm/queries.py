@@ -8,6 +8,7 @@ from .bpe import bpe_documents, read_ranks
 from .common import read_table
 from .context_mixing import mixing_scores
 from .decontaminate import contamination
+from .licenses import fit_licences, licence_scan
 from .mtree import exact_top_k
 from .near_duplicates import near_duplicates
 from .pii import personal_data
@@ -136,3 +137,10 @@ def op10_context_mixing(spark, sf_dir):
 def op3_information_pii(spark, sf_dir):
     """Base spans and disclosing terms of every document."""
     return personal_data(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_licence_paragraphs(spark, sf_dir):
+    """Licence families that the paragraphs of every document name."""
+    docs = read_table(spark, sf_dir, "documents")
+    return licence_scan(docs, fit_licences(docs))
