@@ -11,17 +11,20 @@ from .text import col_of
 
 def three_way(value: str | Column, cfg: TopicConfig = DEFAULT_TOPIC,
               labels: Labels | None = None) -> Column:
-    """value > hi positive, value < lo negative, else neutral (strict)."""
+    """value > hi positive, value < lo negative, else neutral (strict); NULL
+    has no class."""
     v = col_of(value)
     lab = labels or cfg.labels
     return (F.when(v > F.lit(cfg.hi), F.lit(lab.positive))
             .when(v < F.lit(cfg.lo), F.lit(lab.negative))
-            .otherwise(F.lit(lab.neutral)))
+            .when(v.isNotNull(), F.lit(lab.neutral)))
 
 
 def absolute_id(p: str | Column, cfg: TopicConfig = DEFAULT_TOPIC) -> Column:
-    """argmax of (1 - p, p); a tie picks class 0, hence the strict ``>``."""
-    return F.when(col_of(p) > F.lit(cfg.cut), F.lit(1)).otherwise(F.lit(0))
+    """argmax of (1 - p, p); a tie picks class 0, hence the strict ``>``; NULL has
+    no class."""
+    p = col_of(p)
+    return F.when(p > F.lit(cfg.cut), F.lit(1)).when(p.isNotNull(), F.lit(0))
 
 
 def absolute_confidence(p: str | Column, cfg: TopicConfig = DEFAULT_TOPIC) -> Column:

@@ -64,8 +64,10 @@ class HashedModel(Scorer):
         p = F.round(vector_to_array(F.col(PROB)).getItem(1), 4)
         return out.withColumn(p_col, p).drop(*INTERNAL)
 
-    def save(self, path: str) -> None:
-        self.model.write().overwrite().save(path)
+    def save(self, path: str, overwrite: bool = False) -> None:
+        """Fails where something is saved already, unless ``overwrite``."""
+        writer = self.model.write()
+        (writer.overwrite() if overwrite else writer).save(path)
 
     @staticmethod
     def load(path: str) -> "HashedModel":
@@ -81,7 +83,7 @@ class HashedFit:
 def fit_hashed(train: DataFrame, eval_df: DataFrame, text_col: str, label_col: str, *,
                num_features: int = 1 << 18, reg_grid=(0.0, 0.01, 0.1), max_iter: int = 30,
                token_cfg: TokenConfig = DEFAULT_TOKENS, parallelism: int = 3,
-               rows_per_task: int = 50_000) -> HashedFit:
+               bytes_per_task: int = 64 << 20) -> HashedFit:
     """M1 + M8: fit one logistic regression per ``regParam`` on ``train`` and keep
     the one with the best accuracy on ``eval_df`` (ties: the smaller value)."""
     spark = train.sparkSession
@@ -93,12 +95,13 @@ def fit_hashed(train: DataFrame, eval_df: DataFrame, text_col: str, label_col: s
     feat = Pipeline(stages=featurizer(num_features, token_cfg)).fit(tr)
     # Features are read once per L-BFGS iteration: keep them on the executors
     # (recomputable from lineage if an executor is lost), in partitions sized
-    # to the data: each iteration is one task per partition plus a tree
-    # aggregation, so tiny partitions only add scheduling and merge levels.
-    # The cache is filled in parallel (count), then read in fewer partitions.
-    cached = feat.transform(tr).select(FEATURES, "__tt_label").persist(StorageLevel.MEMORY_AND_DISK)
-    n_train = cached.count()
-    tr_f = cached.coalesce(max(1, math.ceil(n_train / rows_per_task)))
+    # to the data's bytes, and one per task slot at least: each iteration is one
+    # task per partition plus a tree aggregation, so tiny partitions only add
+    # scheduling and merge levels.  The cache is filled in parallel (count).
+    cached = feat.transform(tr).select(FEATURES, "__tt_label", F.octet_length(TEXT).cast("bigint").alias(TEXT)) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    size = cached.agg(F.sum(TEXT)).first()[0] or 0
+    tr_f = cached.coalesce(max(spark.sparkContext.defaultParallelism, math.ceil(size / bytes_per_task))).select(FEATURES, "__tt_label")
     ev_f = feat.transform(ev).select(FEATURES, "__tt_label").persist(StorageLevel.MEMORY_AND_DISK)
     def fit_one(reg: float):
         lr = LogisticRegression(featuresCol=FEATURES, labelCol="__tt_label", regParam=reg,

@@ -4,8 +4,9 @@ The derived table is broadcast only after its size has been measured.  Beyond
 the limits the join is a shuffle join in which hot keys are salted: a key
 holding a share ``s`` of the rows is spread over ``ceil(s * P)`` splits, where
 ``P`` is the shuffle partition count, so no split holds much more than an
-average partition.  At most ``P`` keys can be hot, so the table of hot keys is
-bounded and may be broadcast itself.
+average partition.  Hot keys are found in the large side, so a frequent key that
+the derived table does not hold (an unknown token, NULL) is split too.  At most
+``P`` keys can be hot, so their table is bounded and may be broadcast itself.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT_JOIN, JoinConfig
+from ..session import cut_lineage
 
 _SALT = "__tt_salt"
 _NSALT = "__tt_nsalt"
@@ -73,34 +75,30 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str,
     return out.drop(*renamed.values(), *[f"__tt_r_{k}" for k in extra_keys])
 
 
-def salt_table(counts: DataFrame, keys: list[str], count_col: str,
-               partitions: int) -> DataFrame:
-    """Keys whose share of all rows exceeds ``1/partitions``, with the number
-    of splits each one needs.  At most ``partitions`` rows."""
-    total = counts.agg(F.sum(count_col).alias("t")).first()["t"] or 0
-    if total <= 0:
-        return counts.sparkSession.createDataFrame([], counts.select(*keys).schema.add(_NSALT, "int"))
-    nsalt = F.ceil(F.col(count_col) * F.lit(float(partitions)) / F.lit(float(total))).cast("int")
-    return (counts.select(*keys, nsalt.alias(_NSALT))
-            .filter(F.col(_NSALT) > 1))
+def salt_table(big: DataFrame, keys: list[str], partitions: int) -> DataFrame:
+    """Keys of ``big`` (NULL and keys unknown to the small table included) with
+    more than ``1/partitions`` of its rows, and how many splits each needs.  At
+    most ``partitions`` rows.  The counts are partial aggregates: a hot key sends
+    one row per task."""
+    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__tt_n"))
+    total = big.count()
+    nsalt = F.ceil(F.col("__tt_n") * F.lit(float(partitions)) / F.lit(float(max(total, 1)))).cast("int")
+    return counts.select(*keys, nsalt.alias(_NSALT)).filter(F.col(_NSALT) > 1)
 
 
 def attach(big: DataFrame, small: DataFrame, keys: list[str], *,
            how: str = "inner", null_safe: bool = True,
-           count_col: str | None = None, cfg: JoinConfig = DEFAULT_JOIN,
-           size: TableSize | None = None) -> DataFrame:
-    """Join ``small`` (a materialised, derived table) to each row of ``big``.
-
-    ``count_col`` names a column of ``small`` that holds, per key, the number
-    of ``big`` rows expected to carry that key (e.g. a topic's comment count);
-    it drives the salting when ``small`` is too large to broadcast.
-    """
+           cfg: JoinConfig = DEFAULT_JOIN, size: TableSize | None = None) -> DataFrame:
+    """Join ``small`` (a materialised, derived table) to each row of ``big``."""
     if not keys:
         return _attach_constant(big, small, how)
     size = size or measure(small)
     if fits_broadcast(size, cfg):
         return _join(big, F.broadcast(small), keys, how, null_safe)
-    return _salted_join(big, small, keys, how, null_safe, count_col)
+    if big.isStreaming:
+        # A stream cannot be counted; its rows are joined unsalted.
+        return _join(big, small, keys, how, null_safe)
+    return _salted_join(big, small, keys, how, null_safe)
 
 
 def _attach_constant(big: DataFrame, small: DataFrame, how: str) -> DataFrame:
@@ -120,21 +118,20 @@ def _attach_constant(big: DataFrame, small: DataFrame, how: str) -> DataFrame:
 
 
 def _salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str,
-                 null_safe: bool, count_col: str | None) -> DataFrame:
-    spark = big.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if count_col is None:
-        return _join(big, small, keys, how, null_safe)
-    hot = salt_table(small, keys, count_col, partitions)
-    # Big side: rows of a hot key get a salt in [0, nsalt); others get 0.
-    # The salt comes from the row's position, so copies of one row spread too.
-    big_salted = _join(big, F.broadcast(hot), keys, "left", null_safe)
-    row_hash = F.xxhash64(F.monotonically_increasing_id())
+                 null_safe: bool) -> DataFrame:
+    partitions = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = cut_lineage(salt_table(big, keys, partitions), "hot-keys")
+    # Big side: rows of a hot key get a salt in [0, nsalt); others get 0.  The
+    # salt is a hash of the row's values, so a task that runs again gives every
+    # row the same salt.
+    big_salted = _join(big, F.broadcast(hot), keys, "left", True)
+    row_hash = F.xxhash64(*[F.col(f"`{f.name}`") for f in big.schema.fields
+                            if not isinstance(f.dataType, T.MapType)])
     big_salted = big_salted.withColumn(
         _SALT, F.when(F.col(_NSALT).isNull(), F.lit(0))
         .otherwise(F.pmod(row_hash, F.col(_NSALT)).cast("int"))).drop(_NSALT)
     # Small side: a hot key's row is repeated once per salt value.
-    small_salted = _join(small, F.broadcast(hot), keys, "left", null_safe)
+    small_salted = _join(small, F.broadcast(hot), keys, "left", True)
     small_salted = small_salted.withColumn(
         f"__tt_r_{_SALT}",
         F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_NSALT), F.lit(1)) - 1))).drop(_NSALT)

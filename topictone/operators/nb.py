@@ -19,10 +19,11 @@ independent of partitioning.
 
 Plan: the token counts are one ``groupBy(token)`` with map-side partial
 aggregation (a frequent token is combined in every task before the shuffle).
-Scoring explodes the tokens, joins the weights (broadcast after a size check,
-otherwise a shuffle join salted on frequent tokens) and sums per text with
-map-side partial aggregation; the per-text sums are joined back to the texts
-on their unique key.
+Scoring explodes the tokens, joins the weights (broadcast after a size check;
+beyond it the most frequent tokens are broadcast and only the others are joined
+by a shuffle, counted per text before) and sums per text with map-side partial
+aggregation; the per-text sums are joined back to the texts on their unique key.
+A key that repeats or is NULL raises, as its texts could not be told apart.
 """
 
 from __future__ import annotations
@@ -31,14 +32,14 @@ import json
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_JOIN, DEFAULT_TOKENS, JoinConfig, TokenConfig
 from ..functions.text import tokens
 from ..session import cut_lineage, spread
-from .joins import TableSize, attach, measure
-from .scorers import Scorer, with_row_key
+from .joins import TableSize, attach, fits_broadcast, measure
+from .scorers import Scorer, check_unique, key_list, with_row_key
 
 SCALE = 1_000_000
 
@@ -60,36 +61,71 @@ class NBModel(Scorer):
     token_cfg: TokenConfig = DEFAULT_TOKENS
     join_cfg: JoinConfig = DEFAULT_JOIN
     _size: TableSize | None = None
+    _head: int | bool | None = None   # least count in the broadcast head; False: none fits
 
     expensive = True
 
     def weight_side(self) -> DataFrame:
-        return self.weights.select(
-            "token", "k", (F.col("n0") + F.col("n1")).alias("__tt_tok_n"))
+        return self.weights.select("token", "k")
 
-    def logits(self, df: DataFrame, text_col: str, key_col: str,
-               carry: tuple[str, ...] = ()) -> DataFrame:
-        """``key_col, *carry, __tt_ksum, __tt_ntok`` for every text (a text
-        without tokens has one row with sum 0 and no tokens).  ``carry``
-        columns must be functionally dependent on the key (e.g. its topic)."""
-        texts = spread(df.select(key_col, *carry, text_col))
-        toks = texts.select(key_col, *carry,
-                            F.explode_outer(tokens(text_col, self.token_cfg)).alias("token"))
+    def _head_and_tail(self) -> tuple[DataFrame, DataFrame | None]:
+        """The weights to broadcast, and those beyond the limits (None if all
+        fit).  The head holds the most frequent tokens: whole count classes, from
+        the top, as long as they fit (a histogram of counts gives the cut)."""
         side = self.weight_side()
         if self._size is None:
             self._size = measure(side)
-        joined = attach(toks, side, ["token"], how="left", null_safe=False,
-                        count_col="__tt_tok_n", cfg=self.join_cfg, size=self._size)
-        return joined.groupBy(key_col, *carry).agg(
+        if fits_broadcast(self._size, self.join_cfg):
+            return side, None
+        if self._head is None:
+            per_row = max(1, self._size.bytes // max(1, self._size.rows))
+            room = min(self.join_cfg.broadcast_max_rows, self.join_cfg.broadcast_max_bytes // (4 * per_row))
+            n = (F.col("n0") + F.col("n1")).alias("n")
+            hist = self.weights.groupBy(n).agg(F.count(F.lit(1)).alias("tokens"))
+            above = F.sum("tokens").over(Window.orderBy(F.desc("n")))
+            cut = hist.withColumn("above", above).filter(F.col("above") <= room).agg(F.min("n")).first()[0]
+            top = self.weights.filter(F.lit(False) if cut is None else (F.col("n0") + F.col("n1")) >= cut).select("token", "k")
+            size = measure(top)
+            self._head = cut if fits_broadcast(size, self.join_cfg) else False
+            self._head = False if cut is None else self._head
+        n = F.col("n0") + F.col("n1")
+        in_head = F.lit(False) if self._head is False else n >= F.lit(self._head)
+        return (self.weights.filter(in_head).select("token", "k"), self.weights.filter(~in_head).select("token", "k"))
+
+    def logits(self, df: DataFrame, text_col: str, key_col: str | list[str],
+               carry: tuple[str, ...] = ()) -> DataFrame:
+        """``key_col, *carry, __tt_ksum, __tt_ntok, __tt_texts`` for every key (a
+        text without tokens has one row with sum 0 and no tokens; ``__tt_texts``
+        counts the texts of the key).  ``carry`` columns must be functionally
+        dependent on the key (e.g. its topic).
+
+        Unknown tokens add 0, so past the broadcast limits only tokens outside the
+        broadcast head are moved, counted per text before, to an inner join."""
+        keys = key_list(key_col)
+        texts = spread(df.select(*keys, *carry, text_col))
+        toks = texts.select(*keys, *carry, F.posexplode_outer(tokens(text_col, self.token_cfg)).alias("__tt_pos", "token"))
+        head, tail = self._head_and_tail()
+        joined = toks.join(F.broadcast(head), "token", "left")
+        first = F.col("__tt_pos").isNull() | (F.col("__tt_pos") == 0)
+        parts = joined.groupBy(*keys, *carry).agg(
             F.sum(F.coalesce(F.col("k"), F.lit(0))).alias("__tt_ksum"),
-            F.count("token").alias("__tt_ntok"))
-
-    def score_keys(self, df: DataFrame, text_col: str, key_col: str,
+            F.count("token").alias("__tt_ntok"), F.count_if(first).alias("__tt_texts"))
+        if tail is None:
+            return parts
+        rest = (joined.filter(F.col("k").isNull() & F.col("token").isNotNull())
+                .groupBy(*keys, *carry, "token").agg(F.count(F.lit(1)).alias("__tt_n")))
+        zero = F.lit(0).cast("bigint")
+        rest = attach(rest, tail, ["token"], how="inner", null_safe=False, cfg=self.join_cfg)
+        rest = rest.select(*keys, *carry, (F.col("k") * F.col("__tt_n")).alias("__tt_ksum"), zero.alias("__tt_ntok"), zero.alias("__tt_texts"))
+        return parts.unionByName(rest).groupBy(*keys, *carry).agg(
+            *(F.sum(c).alias(c) for c in ("__tt_ksum", "__tt_ntok", "__tt_texts")))
+
+    def score_keys(self, df: DataFrame, text_col: str, key_col: str | list[str],
                    carry: tuple[str, ...] = (), p_col: str = "pos_prob") -> DataFrame:
-        """``key_col, *carry, p_col`` without joining back to the texts: a
-        small table (no text), used to materialise scores cheaply."""
+        """``key_col, *carry, p_col, __tt_texts`` without joining back to the texts:
+        a small table (no text), used to materialise scores cheaply."""
         per_text = self.logits(df, text_col, key_col, tuple(carry))
-        return per_text.select(key_col, *carry, sigmoid_p(self.z_expr()).alias(p_col))
+        return per_text.select(*key_list(key_col), *carry, sigmoid_p(self.z_expr()).alias(p_col), "__tt_texts")
 
     def z_expr(self):
         ksum = F.coalesce(F.col("__tt_ksum"), F.lit(0))
@@ -105,10 +141,14 @@ class NBModel(Scorer):
         # The explode, the (broadcast) weight join and the map-side partial sum
         # run in the scan's tasks, so only (key, sum, count) per text is
         # shuffled; the texts themselves are shuffled once, by the key join.
-        per_text = self.logits(df, text_col, key_col)
-        out = df.join(per_text, key_col, "left")
+        keys = key_list(key_col)
+        per_text = self.logits(df, text_col, keys)
+        if not generated:
+            per_text = cut_lineage(per_text, "nb-scores")
+            check_unique(per_text, keys)
+        out = df.join(per_text, keys, "left")
         z = self.z_expr()
-        cols = [F.col(f"`{c}`") for c in df.columns if not (generated and c == key_col)]
+        cols = [F.col(f"`{c}`") for c in df.columns if not (generated and c in keys)]
         extra = []
         if keep_z:
             extra = [z.alias("nb_z"),
@@ -116,14 +156,16 @@ class NBModel(Scorer):
         return out.select(*cols, *extra, sigmoid_p(z).alias(p_col))
 
     # -- persistence (M10 / S6) -------------------------------------------
-    def save(self, path: str) -> None:
+    def save(self, path: str, overwrite: bool = False) -> None:
+        """Fails where something is saved already, unless ``overwrite``."""
         spark = self.weights.sparkSession
-        self.weights.write.mode("overwrite").parquet(os.path.join(path, "weights"))
+        mode = "overwrite" if overwrite else "errorifexists"
+        self.weights.write.mode(mode).parquet(os.path.join(path, "weights"))
         meta = {"prior": self.prior, "vocab": self.vocab, "normalise": self.normalise,
                 "temperature": self.temperature, "max_length": self.token_cfg.max_length,
                 "lowercase": self.token_cfg.lowercase}
         spark.createDataFrame([(json.dumps(meta),)], "meta string") \
-            .coalesce(1).write.mode("overwrite").text(os.path.join(path, "meta"))
+            .coalesce(1).write.mode(mode).text(os.path.join(path, "meta"))
 
     @staticmethod
     def load(spark: SparkSession, path: str, join_cfg: JoinConfig = DEFAULT_JOIN) -> "NBModel":
@@ -152,11 +194,9 @@ def fit_nb(df: DataFrame, text_col: str, label_col: str, *, normalise: str = "su
     """Train on ``df`` (rows with label 0 or 1).  Raises when a class is
     missing, since no two-class model exists then.
 
-    ``min_count`` is the model's vocabulary rule: tokens seen fewer times in
-    training are not part of the model (S1, S0 and V count only the kept
-    tokens) and score 0 like any unknown token.  1 keeps every token; a larger
-    value keeps the weight table small enough to broadcast on very large
-    corpora, where most distinct tokens are rare."""
+    ``min_count`` is a rule of the model, not a means of scale: tokens seen fewer
+    times in training are not part of it (S1, S0 and V count only the kept tokens)
+    and score 0 like any unknown token."""
     if normalise not in ("sum", "mean"):
         raise ValueError("normalise must be 'sum' or 'mean'")
     lab = F.col(label_col).cast("int")

@@ -36,8 +36,9 @@ def reply(predicted: DataFrame, labels: Labels = REPLY_LABELS) -> DataFrame:
 
 
 def accuracy(df: DataFrame, label_col: str, prediction_col: str) -> DataFrame:
-    """One row: ``n``, ``correct``, ``accuracy`` (share of equal values)."""
+    """One row: ``n``, ``correct``, ``accuracy`` (share of equal values, NULL
+    without rows)."""
     return df.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col(prediction_col) == F.col(label_col)).alias("correct"),
-        (F.count_if(F.col(prediction_col) == F.col(label_col)) / F.count(F.lit(1))).alias("accuracy"))
+        F.try_divide(F.count_if(F.col(prediction_col) == F.col(label_col)), F.count(F.lit(1))).alias("accuracy"))

@@ -18,8 +18,9 @@ def class_counts(result: DataFrame, topic_cols: list[str],
     """A1-A3: rows, original and adjusted class counts per topic."""
     lab = cfg.labels
     abs_s, adj_s = F.col("abs_sentiment"), F.col("adj_sentiment")
+    # Rows without a result (keep_invalid, NULL probability) are not counted.
     return result.groupBy(*topic_cols).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count("abs_sentiment").alias("n"),
         F.max("topic_baseline").alias("baseline"),
         F.count_if(abs_s == F.lit(lab.positive)).alias("orig_pos"),
         F.count_if(abs_s == F.lit(lab.negative)).alias("orig_neg"),
@@ -39,7 +40,7 @@ def topic_report(result: DataFrame, topic_cols: list[str],
     # survives conversions that have no integer NULL (e.g. pandas).
     effect = (F.when(b > F.lit(cfg.hi), F.col("adj_pos") - F.col("orig_pos"))
               .when(b < F.lit(cfg.lo), F.col("orig_pos") - F.col("adj_pos"))).cast("double")
-    shares = {f"{c}_share": F.col(c) / n
+    shares = {f"{c}_share": F.try_divide(F.col(c), n)
               for c in ("orig_pos", "orig_neg", "adj_pos", "adj_neg", "adj_neutral")}
     return counts.select(
         *topic_cols, "n", "baseline", three_way(b, cfg).alias("polarity"),

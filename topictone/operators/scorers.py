@@ -38,6 +38,22 @@ class ColumnScorer(Scorer):
         return df.withColumn(p_col, quantise(self.expr))
 
 
+def key_list(key_col: str | list[str] | tuple[str, ...]) -> list[str]:
+    return [key_col] if isinstance(key_col, str) else list(key_col)
+
+
+def check_unique(scored: DataFrame, keys: list[str], n_col: str = "__tt_texts") -> None:
+    """Raise when a key of a materialised table of per-key scores is NULL, stands
+    for several texts or is in several rows (e.g. in two topics)."""
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(f"`{k}`").isNull()
+    bad = (scored.groupBy(*keys).agg(F.sum(n_col).alias("n"), F.count(F.lit(1)).alias("rows"))
+           .filter(null | (F.col("n") > 1) | (F.col("rows") > 1)).limit(1).collect())
+    if bad:
+        raise ValueError(f"key {keys} is NULL or not unique, e.g. {bad[0].asDict()}; give a unique key or several key columns")
+
+
 def with_row_key(df: DataFrame) -> tuple[DataFrame, str]:
     """Give an unkeyed table a unique key, materialised so that the key does not
     change if part of the plan is recomputed."""

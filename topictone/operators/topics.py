@@ -27,11 +27,12 @@ RESULT_COLUMNS = ["abs_sentiment", "abs_confidence", "adj_sentiment", "pos_prob"
 
 def topic_baselines(scored: DataFrame, topic_cols: list[str],
                     cfg: TopicConfig = DEFAULT_TOPIC, p_col: str = P_COL) -> DataFrame:
-    """One row per topic: ``n``, ``sum_p4``, ``baseline``, ``polarity``,
-    ``low_support``.  An empty topic list gives one global topic; no rows give
-    no topic (never a division by zero)."""
+    """One row per topic: ``n`` (rows with a probability), ``sum_p4``,
+    ``baseline``, ``polarity``, ``low_support``.  An empty topic list gives one
+    global topic; a topic without any probability has no baseline row (never a
+    division by zero)."""
     agg = (scored.groupBy(*topic_cols)
-           .agg(F.count(F.lit(1)).alias("n"),
+           .agg(F.count(p_col).alias("n"),
                 F.sum(micro_units(p_col)).alias("sum_p4"))
            .filter(F.col("n") > 0))
     baseline = F.col("sum_p4").cast("double") / (F.lit(10000.0) * F.col("n"))
@@ -49,7 +50,7 @@ def adjustment_columns(p_col: str = P_COL, baseline_col: str = "topic_baseline",
     pos_topic, neg_topic = b > hi, b < lo
     factor = (F.when(pos_topic & (p < lo), k * (F.lit(1.0) - p))
               .when(neg_topic & (p > hi), k * p)
-              .otherwise(F.lit(0.0)))
+              .when(p.isNotNull(), F.lit(0.0)))
     adjusted = (F.when(pos_topic, p + factor)
                 .when(neg_topic, p - factor)
                 .otherwise(p))
@@ -74,14 +75,12 @@ def attach_baselines(scored: DataFrame, baselines: DataFrame, topic_cols: list[s
 
     ``baselines`` should be materialised; its size is measured and it is
     broadcast only within the limits of ``join_cfg``.  A NULL topic is a topic
-    (null-safe key equality).
+    (null-safe key equality).  Rows of a topic without a baseline keep a NULL
+    baseline and are not adjusted.
     """
-    side = baselines.select(*topic_cols, F.col("baseline").alias("topic_baseline"),
-                            F.col("n").alias("__tt_topic_n"))
+    side = baselines.select(*topic_cols, F.col("baseline").alias("topic_baseline"))
     size = measure(side) if topic_cols else None
-    joined = attach(scored, side, topic_cols, how="inner", null_safe=True,
-                    count_col="__tt_topic_n", cfg=join_cfg, size=size)
-    return joined.drop("__tt_topic_n")
+    return attach(scored, side, topic_cols, how="left", null_safe=True, cfg=join_cfg, size=size)
 
 
 def adjust(scored: DataFrame, baselines: DataFrame, topic_cols: list[str],

@@ -71,9 +71,38 @@ def q_csv_class_split(spark, sf_dir):
     return by_class.groupBy("adj_class").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _written_csv(spark, sf_dir) -> dict[str, str]:
+    path = _documents_csv(spark, sf_dir)
+    out = shared_path(spark, "topic-job")
+    model = nb_all_labels(spark, sf_dir, normalise="mean")
+    return run_topic_job(spark, path, model, out, text_col=DEFAULT_TEXT_COL, topic_cols=["source"],
+                         key_col="doc_id", fmt="csv", bom=True)
+
+
+def _typed(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(*more, F.col("doc_id").cast("bigint").alias("doc_id"), DEFAULT_TEXT_COL, "abs_sentiment", "adj_sentiment",
+                       F.col("pos_prob").cast("double").alias("pos_prob"), F.col("topic_baseline").cast("double").alias("topic_baseline"))
+
+
+def q_csv_result_rows(spark, sf_dir):
+    """K1 + K3: the rows of the full CSV result, read back."""
+    return _typed(read_comments(spark, _written_csv(spark, sf_dir)["all"], DEFAULT_TEXT_COL))
+
+
+def q_csv_class_rows(spark, sf_dir):
+    """K2 + P11: the rows of the per-class CSV folders, read back."""
+    return _typed(read_comments(spark, _written_csv(spark, sf_dir)["by_class"], DEFAULT_TEXT_COL), "adj_class")
+
+
 def _text_lines(spark, sf_dir, name: str) -> str:
+    """Lines of a table's texts, some padded or blank by the line's first letter."""
     path = shared_path(spark, f"{name}-lines")
-    table(spark, sf_dir, name).filter(F.col("text").isNotNull()).select("text") \
+    line = F.explode(F.split("text", r"\r\n|\r|\n"))
+    rows = table(spark, sf_dir, name).filter(F.col("text").isNotNull()).select(line.alias("text"))
+    first = F.lower(F.substring("text", 1, 1))
+    rows = rows.select(F.when(first == "t", F.concat(F.lit("\u3000 "), "text", F.lit(" \u00a0")))
+                       .when(first == "a", F.lit(" \u3000\t")).otherwise(F.col("text")).alias("text"))
+    rows \
         .write.mode("errorifexists").text(path)
     return path
 
@@ -120,6 +149,8 @@ IO_QUERIES = {
     "csv_comments": q_csv_comments,
     "csv_topic_job": q_csv_topic_job,
     "csv_class_split": q_csv_class_split,
+    "csv_result_rows": q_csv_result_rows,
+    "csv_class_rows": q_csv_class_rows,
     "text_lines": q_text_lines,
     "labelled_lines": q_labelled_lines,
 }

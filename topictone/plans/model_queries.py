@@ -6,12 +6,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import REPLY_LABELS
-from ..operators.hashed import HashedModel, fit_hashed
+from ..functions.text import tokens
+from ..operators.hashed import fit_hashed
 from ..operators.nb import NBModel
 from ..operators.predict import predict
-from ..session import shared_path
+from ..session import shared_path, write_shared
 from .queries import WHOLE_TEXT, nb_all_labels, split_labelled, table
 from .topic_analysis import analyze_topics
+from .training import load_model
 
 NUM_FEATURES = 1 << 16
 
@@ -23,33 +25,84 @@ def _hashed_fit(spark, sf_dir):
                       num_features=NUM_FEATURES, token_cfg=WHOLE_TEXT)
 
 
+def _derived(scored, *keep: str):
+    """What follows from a probability, next to what was returned: all true."""
+    p = F.col("pos_prob")
+    label = F.when(p > 0.5, 1).otherwise(0)
+    conf = F.round(F.when(p > 0.5, p).otherwise(1 - p), 4)
+    return scored.select(*keep, p.between(0, 1).alias("p_in_range"), (F.col("label") == label).alias("label_follows"),
+                         (F.col("confidence") == conf).alias("confidence_follows"))
+
+
 def q_hashed_score(spark, sf_dir):
-    """M4: every document scored by the selected Spark ML model."""
+    """M4 + M5 + M6: every document scored by the selected Spark ML model, checked
+    against its own probability."""
     fit = _hashed_fit(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    return predict(docs, fit.model, "text", "doc_id", REPLY_LABELS, keep_prob=True).drop("text")
+    return _derived(predict(docs, fit.model, "text", "doc_id", REPLY_LABELS, keep_prob=True), "doc_id", "source", "lang")
 
 
 def q_hashed_best_model(spark, sf_dir):
-    """M8: validation accuracy per regularisation value and the chosen one."""
-    return _hashed_fit(spark, sf_dir).grid
+    """M8: eval rows per regularisation value, and whether the chosen one is the
+    first of the best."""
+    grid = _hashed_fit(spark, sf_dir).grid
+    best = grid.orderBy(F.desc("eval_accuracy"), "reg_param").limit(1).select(F.col("reg_param").alias("want"))
+    picked = grid.filter("chosen").select(F.col("reg_param").alias("got"), F.lit(True).alias("hit"))
+    ok = best.join(picked, F.col("want") == F.col("got"), "left").select(F.coalesce("hit", F.lit(False)).alias("chosen_is_best"))
+    row = ok.first()   # one row
+    return grid.select("reg_param", "eval_n", (F.col("eval_accuracy") == F.try_divide("eval_correct", "eval_n")).alias("accuracy_follows"),
+                       F.lit(bool(row[0])).alias("chosen_is_best"))
 
 
 def q_hashed_topic_analysis(spark, sf_dir):
-    """T8 with the shuffle-free scorer (the large-table default)."""
+    """T8 with the shuffle-free scorer (the large-table default): the result
+    columns of each document follow from its probability and the mean of its
+    source, and the means from the probabilities."""
     fit = _hashed_fit(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    return analyze_topics(docs, fit.model, "text", ["source"]).result.drop("text")
+    res = analyze_topics(docs, fit.model, "text", ["source"], key_col="doc_id", materialize=True).result.drop("text")
+    res = write_shared(res, "hashed-analysis")
+    units = F.round(F.col("pos_prob") * 10000.0).cast("bigint")
+    mean = res.groupBy("source").agg((F.sum(units).cast("double") / (F.lit(10000.0) * F.count(units))).alias("b"))
+    p, b = F.col("pos_prob"), F.col("b")
+    factor = F.when((b > 0.6) & (p < 0.4), F.lit(0.3) * (1 - p)).when((b < 0.4) & (p > 0.6), F.lit(0.3) * p).otherwise(0.0)
+    q = F.when(b > 0.6, p + factor).when(b < 0.4, p - factor).otherwise(p)
+    name = F.when(q > 0.6, "positive").when(q < 0.4, "negative").otherwise("neutral")
+    return res.join(F.broadcast(mean), "source").select(
+        "doc_id", "source", "lang", p.between(0, 1).alias("p_in_range"), (F.col("topic_baseline") == b).alias("baseline_follows"),
+        ((F.col("adj_factor") == factor) & (F.col("adj_pos_prob") == q) & (F.col("adj_sentiment") == name)).alias("adjustment_follows"),
+        (F.col("abs_sentiment") == F.when(p > 0.5, "positive").otherwise("negative")).alias("class_follows"))
 
 
 def q_hashed_model_roundtrip(spark, sf_dir):
-    """M10 + S6 + M11: save the selected model, load it back, score with it."""
+    """M10 + S6 + M11: save the selected model, load it back, score with it: the
+    documents whose reloaded score is the fitted one's."""
     fit = _hashed_fit(spark, sf_dir)
     path = shared_path(spark, "hashed-model")
     fit.model.save(path)
-    loaded = HashedModel.load(path)
+    loaded = load_model(spark, path)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    twice = loaded.score(fit.model.score(docs, "text", p_col="before"), "text", p_col="after")
+    return twice.select("doc_id", F.col("before").eqNullSafe(F.col("after")).alias("same_score"))
+
+
+def q_hashed_features(spark, sf_dir):
+    """E5: token counts per feature bucket and documents per bucket, with a hash
+    that SQL can repeat (the first 32 bits of the md5, mod 4096)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return predict(docs, loaded, "text", "doc_id", REPLY_LABELS).drop("text")
+    toks = docs.select("doc_id", F.explode(tokens("text", WHOLE_TEXT)).alias("token"))
+    bucket = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("bigint") % 4096
+    counts = toks.groupBy("doc_id", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("tf"))
+    return counts.groupBy("bucket").agg(F.sum("tf").alias("tokens"), F.count(F.lit(1)).alias("documents"))
+
+
+def q_sample_predictions(spark, sf_dir):
+    """A saved and reloaded NB model on the benchmark passages as samples."""
+    model = nb_all_labels(spark, sf_dir)
+    path = shared_path(spark, "sample-model")
+    model.save(path)
+    samples = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return predict(samples, load_model(spark, path), "text", "doc_id", REPLY_LABELS).drop("text")
 
 
 def q_nb_model_roundtrip(spark, sf_dir):
@@ -80,5 +133,7 @@ MODEL_QUERIES = {
     "hashed_best_model": q_hashed_best_model,
     "hashed_topic_analysis": q_hashed_topic_analysis,
     "hashed_model_roundtrip": q_hashed_model_roundtrip,
+    "hashed_features": q_hashed_features,
+    "sample_predictions": q_sample_predictions,
     "nb_model_roundtrip": q_nb_model_roundtrip,
 }

@@ -10,13 +10,27 @@ letters-and-digits run (the test tables contain no Han characters).
 
 from __future__ import annotations
 
-from ..config import PANDAS_NA
-from ..functions.text import STRIP_PATTERN, WHITESPACE_CLASS
-
-NONBLANK = WHITESPACE_CLASS.replace("[", "[^", 1)
+# Written out here, from Python's documentation: the characters that str.strip()
+# removes, and the texts that pandas' CSV reader takes as missing.
+WHITE = (r"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x{85}\x{a0}\x{1680}\x{2000}\x{2001}\x{2002}\x{2003}\x{2004}\x{2005}"
+         r"\x{2006}\x{2007}\x{2008}\x{2009}\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+STRIP_PATTERN = f"^[{WHITE}]+|[{WHITE}]+$"
+NONBLANK = f"[^{WHITE}]"
+PANDAS_NA = ["#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+             "NULL", "NaN", "None", "n/a", "nan", "null"]
 TOKEN_RE = r"[\p{L}\p{N}]+"
 
 
+def _untidy(key: str, expr: str = "text") -> str:
+    """The texts of the untidy inputs, by the remainder of their key."""
+    return (f"CASE ({key}) % 8 WHEN 1 THEN NULL WHEN 2 THEN '' WHEN 3 THEN ' ' || chr(12288) || chr(9) || chr(160) "
+            f"WHEN 4 THEN chr(12288) || ' ' || {expr} || chr(8195) || chr(10) ELSE {expr} END")
+
+
+UNTIDY = f"(SELECT conv_id, turn, role, {_untidy('conv_id * 7 + turn')} AS text FROM conversations)"
+UNTIDY_DOCS = f"(SELECT doc_id, {_untidy('doc_id')} AS text FROM documents)"
+
+
 def _toks(expr: str, limit: int | None = None) -> str:
     t = f"regexp_extract_all(lower(coalesce({expr}, '')), '{TOKEN_RE}')"
     return f"list_slice({t}, 1, {limit})" if limit else t
@@ -206,7 +220,7 @@ lu AS (
   UNION ALL SELECT text, 1, 'positive_lines' FROM benchmark
   UNION ALL SELECT text, 0, 'negative_lines' FROM conversations)"""
 
-SPLIT_ASSIGN = f"""{LABELLED_UNION},
+SPLIT_ASSIGN = f"""{LABELLED_UNION.replace('FROM conversations', f'FROM {UNTIDY}')},
 sa AS (SELECT origin, label, {_split('text')} AS split, text FROM lu WHERE text IS NOT NULL)"""
 
 VOCAB = f"""
@@ -240,10 +254,10 @@ PREDICT_SELECT = """SELECT doc_id,
 DOC_TOPICS = ["source", "lang"]
 
 ORACLES: dict[str, str] = {
-    "valid_comments": f"SELECT conv_id, turn, role, text FROM conversations WHERE {_valid('text')}",
-    "stripped_text": f"SELECT doc_id, regexp_replace(text, '{STRIP_PATTERN}', '', 'g') AS text_stripped FROM documents",
-    "null_to_empty": """SELECT l.doc_id, l.quality, coalesce(d.text, '') AS text
-        FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id""",
+    "valid_comments": f"SELECT conv_id, turn, role, text FROM {UNTIDY} WHERE {_valid('text')}",
+    "stripped_text": f"SELECT doc_id, regexp_replace(text, '{STRIP_PATTERN}', '', 'g') AS text_stripped FROM {UNTIDY_DOCS}",
+    "null_to_empty": f"""SELECT l.doc_id, l.quality, coalesce(d.text, '') AS text
+        FROM labels l LEFT JOIN {UNTIDY_DOCS} d ON l.doc_id = d.doc_id""",
     "labelled_union": f"WITH {LABELLED_UNION[1:]} SELECT text, label, origin FROM lu",
     "split_assign": f"WITH {SPLIT_ASSIGN[1:]} SELECT * FROM sa",
     "split_sizes": f"WITH {SPLIT_ASSIGN[1:]} SELECT split, count(*) AS n FROM sa GROUP BY split",
@@ -282,6 +296,15 @@ ORACLES: dict[str, str] = {
     "topic_analysis_events_pos": _events("SELECT * FROM res", positive_leaning=True),
     "topic_analysis_documents": f"WITH {_docs_topic_ctes('quality', 'mean', DOC_TOPICS)[1:]} SELECT * EXCLUDE (text) FROM res",
     "topic_analysis_documents_toxic": f"WITH {_docs_topic_ctes('toxic', 'mean', DOC_TOPICS)[1:]} SELECT * EXCLUDE (text) FROM res",
+    "topic_analysis_keep_invalid": f"""WITH {_docs_topic_ctes('quality', 'mean', ['role'],
+        docs_cols='conv_id, turn, role, text, conv_id * 1000000 + turn AS turn_key',
+        docs=f'(SELECT * FROM {UNTIDY})', key='turn_key')[1:]}
+        SELECT * EXCLUDE (text, turn_key) FROM res UNION ALL BY NAME
+        SELECT conv_id, turn, role FROM {UNTIDY} WHERE NOT coalesce({_valid('text')}, false)""",
+    "topic_analysis_null_prob": _events("""SELECT * FROM res UNION ALL BY NAME
+        SELECT e.event_id, e.user_id, e.event_type, e.value, bl.baseline AS topic_baseline
+        FROM events e LEFT JOIN bl ON e.user_id IS NOT DISTINCT FROM bl.user_id WHERE e.event_id % 7 = 0""").replace(
+        "FROM events),", "FROM events WHERE event_id % 7 <> 0),", 1),
     "topic_analysis_conversations": f"""WITH {_docs_topic_ctes('quality', 'mean', ['conv_id'],
         docs_cols='conv_id, turn, role, text, conv_id * 1000000 + turn AS turn_key',
         docs='conversations', key='turn_key')[1:]} SELECT * EXCLUDE (text, turn_key) FROM res""",
@@ -313,7 +336,7 @@ ORACLES["nb_model_roundtrip"] = ORACLES["nb_score"]
 
 # ------------------------------------------------------------- file I/O --
 
-NA_LIST = ", ".join("'" + v.replace("'", "''") + "'" for v in PANDAS_NA if v)
+NA_LIST = ", ".join("'" + v + "'" for v in PANDAS_NA)
 CSV_DOCS = f"(SELECT * FROM documents WHERE text NOT IN ({NA_LIST}))"
 LINE_SPLIT = r"'\r\n|\r|\n'"
 
@@ -325,11 +348,15 @@ ORACLES["csv_topic_job"] = (
 ORACLES["csv_class_split"] = (
     f"WITH {_docs_topic_ctes('quality', 'mean', ['source'], docs=CSV_DOCS)[1:]}\n"
     "SELECT adj_sentiment AS adj_class, count(*) AS n FROM res GROUP BY 1")
-ORACLES["text_lines"] = f"""SELECT text FROM (
-    SELECT regexp_replace(unnest(regexp_split_to_array(text, {LINE_SPLIT})), '{STRIP_PATTERN}', '', 'g') AS text
-    FROM documents WHERE text IS NOT NULL) WHERE text <> ''"""
-ORACLES["labelled_lines"] = f"""SELECT regexp_replace(unnest(regexp_split_to_array(text, {LINE_SPLIT})), '{STRIP_PATTERN}', '', 'g') AS text,
-    1 AS label FROM benchmark WHERE text IS NOT NULL"""
+def _untidy_lines(table: str) -> str:
+    """The stripped lines of the untidy line files: a line that begins with a is
+    blank, one that begins with t is padded."""
+    return f"""SELECT CASE WHEN lower(substr(t, 1, 1)) = 'a' THEN '' ELSE regexp_replace(t, '{STRIP_PATTERN}', '', 'g') END AS text
+    FROM (SELECT unnest(regexp_split_to_array(text, {LINE_SPLIT})) AS t FROM {table} WHERE text IS NOT NULL)"""
+
+
+ORACLES["text_lines"] = f"SELECT text FROM ({_untidy_lines('documents')}) WHERE text <> ''"
+ORACLES["labelled_lines"] = f"SELECT text, 1 AS label FROM ({_untidy_lines('benchmark')})"
 
 ORACLES["encoded_training_set"] = f"""WITH {VOCAB[1:]},
     toks AS (SELECT l.doc_id, l.quality AS label, {_toks('d.text', 128)} AS t
@@ -386,3 +413,26 @@ hits AS (
 SELECT split, count(*) AS n, count(*) FILTER (WHERE hit) AS correct,
        count(*) FILTER (WHERE hit) / count(*) AS accuracy, variant
 FROM hits GROUP BY split, variant"""
+
+# ---------------------------------------------------------- hashed model --
+# The fitted weights have no SQL form; what must follow from them has.
+ORACLES["hashed_score"] = """SELECT doc_id, source, lang, true AS p_in_range, true AS label_follows, true AS confidence_follows
+    FROM documents"""
+ORACLES["hashed_best_model"] = f"""SELECT reg_param, eval_n, true AS accuracy_follows, true AS chosen_is_best
+    FROM (SELECT count(*) AS eval_n FROM labels l JOIN documents d ON l.doc_id = d.doc_id
+          WHERE d.text IS NOT NULL AND l.quality IN (0, 1) AND {_split('d.text')} = 'eval')
+    CROSS JOIN (SELECT unnest([0.0, 0.01, 0.1])::DOUBLE AS reg_param)"""
+ORACLES["hashed_topic_analysis"] = f"""SELECT doc_id, source, lang, true AS p_in_range, true AS baseline_follows,
+    true AS adjustment_follows, true AS class_follows FROM documents WHERE {_valid('text')}"""
+ORACLES["hashed_model_roundtrip"] = "SELECT doc_id, true AS same_score FROM documents"
+ORACLES["hashed_features"] = f"""WITH t AS (SELECT doc_id, unnest({_toks('text')}) AS token FROM documents),
+c AS (SELECT doc_id, ('0x' || substr(md5(token), 1, 8))::BIGINT % 4096 AS bucket, count(*) AS tf FROM t GROUP BY ALL)
+SELECT bucket, CAST(sum(tf) AS BIGINT) AS tokens, count(*) AS documents FROM c GROUP BY bucket"""
+ORACLES["sample_predictions"] = f"""WITH {_nb_ctes()[1:]}, samples AS (SELECT item_id AS doc_id, text FROM benchmark),
+    {_nb_doc_ctes('samples')} {PREDICT_SELECT} FROM nbs"""
+
+# ------------------------------------------------------- written results --
+_WRITTEN = _docs_topic_ctes("quality", "mean", ["source"], docs=CSV_DOCS)[1:]
+_AS_TEXT = """doc_id, text AS "评论", abs_sentiment, adj_sentiment, pos_prob, topic_baseline"""
+ORACLES["csv_result_rows"] = f"WITH {_WRITTEN}\nSELECT {_AS_TEXT} FROM res"
+ORACLES["csv_class_rows"] = f"WITH {_WRITTEN}\nSELECT adj_sentiment AS adj_class, {_AS_TEXT} FROM res"

@@ -67,6 +67,22 @@ def labelled_docs(spark, sf_dir, label: str = "quality") -> DataFrame:
     return labs.join(docs, "doc_id", "inner")
 
 
+def untidy(conversations: DataFrame) -> DataFrame:
+    """Conversation turns with texts missing, blank or padded, by a rule on the key."""
+    k = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(8))
+    text = (F.when(k == 1, F.lit(None).cast("string")).when(k == 2, F.lit("")).when(k == 3, F.lit(" \u3000\t\u00a0"))
+            .when(k == 4, F.concat(F.lit("\u3000 "), "text", F.lit("\u2003\n"))).otherwise(F.col("text")))
+    return conversations.select("conv_id", "turn", "role", text.alias("text"))
+
+
+def untidy_documents(docs: DataFrame) -> DataFrame:
+    """Documents with texts missing, blank or padded, by a rule on the key."""
+    k = F.pmod(F.col("doc_id"), F.lit(8))
+    text = (F.when(k == 1, F.lit(None).cast("string")).when(k == 2, F.lit("")).when(k == 3, F.lit(" \u3000\t\u00a0"))
+            .when(k == 4, F.concat(F.lit("\u3000 "), "text", F.lit("\u2003\n"))).otherwise(F.col("text")))
+    return docs.withColumn("text", text)
+
+
 def nb_all_labels(spark, sf_dir, label="quality", normalise="sum"):
     return fit_nb(labelled_docs(spark, sf_dir, label), "text", "label",
                   normalise=normalise, token_cfg=WHOLE_TEXT)
@@ -87,16 +103,19 @@ def split_labelled(spark, sf_dir):
 # --------------------------------------------------------------- queries --
 
 def q_valid_comments(spark, sf_dir):
-    conv = table(spark, sf_dir, "conversations")
-    return conv.filter(is_valid_text("text")).select("conv_id", "turn", "role", "text")
+    """P1 over turns some of which are missing, blank or padded."""
+    return untidy(table(spark, sf_dir, "conversations")).filter(is_valid_text("text"))
 
 
 def q_stripped_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", strip_col("text").alias("text_stripped"))
+    """P2 over documents some of which are missing, blank or padded."""
+    docs = untidy_documents(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", strip_col("text").alias("text_stripped"))
 
 
 def q_null_to_empty(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """P4 over labelled documents some of which have no text."""
+    docs = untidy_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
     labs = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return labs.join(docs, "doc_id", "left").select(
         "doc_id", "quality", null_to_empty("text").alias("text"))
@@ -112,7 +131,11 @@ def q_labelled_union(spark, sf_dir):
 
 
 def q_split_assign(spark, sf_dir):
-    return assign_split(q_labelled_union(spark, sf_dir), ["text"], text_col="text") \
+    """D2 + D3 (P3): some turns have no text and are dropped."""
+    docs = labelled_docs(spark, sf_dir).select("text", "label", F.lit("labelled").alias("origin"))
+    turns = untidy(table(spark, sf_dir, "conversations")).select("text", F.lit(0).alias("label"), F.lit("negative_lines").alias("origin"))
+    pos = table(spark, sf_dir, "benchmark").select("text", F.lit(1).alias("label"), F.lit("positive_lines").alias("origin"))
+    return assign_split(union_labelled(docs, pos, turns), ["text"], text_col="text") \
         .select("origin", "label", "split", "text")
 
 
@@ -263,10 +286,22 @@ def q_topic_analysis_documents_toxic(spark, sf_dir):
 
 def q_topic_analysis_conversations(spark, sf_dir):
     model = nb_all_labels(spark, sf_dir, normalise="mean")
-    conv = table(spark, sf_dir, "conversations").withColumn(
-        "turn_key", F.col("conv_id") * 1_000_000 + F.col("turn"))
-    res = analyze_topics(conv, model, "text", ["conv_id"], key_col="turn_key").result
-    return res.drop("text", "turn_key")
+    conv = table(spark, sf_dir, "conversations")
+    return analyze_topics(conv, model, "text", ["conv_id"], key_col=["conv_id", "turn"]).result.drop("text")
+
+
+def q_topic_analysis_keep_invalid(spark, sf_dir):
+    """T8 with ``keep_invalid``: turns without text stay, with NULL results."""
+    model = nb_all_labels(spark, sf_dir, normalise="mean")
+    conv = untidy(table(spark, sf_dir, "conversations"))
+    return analyze_topics(conv, model, "text", ["role"], key_col=["conv_id", "turn"], keep_invalid=True).result.drop("text")
+
+
+def q_topic_analysis_null_prob(spark, sf_dir):
+    """T8 with missing probabilities: they are outside the baseline and have
+    NULL results."""
+    p = F.when(F.col("event_id") % 7 != 0, event_probability())
+    return analyze_topics(events_input(spark, sf_dir), ColumnScorer(p), None, ["user_id"]).result
 
 
 def q_positive_rows(spark, sf_dir):
@@ -344,6 +379,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "topic_analysis_documents": q_topic_analysis_documents,
     "topic_analysis_documents_toxic": q_topic_analysis_documents_toxic,
     "topic_analysis_conversations": q_topic_analysis_conversations,
+    "topic_analysis_keep_invalid": q_topic_analysis_keep_invalid,
+    "topic_analysis_null_prob": q_topic_analysis_null_prob,
     "positive_rows": q_positive_rows,
     "negative_rows": q_negative_rows,
     "neutral_rows": q_neutral_rows,

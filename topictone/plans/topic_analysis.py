@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_JOIN, DEFAULT_TOPIC, JoinConfig, TopicConfig
 from ..functions.text import is_valid_text
 from ..operators.report import topic_report
-from ..operators.scorers import Scorer, with_row_key
+from ..operators.scorers import Scorer, check_unique, key_list, with_row_key
 from ..operators.topics import RESULT_COLUMNS, adjust, check_no_clash, topic_baselines
 from ..session import cut_lineage
 from ..sources.comments import require_column
@@ -39,7 +39,7 @@ class TopicAnalysis:
 
 
 def analyze_topics(df: DataFrame, scorer: Scorer, text_col: str | None,
-                   topic_cols: list[str], key_col: str | None = None,
+                   topic_cols: list[str], key_col: str | list[str] | None = None,
                    cfg: TopicConfig = DEFAULT_TOPIC, *, keep_invalid: bool = False,
                    materialize: bool | None = None,
                    join_cfg: JoinConfig = DEFAULT_JOIN) -> TopicAnalysis:
@@ -48,8 +48,12 @@ def analyze_topics(df: DataFrame, scorer: Scorer, text_col: str | None,
     Rows whose text is NULL or blank are not scored (they get no result row),
     unless ``keep_invalid`` keeps them with NULL results.  ``text_col=None``
     is for tables that already carry a probability (``ColumnScorer``).
+    ``key_col`` (one column or several) must be unique and not NULL among the
+    scored rows: with a scorer that joins on it, anything else raises.  A row
+    whose probability is NULL is outside the baseline and has NULL results.
     """
-    for c in topic_cols + ([text_col] if text_col else []) + ([key_col] if key_col else []):
+    keys = key_list(key_col) if key_col else []
+    for c in topic_cols + ([text_col] if text_col else []) + keys:
         require_column(df, c)
     check_no_clash(df, RESULT_COLUMNS)
     if text_col is not None:
@@ -61,14 +65,16 @@ def analyze_topics(df: DataFrame, scorer: Scorer, text_col: str | None,
     if expensive and key_col is None and hasattr(scorer, "score_keys"):
         # An unkeyed table gets a key once (materialised so it stays fixed).
         valid, generated = with_row_key(valid)
-        key_col = generated
-    if expensive and key_col is not None and hasattr(scorer, "score_keys"):
+        keys = [generated]
+    if expensive and keys and hasattr(scorer, "score_keys"):
         # Materialise only (key, topic, p) -- small, no text -- then put p back
         # on the comments with one join on the unique key.
-        keyed = cut_lineage(scorer.score_keys(valid, text_col, key_col, tuple(topic_cols)),
-                            "scores")
+        topics = [c for c in topic_cols if c not in keys]
+        keyed = cut_lineage(scorer.score_keys(valid, text_col, keys, tuple(topics)), "scores")
+        if generated is None:
+            check_unique(keyed, keys)
         baselines = cut_lineage(topic_baselines(keyed, topic_cols, cfg), "baselines")
-        scored = valid.join(keyed.select(key_col, "pos_prob"), key_col, "inner") \
+        scored = valid.join(keyed.select(*keys, "pos_prob"), keys, "inner") \
             .select(*[F.col(f"`{c}`") for c in valid.columns], "pos_prob")
     else:
         scored = scorer.score(valid, text_col, key_col)

@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,22 +15,24 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT_TOKENS, SPLIT_SEED, TokenConfig
 from ..operators.hashed import HashedModel, fit_hashed
-from ..operators.nb import NBModel, fit_nb
+from ..functions.labels import absolute_id
+from ..operators.nb import NBModel, fit_nb, sigmoid_p
 from ..operators.predict import predict
 from ..operators.prep import assign_split, union_labelled
 from ..operators.scorers import Scorer
 from ..sources.comments import read_labelled_csv
+from ..session import cut_lineage, path_kind
 from ..sources.lines import read_lines
 
 
 def labelled_sources(spark: SparkSession, *, csv: str | None = None, pos_lines: str | None = None,
                      neg_lines: str | None = None, text_col: str = "review",
-                     label_col: str = "label") -> DataFrame:
+                     label_col: str = "label", multi_line: bool = True) -> DataFrame:
     """``text, label`` from a labelled CSV and/or positive and negative
     line files (blank lines kept, as in the original training data load)."""
     parts = []
     if csv:
-        parts.append(read_labelled_csv(spark, csv, text_col, label_col))
+        parts.append(read_labelled_csv(spark, csv, text_col, label_col, multi_line=multi_line))
     if pos_lines:
         parts.append(read_lines(spark, pos_lines, drop_blank=False, label=1))
     if neg_lines:
@@ -51,13 +54,30 @@ def split_accuracy(data: DataFrame, model: Scorer, text_col: str = "text",
     """Accuracy per split in one pass (A7 on every split, A8/M9 = 'test')."""
     gold = data.select("split", text_col, F.col(label_col).alias("__tt_gold"))
     pred = predict(gold, model, text_col)
-    hit = F.col("label") == F.col("__tt_gold")
-    return pred.groupBy("split").agg(
+    return _accuracies(pred, F.col("label") == F.col("__tt_gold"))
+
+
+def _accuracies(rows: DataFrame, hit) -> DataFrame:
+    return rows.groupBy("split").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("correct"),
-        (F.count_if(hit) / F.count(F.lit(1))).alias("accuracy"))
+        F.try_divide(F.count_if(hit), F.count(F.lit(1))).alias("accuracy"))
+
+
+def _choose_nb(split: DataFrame, variants: dict[str, NBModel]) -> tuple[str, DataFrame]:
+    """The variant with the best eval accuracy (ties: "sum") and its accuracy per
+    split.  All rows are scored once: the variants share the token sums, so one
+    table of (split, label, sum, tokens) gives every figure."""
+    rows = split.select("split", "text", F.col("label").alias("__tt_gold")).withColumn("__tt_row", F.monotonically_increasing_id())
+    base = variants["sum"]
+    # Written once, so the row number is fixed; no text is kept.
+    sums = cut_lineage(base.logits(rows, "text", "__tt_row", ("split", "__tt_gold")), "nb-eval")
+    hits = {name: absolute_id(sigmoid_p(m.z_expr())) == F.col("__tt_gold") for name, m in variants.items()}
+    row = sums.filter("split = 'eval'").agg(*(F.avg(h.cast("double")).alias(n) for n, h in hits.items())).first()
+    choice = max(variants, key=lambda n: (row[n] or 0.0, n == "sum"))
+    return choice, _accuracies(sums, hits[choice])
 
 
-def train(data: DataFrame, *, kind: str = "nb", key_cols: tuple[str, ...] = ("text",),
+def train(data: DataFrame, *, kind: str = "hashed", key_cols: tuple[str, ...] = ("text",),
           seed: int = SPLIT_SEED, token_cfg: TokenConfig = DEFAULT_TOKENS,
           num_features: int = 1 << 18, reg_grid=(0.0, 0.01, 0.1)) -> Trained:
     """Split ``data`` (``text, label``), fit, select on eval, measure."""
@@ -68,12 +88,8 @@ def train(data: DataFrame, *, kind: str = "nb", key_cols: tuple[str, ...] = ("te
         base = fit_nb(tr, "text", "label", token_cfg=token_cfg)
         variants = {n: NBModel(base.weights, base.prior, base.vocab, normalise=n,
                                token_cfg=token_cfg) for n in ("sum", "mean")}
-        scores = {}
-        for name, m in variants.items():
-            row = split_accuracy(ev, m).first()
-            scores[name] = row["accuracy"] if row else 0.0
-        choice = max(scores, key=lambda n: (scores[n], n == "sum"))
-        model: Scorer = variants[choice]
+        choice, metrics = _choose_nb(split, variants)
+        return Trained(variants[choice], metrics, choice)
     elif kind == "hashed":
         fit = fit_hashed(tr, ev, "text", "label", num_features=num_features,
                          reg_grid=reg_grid, token_cfg=token_cfg)
@@ -84,15 +100,14 @@ def train(data: DataFrame, *, kind: str = "nb", key_cols: tuple[str, ...] = ("te
     return Trained(model, split_accuracy(split, model), choice)
 
 
-def save_model(model: Scorer, path: str) -> None:
-    """NB as parquet weights + metadata, hashed as a Spark ML pipeline."""
-    model.save(path)
+def save_model(model: Scorer, path: str, overwrite: bool = False) -> None:
+    """NB as parquet weights + metadata, hashed as a Spark ML pipeline; fails
+    where something is saved already, unless ``overwrite``."""
+    model.save(path, overwrite)
 
 
 def load_model(spark: SparkSession, path: str) -> Scorer:
     """Whichever kind was saved at ``path`` (an NB model has a ``meta``
-    entry, a Spark ML pipeline does not)."""
-    try:
-        return NBModel.load(spark, path)
-    except Exception:  # noqa: BLE001 - not an NB model: a Spark ML pipeline
-        return HashedModel.load(path)
+    folder, a Spark ML pipeline does not)."""
+    kind = path_kind(spark, os.path.join(path, "meta"))
+    return NBModel.load(spark, path) if kind == "folder" else HashedModel.load(path)

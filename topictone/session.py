@@ -8,9 +8,12 @@ local test run, a folder under the system temp directory is created and set.
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,7 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        # Only reached where the cluster names no folder, e.g. local tests.
+        # A folder of this machine is shared with the executors only in local mode.
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="topictone-ckpt-")
         if sc is None:
             spark.conf.set("spark.checkpoint.dir", configured)
@@ -73,31 +79,67 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return write_shared(df, name)
 
 
+#: Tables written since the innermost ``owned_tables`` block began.
+_OWNED: list[list[str]] = []
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder on whatever file system it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def path_kind(spark: SparkSession, path: str) -> str:
+    """'folder', 'file' or 'none', on whatever file system the path is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return "none"
+    return "folder" if fs.getFileStatus(target).isDirectory() else "file"
+
+
+@contextmanager
+def owned_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Intermediate tables written in the block are removed at its end; results
+    that are read from them must be written elsewhere before."""
+    own: list[str] = []
+    _OWNED.append(own)
+    try:
+        yield own
+    finally:
+        _OWNED.remove(own)
+        for path in own:
+            remove_path(spark, path)
+
+
 def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a parquet table in the shared folder and read it back."""
+    """Write ``df`` as a parquet table in the shared folder and read it back.
+    The table stays until its ``owned_tables`` block, if any, ends."""
     path = shared_path(df.sparkSession, name)
+    if _OWNED:
+        _OWNED[-1].append(path)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over the cluster before CPU-heavy per-row work
-    (tokenising, model inference) when it comes from fewer input files than
-    the cluster has task slots, e.g. one large unsplittable file or one
-    parquet row group.  A table stored in many files (the normal case at
-    scale) is returned unchanged, so no shuffle is added there."""
+    """Round-robin a *small* table over the cluster before CPU-heavy per-row work
+    (tokenising, model inference).
+
+    A small table may sit in one file or row group and so in one scan task.  The
+    plan's size estimate decides: a table of at least one full scan split
+    (``spark.sql.files.maxPartitionBytes``) per task slot is returned unchanged, so
+    large text is never moved; below that at most one split per slot moves."""
     if df.isStreaming:
         return df   # a stream's micro-batches are partitioned by its source
     spark = df.sparkSession
     try:
         target = partitions or spark.sparkContext.defaultParallelism
-        # Only the number of files is needed: take the length of the JVM-side
-        # list instead of copying every path to Python (a large table has
-        # hundreds of thousands of files).
-        n_files = len(df._jdf.inputFiles())
-    except Exception:  # noqa: BLE001 - Spark Connect: public API only
-        target = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        n_files = len(df.inputFiles())
-    if n_files == 0 or n_files >= target:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        split = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+            spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    except Exception:  # noqa: BLE001 - Spark Connect has no access to the plan
+        return df
+    if math.ceil(size / split) >= target:
         return df
     return df.repartition(target)

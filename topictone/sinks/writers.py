@@ -45,7 +45,9 @@ def _writer(df: DataFrame, fmt: str, mode: str, partition_by: list[str] | None =
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w = w.option("header", True).option("escape", '"').option("encoding", "UTF-8")
+        # White space around a comment is part of it.
+        w = (w.option("header", True).option("escape", '"').option("encoding", "UTF-8")
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
     return w.format(fmt)
 
 

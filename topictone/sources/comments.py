@@ -24,21 +24,21 @@ def require_column(df: DataFrame, name: str) -> None:
 
 def _csv_header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str]:
     # The header row alone (first line of the first file), to build a string schema.
-    first = (spark.read.option("header", False).option("sep", sep)
-             .option("encoding", encoding).option("multiLine", False)
-             .csv(path).limit(1).collect())
+    rows = (spark.read.option("header", False).option("sep", sep)
+            .option("encoding", encoding).option("multiLine", False).csv(path))
+    # Columns of the files are _c0, _c1, ...; a partition folder's column has a name.
+    first = rows.select([c for c in rows.columns if c.startswith("_c")]).limit(1).collect()
     if not first:
         return []
-    names = [c if c is not None else f"_c{i}" for i, c in enumerate(first[0])]
-    if names and names[0].startswith("﻿"):
-        names[0] = names[0][1:]
-    return names
+    return [c if c is not None else f"_c{i}" for i, c in enumerate(first[0])]
 
 
 def read_comments(spark: SparkSession, path: str, text_col: str = DEFAULT_TEXT_COL, *,
                   na_values: tuple[str, ...] | None = PANDAS_NA, multi_line: bool = True,
                   sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """S1 + S2: a comment CSV (header row) as a DataFrame of strings.
+    """S1 + S2: a comment CSV (header row) as a DataFrame of strings.  Every file of
+    a folder must have the header of the first (Spark compares them as it reads;
+    another order or name raises).
 
     ``multi_line=True`` reads quoted newlines as pandas does, at the price of
     one task per file; use ``False`` for one-line CSV, or parquet, at scale.
@@ -48,8 +48,10 @@ def read_comments(spark: SparkSession, path: str, text_col: str = DEFAULT_TEXT_C
     df = (spark.read.schema(schema)
           .option("header", True).option("sep", sep).option("encoding", encoding)
           .option("multiLine", multi_line).option("escape", '"').option("quote", '"')
-          .option("mode", "PERMISSIVE")
+          .option("mode", "PERMISSIVE").option("enforceSchema", False)
           .csv(path))
+    if names and names[0].startswith("\ufeff"):
+        df = df.withColumnRenamed(names[0], names[0][1:])
     require_column(df, text_col)
     if na_values:
         na = [v for v in na_values if v != ""]
@@ -61,9 +63,9 @@ def read_comments(spark: SparkSession, path: str, text_col: str = DEFAULT_TEXT_C
 
 
 def read_labelled_csv(spark: SparkSession, path: str, text_col: str = "review",
-                      label_col: str = "label") -> DataFrame:
+                      label_col: str = "label", *, multi_line: bool = True) -> DataFrame:
     """S3 + P5: a labelled CSV, renamed to ``text, label``."""
-    df = read_comments(spark, path, text_col, na_values=None)
+    df = read_comments(spark, path, text_col, na_values=None, multi_line=multi_line)
     require_column(df, label_col)
     return df.select(F.col(f"`{text_col}`").alias("text"),
                      F.col(f"`{label_col}`").cast("int").alias("label"))

@@ -10,95 +10,102 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import REPLY_LABELS
+from ..functions.labels import binary_reply
+from ..operators.predict import predict
 from ..operators.scorers import ColumnScorer
 from ..operators.topics import topic_baselines
 from ..plans.model_queries import _hashed_fit
-from ..plans.oracles import ORACLES, _event_p, _three_way, _valid
-from ..plans.queries import event_probability
-from ..session import shared_path, write_shared
-from .scoring import adjust_stream, start_scoring_stream, windowed_baselines
+from ..plans.oracles import UNTIDY, _event_p, _events, _three_way, _valid
+from ..plans.queries import event_probability, untidy
+from ..session import path_kind, shared_path, write_shared
+from .scoring import (latest_windows, start_adjust_stream, start_scoring_stream,
+                      start_windowed_stream, windowed_baselines)
 
 WINDOW = "1 hour"
 WATERMARK = "1 hour"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A file stream over one table of the directory (other tables, with other
-    schemas, sit in the same folder; the glob filter selects this one)."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    return (spark.readStream.schema(schema)
-            .option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", 1)
-            .parquet(sf_dir))
+    """A file stream over one table of the directory, stored as a file or as a
+    folder of part files.  All files that are there make one micro-batch, so the
+    result does not depend on how the rows are dealt to files."""
+    base = sf_dir.rstrip("/")
+    path = f"{base}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if path_kind(spark, path) == "folder":
+        return reader.parquet(path)
+    # A file source watches folders: this one, and of it this file.
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(base)
 
 
-def _run_to_end(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    sink, ckpt = shared_path(spark, f"{name}-sink"), shared_path(spark, f"{name}-ckpt")
-    q = (df.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start(sink))
-    q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(sink)
-
-
-def _scoring(spark, sf_dir, name: str, table: str, text_col: str):
-    fit = _hashed_fit(spark, sf_dir)
-    stream = table_stream(spark, sf_dir, table)
-    sink, rejects, ckpt = (shared_path(spark, f"{name}-{k}") for k in ("sink", "rejects", "ckpt"))
-    streams = start_scoring_stream(stream, fit.model, text_col, sink=sink, rejects=rejects,
-                                   checkpoint=ckpt, source=table)
-    streams.await_all()
-    return sink, rejects
+def _paths(spark, name: str, *kinds: str) -> list[str]:
+    return [shared_path(spark, f"{name}-{k}") for k in kinds]
 
 
 def q_stream_score(spark, sf_dir):
-    """X1 + X2: documents arriving as a stream, scored by the Spark ML model."""
-    sink, _ = _scoring(spark, sf_dir, "stream-score", "documents", "text")
-    return spark.read.parquet(sink).select(
-        "doc_id", "source", "lang", "label", "sentiment", "confidence", "reply", "source_name")
+    """X1 + X2: documents arriving as a stream, scored by the Spark ML model.  Per
+    document: the streamed score equals the batch score."""
+    fit = _hashed_fit(spark, sf_dir)
+    sink, rejects, ckpt = _paths(spark, "stream-score", "sink", "rejects", "ckpt")
+    start_scoring_stream(table_stream(spark, sf_dir, "documents"), fit.model, "text", sink=sink, rejects=rejects,
+                         checkpoint=ckpt, source="documents").awaitTermination()
+    streamed = spark.read.parquet(sink).select("doc_id", "source_name", "label", "confidence", "reply")
+    batch = predict(spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", "source", "lang", "text"),
+                    fit.model, "text", "doc_id", REPLY_LABELS).select(
+        "doc_id", "source", "lang", F.col("label").alias("bl"), F.col("confidence").alias("bc"), F.col("sentiment").alias("bs"))
+    same = F.col("label").eqNullSafe(F.col("bl")) & F.col("confidence").eqNullSafe(F.col("bc")) & F.col("reply").eqNullSafe(F.col("bs"))
+    return batch.join(streamed, "doc_id", "full").select("doc_id", "source", "lang", "source_name", same.alias("same_as_batch"))
 
 
 def q_stream_rejects(spark, sf_dir):
-    """Conversation turns without text go to the rejects sink."""
-    _, rejects = _scoring(spark, sf_dir, "stream-rejects", "conversations", "text")
-    schema = "conv_id bigint, turn bigint, role string, text string, reject_reason string"
-    return spark.read.schema(schema).parquet(rejects)
+    """Conversation turns without text go to the rejects sink, the others are
+    scored (by the length of the text, so no model is fitted)."""
+    table = write_shared(untidy(spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")), "untidy")
+    stream = spark.readStream.schema(table.schema).parquet(table.inputFiles()[0].rsplit("/", 1)[0])
+    scorer = ColumnScorer(F.least(F.length("text") / F.lit(1000.0), F.lit(1.0)))
+    sink, rejects, ckpt = _paths(spark, "stream-rejects", "sink", "rejects", "ckpt")
+    start_scoring_stream(stream, scorer, "text", sink=sink, rejects=rejects, checkpoint=ckpt,
+                         source="conversations").awaitTermination()
+    good = spark.read.parquet(sink).select("conv_id", "turn", "role", "text", F.lit(None).cast("string").alias("reject_reason"))
+    return good.unionByName(spark.read.parquet(rejects).select("conv_id", "turn", "role", "text", "reject_reason"))
 
 
 def q_stream_event_replies(spark, sf_dir):
     """X1 + X2 with an exact check: each arriving event gets label,
     confidence and reply from its ready probability; the audit columns
     (``source_name``, ``scored_at``) are written too."""
-    from ..config import REPLY_LABELS
-    from ..functions.labels import binary_reply
-    from ..operators.predict import predict
     stream = table_stream(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    pred = predict(stream, ColumnScorer(event_probability()), None, keep_prob=True)
-    audit = pred.withColumns({"reply": binary_reply("sentiment", REPLY_LABELS),
-                              "source_name": F.lit("events"),
-                              "scored_at": F.current_timestamp()})
-    return _run_to_end(audit, "stream-replies").drop("scored_at")
+    audit = predict(stream, ColumnScorer(event_probability()), None, keep_prob=True).withColumns(
+        {"reply": binary_reply("sentiment", REPLY_LABELS), "source_name": F.lit("events"), "scored_at": F.current_timestamp()})
+    sink, ckpt = _paths(spark, "stream-replies", "sink", "ckpt")
+    (audit.writeStream.format("parquet").outputMode("append").option("checkpointLocation", ckpt)
+     .trigger(availableNow=True).start(sink).awaitTermination())
+    return spark.read.schema(audit.schema).parquet(sink).drop("scored_at")
 
 
 def q_stream_topic_adjust(spark, sf_dir):
-    """Events stream adjusted with the baselines the batch job published."""
+    """Events stream adjusted with the baselines the batch job published, here
+    for users with an even id; events of the others are emitted unadjusted."""
     events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
     scorer = ColumnScorer(event_probability())
-    published = write_shared(
-        topic_baselines(scorer.score(events.select("user_id", "value")), ["user_id"]),
-        "published-baselines")
+    (published,) = _paths(spark, "published", "baselines")
+    topic_baselines(scorer.score(events.select("user_id", "value").filter("user_id % 2 = 0")), ["user_id"]).write.parquet(published)
     stream = table_stream(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    return _run_to_end(adjust_stream(stream, published, ["user_id"], scorer), "stream-adjust")
+    sink, ckpt = _paths(spark, "stream-adjust", "sink", "ckpt")
+    start_adjust_stream(stream, lambda: spark.read.parquet(published), ["user_id"], scorer, sink=sink,
+                        checkpoint=ckpt).awaitTermination()
+    return spark.read.parquet(sink).drop("batch_id")
 
 
 def q_stream_windowed_baseline(spark, sf_dir):
-    """Hourly baselines per event type, emitted after the watermark."""
+    """Hourly baselines per event type, all windows."""
     stream = table_stream(spark, sf_dir, "events")
     scored = ColumnScorer(event_probability()).score(stream.select("ts", "event_type", "value"))
-    out = _run_to_end(windowed_baselines(scored, "ts", WINDOW, WATERMARK, ["event_type"]),
-                      "stream-window")
-    return out.select("window_start", "window_end", "event_type", "n", "sum_p4", "baseline",
-                      "polarity")
+    sink, ckpt = _paths(spark, "stream-window", "sink", "ckpt")
+    start_windowed_stream(windowed_baselines(scored, "ts", WINDOW, WATERMARK, ["event_type"]), sink=sink,
+                          checkpoint=ckpt).awaitTermination()
+    return latest_windows(spark, sink, ["event_type"])
 
 
 STREAM_QUERIES = {
@@ -111,16 +118,15 @@ STREAM_QUERIES = {
 
 _WINDOWED = f"""WITH
 sp AS (SELECT ts, event_type, {_event_p(False)} AS pos_prob FROM events),
-wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events),
 w AS (
-  SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ws, event_type, count(*) AS n,
+  SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ws, event_type, count(pos_prob) AS n,
          CAST(sum(CAST(round(pos_prob * 10000.0::DOUBLE) AS BIGINT)) AS BIGINT) AS sum_p4
-  FROM sp GROUP BY ALL)
+  FROM sp GROUP BY ALL HAVING count(pos_prob) > 0)
 SELECT CAST(epoch(ws) AS BIGINT) AS window_start,
        CAST(epoch(ws + INTERVAL 1 HOUR) AS BIGINT) AS window_end,
        event_type, n, sum_p4, CAST(sum_p4 AS DOUBLE) / (10000.0::DOUBLE * n) AS baseline,
        {_three_way('CAST(sum_p4 AS DOUBLE) / (10000.0::DOUBLE * n)')} AS polarity
-FROM w, wm WHERE ws + INTERVAL 1 HOUR <= mark"""
+FROM w"""
 
 STREAM_ORACLES = {
     "stream_event_replies": f"""SELECT event_id, user_id, value, pos_prob,
@@ -130,9 +136,16 @@ STREAM_ORACLES = {
         CASE WHEN pos_prob > 0.5::DOUBLE THEN '好评 (Positive)' ELSE '差评 (Negative)' END AS reply,
         'events' AS source_name
         FROM (SELECT event_id, user_id, value, {_event_p(False)} AS pos_prob FROM events)""",
+    "stream_score": f"""SELECT doc_id, source, lang, CASE WHEN {_valid('text')} THEN 'documents' END AS source_name,
+        coalesce({_valid('text')}, false) AS same_as_batch FROM documents""",
     "stream_rejects": f"""SELECT conv_id, turn, role, text,
-        CASE WHEN text IS NULL THEN 'null text' ELSE 'blank text' END AS reject_reason
-        FROM conversations WHERE NOT coalesce({_valid('text')}, false)""",
-    "stream_topic_adjust": ORACLES["topic_analysis_events_neg"],
+        CASE WHEN text IS NULL THEN 'null text' WHEN NOT {_valid('text')} THEN 'blank text' END AS reject_reason
+        FROM {UNTIDY}""",
+    # Events of users without a published baseline keep their probability.
+    "stream_topic_adjust": _events("""SELECT event_id, user_id, event_type, value, abs_sentiment, abs_confidence, adj_sentiment,
+        pos_prob, adj_pos_prob, adj_factor, topic_baseline FROM res WHERE user_id % 2 = 0
+        UNION ALL SELECT event_id, user_id, event_type, value, abs_sentiment, abs_confidence,
+        CASE WHEN pos_prob > 0.6::DOUBLE THEN 'positive' WHEN pos_prob < 0.4::DOUBLE THEN 'negative' ELSE 'neutral' END,
+        pos_prob, pos_prob, 0.0::DOUBLE, NULL FROM res WHERE coalesce(user_id % 2 <> 0, true)"""),
     "stream_windowed_baseline": _WINDOWED,
 }

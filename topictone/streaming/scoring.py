@@ -1,23 +1,23 @@
 """Structured Streaming operators.
 
-* X1/X2 ``scoring_stream``: score each arriving comment, keep an audit of the
+* X1/X2 ``start_scoring_stream``: score each arriving comment, keep an audit of the
   input, its prediction, its source and the time it was scored.
 * X3 the same query routes invalid rows (NULL / blank text) to a rejects sink
   with a reason, so a bad message never stops the stream.
-* X4 ``adjust_stream``: topic adjustment against the *published* baseline
+* X4 ``start_adjust_stream``: topic adjustment against the *published* baseline
   table (a stream cannot know the final baseline of a topic; the batch job
-  publishes it) via a stream-static join.
+  publishes it), read again for each micro-batch.
 * X5 ``windowed_baselines``: baselines per event-time window and topic, with a
-  watermark; windows are emitted once the watermark passes their end.
+  watermark; written in update mode, the newest figures of a window count.
 
-Every sink is a file sink with its own checkpoint, so a restart from the
-checkpoint neither loses nor duplicates rows.  Only narrow scorers are
-accepted: a scorer that aggregates would need state.
+Every sink has a folder per micro-batch, overwritten when a batch is repeated,
+and a checkpoint, so a restart neither loses nor duplicates rows.  Only narrow
+scorers are accepted: a scorer that aggregates would need state.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,74 +38,90 @@ def _require_narrow(scorer: Scorer) -> None:
                          "an aggregating scorer would need state")
 
 
-def valid_and_rejects(stream: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Split a stream into valid rows and rejected rows with a reason."""
+def reject_reason(text_col: str):
+    """NULL for a valid text, else why it is rejected."""
     t = F.col(f"`{text_col}`")
-    ok = is_valid_text(t)
-    reason = F.when(t.isNull(), F.lit("null text")).otherwise(F.lit("blank text"))
-    rejects = stream.filter(~F.coalesce(ok, F.lit(False))).withColumn("reject_reason", reason)
-    return stream.filter(ok), rejects
+    return (F.when(t.isNull(), F.lit("null text"))
+            .when(~is_valid_text(t), F.lit("blank text")))
+
+
+def valid_and_rejects(stream: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Split a table or stream into valid rows and rejected rows with a reason."""
+    reason = reject_reason(text_col)
+    return stream.filter(reason.isNull()), stream.filter(reason.isNotNull()).withColumn("reject_reason", reason)
 
 
-def scored_stream(stream: DataFrame, scorer: Scorer, text_col: str,
-                  labels: Labels = REPLY_LABELS, source: str | None = None,
-                  cfg: TopicConfig = DEFAULT_TOPIC) -> tuple[DataFrame, DataFrame]:
-    """X1 + X2 + X3 as DataFrames: (scored audit rows, rejected rows)."""
+def scored_rows(valid: DataFrame, scorer: Scorer, text_col: str | None,
+                labels: Labels = REPLY_LABELS, source: str | None = None,
+                cfg: TopicConfig = DEFAULT_TOPIC) -> DataFrame:
+    """X1 + X2: label, confidence, reply and the audit columns of valid rows."""
     _require_narrow(scorer)
-    valid, rejects = valid_and_rejects(stream, text_col)
-    scored = predict(valid, scorer, text_col, None, labels, cfg)
-    stamp = {"scored_at": F.current_timestamp()}
+    stamp = {"reply": binary_reply("sentiment", labels), "scored_at": F.current_timestamp()}
     if source is not None:
         stamp["source_name"] = F.lit(source)
-    scored = scored.withColumn("reply", binary_reply("sentiment", labels)).withColumns(stamp)
-    return scored, rejects.withColumns(stamp)
-
-
-@dataclass
-class ScoringStreams:
-    scored: StreamingQuery
-    rejects: StreamingQuery
+    return predict(valid, scorer, text_col, None, labels, cfg).withColumns(stamp)
 
-    def await_all(self) -> None:
-        self.scored.awaitTermination()
-        self.rejects.awaitTermination()
 
-    def stop(self) -> None:
-        self.scored.stop()
-        self.rejects.stop()
-
-
-def _file_sink(df: DataFrame, path: str, checkpoint: str, trigger: dict, fmt: str = "parquet"):
-    w = df.writeStream.format(fmt).outputMode("append").option("checkpointLocation", checkpoint)
-    return w.trigger(**trigger).start(path)
+def batch_folder(path: str, batch_id: int) -> str:
+    return f"{path}/batch_id={batch_id}"
 
 
 def start_scoring_stream(stream: DataFrame, scorer: Scorer, text_col: str, *,
                          sink: str, rejects: str, checkpoint: str,
                          trigger: dict | None = None, labels: Labels = REPLY_LABELS,
-                         source: str | None = None) -> ScoringStreams:
-    """Start X1-X3: two file sinks (scored, rejected), each checkpointed
-    under ``checkpoint``.  ``trigger`` defaults to ``availableNow``."""
-    trigger = trigger or {"availableNow": True}
-    good, bad = scored_stream(stream, scorer, text_col, labels, source)
-    return ScoringStreams(
-        _file_sink(good, sink, f"{checkpoint}/scored", trigger),
-        _file_sink(bad, rejects, f"{checkpoint}/rejects", trigger))
+                         source: str | None = None) -> StreamingQuery:
+    """Start X1-X3 as one query: the source is read once per micro-batch, valid
+    rows are scored into ``sink``, the others go to ``rejects``.  Each micro-batch
+    has a folder of its own that a repeated batch overwrites, so a restart neither
+    loses nor duplicates rows.  ``trigger`` defaults to ``availableNow``."""
+    _require_narrow(scorer)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            good, bad = valid_and_rejects(batch, text_col)
+            scored_rows(good, scorer, text_col, labels, source).write.mode("overwrite").parquet(batch_folder(sink, batch_id))
+            bad = bad.withColumn("scored_at", F.current_timestamp())
+            if source is not None:
+                bad = bad.withColumn("source_name", F.lit(source))
+            bad.write.mode("overwrite").parquet(batch_folder(rejects, batch_id))
+        finally:
+            batch.unpersist()
+
+    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def adjust_stream(stream: DataFrame, published: DataFrame, topic_cols: list[str],
                   scorer: Scorer, text_col: str | None = None,
                   cfg: TopicConfig = DEFAULT_TOPIC,
                   join_cfg: JoinConfig = DEFAULT_JOIN) -> DataFrame:
-    """Score a stream and adjust it with the published baselines (a static
+    """Score a stream and adjust it with published baselines (a static
     table: topic columns, ``n``, ``baseline``).  Rows of a topic without a
-    published baseline are not emitted (inner join), as in the batch job."""
+    published baseline are emitted with a NULL baseline, not adjusted."""
     _require_narrow(scorer)
     src = stream.filter(is_valid_text(text_col)) if text_col else stream
     scored = scorer.score(src, text_col, None)
     return adjust(scored, published, topic_cols, cfg, join_cfg)
 
 
+def start_adjust_stream(stream: DataFrame, published: Callable[[], DataFrame], topic_cols: list[str],
+                        scorer: Scorer, *, sink: str, checkpoint: str, text_col: str | None = None,
+                        trigger: dict | None = None, cfg: TopicConfig = DEFAULT_TOPIC,
+                        join_cfg: JoinConfig = DEFAULT_JOIN) -> StreamingQuery:
+    """X4 with refresh: every micro-batch is adjusted with the baselines that
+    ``published()`` reads at that moment, i.e. the newest the batch job wrote.
+    A micro-batch is a table, so past the broadcast limits hot topics are salted."""
+    _require_narrow(scorer)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        out = adjust_stream(batch, published(), topic_cols, scorer, text_col, cfg, join_cfg)
+        out.write.mode("overwrite").parquet(batch_folder(sink, batch_id))
+
+    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
 UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Etc/GMT", "Z", "+00:00")
 
 
@@ -126,16 +142,38 @@ def windowed_baselines(stream: DataFrame, ts_col: str, window: str, watermark: s
                        topic_cols: list[str], p_col: str = "pos_prob",
                        cfg: TopicConfig = DEFAULT_TOPIC) -> DataFrame:
     """``window_start, window_end`` (epoch seconds), topics, ``n, sum_p4,
-    baseline, polarity`` per tumbling event-time window (append mode: a
-    window is emitted once the watermark passes its end)."""
+    baseline, polarity`` per tumbling event-time window.  ``n`` counts rows with a
+    probability; a window without any has no row."""
     tz = stream.sparkSession.conf.get("spark.sql.session.timeZone")
     agg = (stream.withColumn("__tt_ts", event_time_utc(ts_col, stream.schema[ts_col].dataType, tz))
            .withWatermark("__tt_ts", watermark)
            .groupBy(F.window("__tt_ts", window).alias("__tt_w"), *topic_cols)
-           .agg(F.count(F.lit(1)).alias("n"), F.sum(micro_units(p_col)).alias("sum_p4")))
+           .agg(F.count(p_col).alias("n"), F.sum(micro_units(p_col)).alias("sum_p4")).filter("n > 0"))
     baseline = F.col("sum_p4").cast("double") / (F.lit(10000.0) * F.col("n"))
     return agg.select(
         F.unix_seconds(F.col("__tt_w.start")).alias("window_start"),
         F.unix_seconds(F.col("__tt_w.end")).alias("window_end"),
         *topic_cols, "n", "sum_p4", baseline.alias("baseline"),
         three_way(baseline, cfg).alias("polarity"))
+
+
+def start_windowed_stream(windows: DataFrame, *, sink: str, checkpoint: str,
+                          trigger: dict | None = None) -> StreamingQuery:
+    """Write ``windowed_baselines`` in update mode: each micro-batch writes the
+    current figures of the windows it changed, open ones included, so the last
+    windows are there without waiting for a later event.  A row is late only
+    against the watermark of earlier micro-batches."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(batch_folder(sink, batch_id))
+
+    return (windows.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def latest_windows(spark, sink: str, topic_cols: list[str]) -> DataFrame:
+    """The newest figures of each window and topic."""
+    rows = spark.read.parquet(sink)
+    keys = ["window_start", "window_end", *topic_cols]
+    values = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("v"))
+    return newest.select(*keys, *(F.col(f"v.{c}").alias(c) for c in values))
