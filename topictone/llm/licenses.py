@@ -8,8 +8,8 @@ licence; the others are classified.  The classifier is a multinomial logistic
 regression with an L1 penalty on counts of word 1- to 3-grams.  It is trained on
 notices generated from the family names (every opening with every name and some
 closings, in the midst of ordinary words too) and, as the class ``unknown``, on a
-bounded sample of the corpus's own paragraphs that no template confirms (SAMPLE
-documents in the order of a hash, a parameter).  A part of both is held back: the
+bounded sample of the corpus's own paragraphs that no template confirms (about
+SAMPLE documents by a hash, 2 * SAMPLE at most).  A part of both is held back: the
 least probability from which on a family is believed is the least one that gives
 PRECISION on it; anything below is ``unknown``.  A believed family must be
 confirmed: TEMPLATE of the word pairs of one of its names stand in the paragraph.
@@ -120,11 +120,13 @@ def notices(spark: SparkSession) -> DataFrame:
     return out.select(F.concat_ws(" ", "opening", "name", "closing").alias("paragraph"), "family")
 
 
-def training_rows(docs: DataFrame, text_col: str) -> DataFrame:
+def training_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """paragraph, family: notices, and ordinary paragraphs as unknown; notices
     stand also next to ordinary words."""
     text = F.col(f"`{text_col}`").cast("string")
-    sample = docs.filter(text.isNotNull()).select(text.alias("t")).orderBy(F.xxhash64("t"), "t").limit(SAMPLE)
+    texts = docs.filter(text.isNotNull()).select(F.col(f"`{id_col}`").alias("id"), text.alias("t"))
+    share = int(min(1.0, SAMPLE / max(1, texts.count())) * 1_000_000)
+    sample = texts.filter(F.pmod(F.xxhash64("id", "t"), F.lit(1_000_000)) < share).select("t").limit(2 * SAMPLE)
     plain = sample.select(F.explode(F.split("t", r"\n+|(?<=[.!?;])\s+")).alias("paragraph"))
     plain = plain.withColumn("w", words_of(F.col("paragraph"))).filter((F.size("w") > 0) & ~confirmed(F.col("w")))
     plain = plain.withColumn("n", F.pmod(F.xxhash64("paragraph"), F.lit(16))).filter("n < 4")
@@ -161,8 +163,8 @@ class LicenceModel:
             "grams", "features", "rawPrediction", "probability", "prediction")
 
 
-def fit_licences(docs: DataFrame, *, text_col: str = "text") -> LicenceModel:
-    rows = write_shared(training_rows(docs, text_col).withColumn("w", words_of(F.col("paragraph"))), "licence-rows")
+def fit_licences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> LicenceModel:
+    rows = write_shared(training_rows(docs, id_col, text_col).withColumn("w", words_of(F.col("paragraph"))), "licence-rows")
     names = sorted([*FAMILIES, UNKNOWN])
     label = F.array_position(F.array(*map(F.lit, names)), F.col("family")).cast("double") - 1
     rows = rows.withColumn("label", label).withColumn("grams", ngrams(F.col("w"))).withColumn(
