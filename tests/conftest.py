@@ -23,3 +23,13 @@ def spark():
 @pytest.fixture
 def tmp_dir(tmp_path):
     return str(tmp_path)
+
+
+@pytest.fixture(scope="session")
+def sf001():
+    return SF001
+
+
+@pytest.fixture(scope="session")
+def sf01():
+    return SF01

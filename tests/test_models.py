@@ -1,5 +1,5 @@
 """Scorers: naive Bayes against a brute-force Python version, the hashed
-Spark ML pipeline, the external-model path, split and encoding."""
+Spark ML pipeline, split and encoding."""
 
 import math
 import re
@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from topictone.config import TokenConfig
 from topictone.operators.encode import build_vocabulary, encode_fixed
-from topictone.operators.external import ExternalScorer
 from topictone.operators.hashed import fit_hashed
 from topictone.operators.nb import NBModel, fit_nb
 from topictone.operators.predict import accuracy, predict
@@ -110,18 +109,6 @@ def test_hashed_pipeline_and_no_exchange(spark, tmp_dir):
     assert back.score(data, "text").count() == data.count()
 
 
-def test_external_scorer(spark):
-    def make():
-        def predict_fn(texts):
-            return np.array([min(1.0, len(str(t)) / 10.0) for t in texts], dtype=np.float64)
-        return predict_fn
-
-    scorer = ExternalScorer(make, batch_size=4)
-    df = spark.createDataFrame([(i, "x" * i) for i in range(12)] + [(99, None)], "id bigint, text string")
-    got = {r["id"]: r["pos_prob"] for r in scorer.score(df, "text").collect()}
-    assert got[3] == 0.3 and got[11] == 1.0 and got[99] == 0.0
-
-
 def test_split_is_deterministic_and_keyed(spark):
     rows = [(i, f"text {i % 300}") for i in range(3000)]
     df = spark.createDataFrame(rows, "id bigint, text string")
@@ -159,7 +146,7 @@ def test_nb_salted_weight_join_matches_broadcast(spark):
     df = spark.createDataFrame(texts, "id bigint, text string")
     a = sorted(tuple(r) for r in model.score(df, "text", "id", keep_z=True).collect())
     scored = tiny.score(df, "text", "id", keep_z=True)
-    assert "__tt_salt" in scored._jdf.queryExecution().executedPlan().toString()
+    assert "__tt_salt" in tiny.logits(df, "text", "id")._jdf.queryExecution().executedPlan().toString()
     b = sorted(tuple(r) for r in scored.collect())
     assert a == b
 
@@ -178,3 +165,54 @@ def test_nb_min_count_vocabulary(spark):
     got = {r["id"]: r["nb_z"] for r in model.score(df, "text", "id", keep_z=True).collect()}
     want = brute_nb(pruned, [" ".join(w for w in tok(t) if w in kept) for t in texts])
     assert [got[i] for i in range(3)] == [z for z, _ in want]
+
+
+def test_nb_beyond_the_broadcast_limits_is_exact(spark):
+    """Broadcast head + joined tail, and nothing broadcast at all, give the scores
+    of the plain path, texts without known tokens included."""
+    from topictone.config import JoinConfig
+    train = spark.createDataFrame([(f"good w{i} nice", 1) for i in range(40)] + [(f"bad v{i} awful", 0) for i in range(40)],
+                                  "text string, label int")
+    model = fit_nb(train, "text", "label")
+    df = spark.createDataFrame([(1, "good w1 w1 bad"), (2, "unknown words only"), (3, None), (4, ""), (5, "v3 nice " * 50)],
+                               "id bigint, text string")
+    want = sorted(map(tuple, model.score(df, "text", "id", keep_z=True).collect()), key=str)
+    for rows in (0, 3, 50):
+        small = NBModel(model.weights, model.prior, model.vocab, join_cfg=JoinConfig(rows, 1 << 20 if rows else 0))
+        assert sorted(map(tuple, small.score(df, "text", "id", keep_z=True).collect()), key=str) == want
+
+
+def test_a_broadcast_token_is_not_moved_by_token(spark):
+    train = spark.createDataFrame(TRAIN, "text string, label int")
+    model = fit_nb(train, "text", "label")
+    df = spark.createDataFrame([(1, "good bad")], "id bigint, text string")
+    plan = model.logits(df, "text", "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(token" not in plan
+
+
+def test_models_are_not_overwritten_unasked(spark, tmp_dir):
+    train = spark.createDataFrame(TRAIN, "text string, label int")
+    model = fit_nb(train, "text", "label")
+    model.save(tmp_dir + "/m")
+    with pytest.raises(Exception, match="(?i)exist"):
+        model.save(tmp_dir + "/m")
+    model.save(tmp_dir + "/m", overwrite=True)
+
+
+def test_fit_hashed_without_eval_rows(spark):
+    train = spark.createDataFrame(TRAIN, "text string, label int")
+    fit = fit_hashed(train, train.limit(0), "text", "label", num_features=64, reg_grid=(0.0, 0.1), max_iter=3)
+    assert fit.grid.filter("chosen").first()["reg_param"] == 0.0
+
+
+def test_vocabulary_ties_at_the_cut(spark):
+    df = spark.createDataFrame([("a a a b b c c d d e",)], "text string")
+    got = [(r.token, r.id) for r in build_vocabulary(df, "text", vocab_size=3).orderBy("id").collect()]
+    assert got == [("a", 2), ("b", 3), ("c", 4)]
+
+
+def test_encoding_raises_on_a_repeated_key(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "c d e")], "id bigint, text string")
+    vocab = build_vocabulary(df, "text", vocab_size=5)
+    with pytest.raises(Exception, match="not unique"):
+        encode_fixed(df, vocab, "text", "id", token_cfg=TokenConfig(max_length=4), vocab_size=5).collect()

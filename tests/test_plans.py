@@ -45,7 +45,7 @@ def test_nb_scoring_shuffles_only_keys_and_sums(spark):
     docs = read_table(spark, SF01, "documents").select("doc_id", "text")
     labs = read_table(spark, SF01, "labels").select("doc_id", F.col("quality").alias("label"))
     model = fit_nb(labs.join(docs, "doc_id"), "text", "label", token_cfg=TokenConfig())
-    plan = _plan(model.score(docs, "text", "doc_id").select("doc_id", "pos_prob"))
+    plan = _plan(model.logits(docs, "text", "doc_id"))
     assert "BroadcastHashJoin" in plan             # weights measured and small
     assert plan.count("partial_sum") == 1          # map-side per-text sum
 
@@ -65,7 +65,7 @@ def test_nb_topic_analysis_materialises_scores_without_text(spark):
     assert "Window" not in plan and "SinglePartition" not in plan
 
 
-def test_spread_only_for_few_files(spark, tmp_dir):
+def test_spread_moves_small_tables_only(spark, tmp_dir):
     from topictone.session import spread
     from topictone.sources.comments import read_table
     one_file = read_table(spark, SF01, "documents")
@@ -76,3 +76,22 @@ def test_spread_only_for_few_files(spark, tmp_dir):
     assert "RoundRobinPartitioning" not in _plan(spread(df))
     stream = spark.readStream.schema(df.schema).parquet(tmp_dir + "/many")
     assert spread(stream) is stream
+    # one splittable file that is enough scan splits for every slot is not moved
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        assert "RoundRobinPartitioning" not in _plan(spread(one_file.select("text")))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_training_scores_once(spark, tmp_dir, monkeypatch):
+    """Both variants and all splits come from one pass of token sums."""
+    from topictone.operators.nb import NBModel
+    from topictone.plans.training import train
+    calls = []
+    plain = NBModel.logits
+    monkeypatch.setattr(NBModel, "logits", lambda self, *a, **k: (calls.append(1), plain(self, *a, **k))[1])
+    data = spark.createDataFrame([(f"good {i}", 1) for i in range(60)] + [(f"bad {i}", 0) for i in range(60)], "text string, label int")
+    trained = train(data, kind="nb")
+    assert len(calls) == 1 and sum(r["n"] for r in trained.metrics.collect()) == 120

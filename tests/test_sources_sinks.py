@@ -102,3 +102,56 @@ def test_one_line_csv_and_bom_in_every_part(spark, tmp_dir):
             assert fh.read(3) == b"\xef\xbb\xbf"
     back = read_comments(spark, out["all"], "abs_sentiment", na_values=None)
     assert back.count() == 40 and back.columns[0] == "topic"
+
+
+def test_csv_keeps_white_space_bom_and_name(spark, tmp_dir):
+    from topictone.sinks.writers import output_base, write_result
+    rows = [(1, "  lead and trail  ", "positive"), (2, "\u3000x\t", "negative")]
+    df = spark.createDataFrame(rows, "id bigint, `评论` string, adj_sentiment string")
+    paths = write_result(df, tmp_dir, output_base("/in/hotel.csv"), fmt="csv", bom=True)
+    assert paths["all"].endswith("/hotel_all") and paths["by_class"].endswith("/hotel_by_class")
+    for kind in ("all", "by_class"):
+        for multi in (True, False):
+            got = read_comments(spark, paths[kind], multi_line=multi).collect()
+            assert sorted(r["评论"] for r in got) == sorted(r[1] for r in rows)
+    for folder, _, names in os.walk(paths["all"]):
+        for n in names:
+            if n.endswith(".csv"):
+                with open(os.path.join(folder, n), "rb") as f:
+                    assert f.read(3) == b"\xef\xbb\xbf"
+
+
+def test_csv_folder_with_another_header_order_raises(spark, tmp_dir):
+    for n, text in (("a.csv", "id,评论\n1,x\n"), ("b.csv", "评论,id\ny,2\n")):
+        with open(os.path.join(tmp_dir, n), "w", encoding="utf-8") as f:
+            f.write(text)
+    with pytest.raises(Exception):
+        read_comments(spark, tmp_dir).collect()
+
+
+def test_intermediate_tables_are_removed_by_their_owner(spark, tmp_dir):
+    from topictone.session import owned_tables, path_kind, write_shared
+    with owned_tables(spark) as own:
+        table = write_shared(spark.range(5), "owned")
+        assert table.count() == 5 and path_kind(spark, own[0]) == "folder"
+    assert path_kind(spark, own[0]) == "none"
+
+
+def test_no_silent_local_folder_on_a_cluster(monkeypatch):
+    from topictone import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())

@@ -27,7 +27,7 @@ def test_scoring_stream_restart_and_rejects(spark, tmp_dir):
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(src)
         s = start_scoring_stream(stream, model, "text", sink=sink, rejects=rej, checkpoint=ckpt,
                                  source="test")
-        s.await_all()
+        s.awaitTermination()
 
     run()
     assert spark.read.parquet(sink).count() == 2
@@ -88,3 +88,94 @@ def test_event_time_utc_matches_cast_in_utc(spark):
         assert built.first()[0] == cast.first()[0] == 1710037800123456
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+# -- layouts: one file, a folder of unsorted part files, files that arrive later
+
+def _tables(spark, tmp_dir, sf):
+    """The same tables as one file each, and as folders of six unsorted parts."""
+    import shutil
+    parts = os.path.join(tmp_dir, "parts")
+    os.makedirs(parts)
+    for t in ("events", "documents", "conversations", "labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{t}.parquet").repartition(6).write.parquet(f"{parts}/{t}.parquet")
+    one = os.path.join(tmp_dir, "one")
+    os.makedirs(one)
+    for t in ("events", "documents", "conversations", "labels", "benchmark"):
+        shutil.copy(f"{sf}/{t}.parquet", f"{one}/{t}.parquet")
+    return one, parts
+
+
+def _bag(df):
+    return sorted(map(str, df.select(*sorted(df.columns)).collect()))
+
+
+def test_streams_do_not_depend_on_the_layout(spark, tmp_dir):
+    from conftest import SF001
+    from topictone.streaming.queries import STREAM_QUERIES
+    one, parts = _tables(spark, tmp_dir, SF001)
+    for name in ("stream_event_replies", "stream_topic_adjust", "stream_windowed_baseline", "stream_rejects"):
+        a, b = _bag(STREAM_QUERIES[name](spark, one)), _bag(STREAM_QUERIES[name](spark, parts))
+        assert a == b and a, name
+    assert sum(r["n"] for r in STREAM_QUERIES["stream_windowed_baseline"](spark, parts).collect()) == 1000
+
+
+def test_new_files_continue_windows_and_adjustment(spark, tmp_dir):
+    from conftest import SF001
+    from topictone.plans.queries import event_probability
+    from topictone.streaming.queries import STREAM_QUERIES
+    from topictone.streaming.scoring import (latest_windows, start_adjust_stream, start_windowed_stream,
+                                             windowed_baselines)
+    events = spark.read.parquet(f"{SF001}/events.parquet")
+    src, pub = tmp_dir + "/events", tmp_dir + "/pub"
+    scorer = ColumnScorer(event_probability())
+
+    def publish(cond):
+        topic_baselines(scorer.score(events.filter(cond).select("user_id", "value")), ["user_id"]).write.mode("overwrite").parquet(pub)
+
+    def run():
+        stream = spark.readStream.schema(events.schema).parquet(src)
+        scored = scorer.score(stream.select("ts", "event_type", "value"))
+        # a watermark that covers the backlog: no row is late
+        start_windowed_stream(windowed_baselines(scored, "ts", "1 hour", "3650 days", ["event_type"]), sink=tmp_dir + "/w",
+                              checkpoint=tmp_dir + "/wc").awaitTermination()
+        start_adjust_stream(stream.select("event_id", "user_id", "value"), lambda: spark.read.parquet(pub), ["user_id"], scorer,
+                            sink=tmp_dir + "/a", checkpoint=tmp_dir + "/ac").awaitTermination()
+
+    publish("user_id < 0")
+    events.filter("event_id % 3 = 0").repartition(2).write.mode("append").parquet(src)
+    run()
+    publish("true")
+    events.filter("event_id % 3 <> 0").repartition(3).write.mode("append").parquet(src)
+    run()
+    run()
+    want = STREAM_QUERIES["stream_windowed_baseline"](spark, SF001)
+    assert _bag(latest_windows(spark, tmp_dir + "/w", ["event_type"])) == _bag(want)
+    out = spark.read.parquet(tmp_dir + "/a")
+    assert out.count() == events.count()
+    # the first files met no baseline, the later ones the newly published ones
+    assert out.filter("event_id % 3 = 0 AND topic_baseline IS NOT NULL").count() == 0
+    assert out.filter("event_id % 3 <> 0 AND topic_baseline IS NULL").count() == 0
+
+
+def test_adjust_stream_past_the_limits(spark, tmp_dir):
+    from topictone.config import JoinConfig
+    from topictone.streaming.scoring import start_adjust_stream
+    rows = [(i, "hot" if i % 3 else f"t{i % 7}", (i % 100) / 100) for i in range(900)]
+    spark.createDataFrame(rows, "id bigint, topic string, p double").write.parquet(tmp_dir + "/in")
+    static = spark.read.parquet(tmp_dir + "/in")
+    scorer = ColumnScorer("p")
+    published = topic_baselines(scorer.score(static), ["topic"]).filter("topic <> 't0'")
+    published.write.parquet(tmp_dir + "/pub")
+    bags = []
+    for n, cfg in enumerate((JoinConfig(), JoinConfig(0, 0))):
+        stream = spark.readStream.schema(static.schema).parquet(tmp_dir + "/in")
+        start_adjust_stream(stream, lambda: spark.read.parquet(tmp_dir + "/pub"), ["topic"], scorer, join_cfg=cfg,
+                            sink=f"{tmp_dir}/s{n}", checkpoint=f"{tmp_dir}/c{n}").awaitTermination()
+        bags.append(_bag(spark.read.parquet(f"{tmp_dir}/s{n}")))
+    plain = adjust_stream(spark.readStream.schema(static.schema).parquet(tmp_dir + "/in"), spark.read.parquet(tmp_dir + "/pub"),
+                          ["topic"], scorer, join_cfg=JoinConfig(0, 0))
+    (plain.writeStream.format("parquet").option("checkpointLocation", tmp_dir + "/c9").trigger(availableNow=True)
+     .start(tmp_dir + "/s9").awaitTermination())
+    assert bags[0] == bags[1] and len(bags[0]) == 900
+    assert _bag(spark.read.parquet(tmp_dir + "/s9")) == _bag(spark.read.parquet(tmp_dir + "/s0").drop("batch_id"))

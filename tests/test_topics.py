@@ -238,3 +238,64 @@ def test_unkeyed_table_with_nb_scorer(spark):
     unkeyed = analyze_topics(df, model, "text", ["topic"]).result
     assert unkeyed.columns == keyed.columns
     assert sorted(map(tuple, unkeyed.collect())) == sorted(map(tuple, keyed.collect()))
+
+
+def _nb(spark):
+    from topictone.operators.nb import fit_nb
+    train = spark.createDataFrame([("good nice", 1), ("great good", 1), ("bad awful", 0), ("awful terrible", 0)], "text string, label int")
+    return fit_nb(train, "text", "label")
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, "good", "a"), (1, "bad", "b")],          # one key in two topics
+    [(2, "good", "a"), (2, "bad", "a")],          # one key twice in a topic
+    [(None, "good", "a"), (3, "bad", "a")],       # no key
+])
+def test_keys_that_cannot_be_told_apart_raise(spark, rows):
+    df = spark.createDataFrame(rows, "id bigint, text string, topic string")
+    with pytest.raises(ValueError, match="not unique"):
+        analyze_topics(df, _nb(spark), "text", ["topic"], "id")
+    with pytest.raises(ValueError, match="not unique"):
+        _nb(spark).score(df, "text", "id")
+
+
+def test_composite_key(spark):
+    df = spark.createDataFrame([(1, 1, "good", "a"), (1, 2, "bad", "b"), (2, 1, "awful", "a")], "c bigint, t bigint, text string, topic string")
+    got = {(r.c, r.t): r.pos_prob for r in analyze_topics(df, _nb(spark), "text", ["topic"], ["c", "t"]).result.collect()}
+    assert got[1, 1] > 0.5 > got[1, 2] and got[2, 1] < 0.5
+
+
+def test_null_probability_has_no_class(spark):
+    df = spark.createDataFrame([(1, "a", 0.9), (2, "a", None), (3, "b", None)], "id bigint, topic string, p double")
+    an = analyze_topics(df, ColumnScorer("p"), None, ["topic"])
+    rows = {r.id: r for r in an.result.collect()}
+    assert rows[1].topic_baseline == 0.9 and len(rows) == 3
+    assert rows[2].abs_sentiment is None and rows[2].adj_sentiment is None and rows[2].topic_baseline == 0.9
+    assert rows[3].topic_baseline is None and rows[3].adj_sentiment is None
+    report = {r.topic: r for r in an.report().collect()}
+    assert report["a"].n == 1 and report["b"].n == 0 and report["b"].adj_pos_share is None
+
+
+def test_absent_hot_and_null_keys_are_spread(spark):
+    """Keys that the small table does not hold are split as well (AQE off)."""
+    from topictone.config import JoinConfig
+    from topictone.operators.joins import attach
+    rows = [(None if i % 2 else "absent" if i % 5 else f"k{i % 50}", i) for i in range(8000)]
+    big = spark.createDataFrame(rows, "key string, id bigint").repartition(4)
+    small = spark.createDataFrame([(f"k{i}", i) for i in range(50)], "key string, v int")
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = attach(big, small, ["key"], how="left", cfg=JoinConfig(0, 0))
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        again = attach(big.repartition(7), small, ["key"], how="left", cfg=JoinConfig(0, 0))
+        assert sorted(map(str, out.collect())) == sorted(map(str, again.collect())) and out.count() == 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert max(sizes) < 3 * 8000 / 8
+
+
+def test_accuracy_of_no_rows(spark):
+    from topictone.operators.predict import accuracy
+    row = accuracy(spark.createDataFrame([], "a int, b int"), "a", "b").first()
+    assert row["n"] == 0 and row["accuracy"] is None

@@ -67,23 +67,26 @@ def test_cli(spark, tmp_dir, capsys):
     assert pred["sentiment"] in ("好评 (Positive)", "差评 (Negative)")
 
 
-def test_cli_transformer_model_option(spark, tmp_dir, capsys, monkeypatch):
-    """--transformer-model goes through the Arrow-batched external scorer; a
-    stub stands in for the model (torch is not installed here)."""
-    import numpy as np
-    import topictone.__main__ as cli
-
-    def fake_fn(path, max_length):
-        assert path == "/models/x" and max_length == 64
-
-        def make():
-            return lambda texts: np.array([0.9 if "好" in str(t) else 0.1 for t in texts])
-        return make
-
-    monkeypatch.setattr(cli, "sequence_classifier_fn", fake_fn)
-    main(["predict", "--transformer-model", "/models/x", "--max-length", "64", "--text", "很好"])
-    pred = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
-    assert pred["label"] == 1 and pred["confidence"] == 0.9
+def test_cli_keys_invalid_rows_report_and_log(spark, tmp_dir, capsys):
+    pos, neg, _ = _files(tmp_dir)
+    model = os.path.join(tmp_dir, "nb")
+    main(["train", "--pos", pos, "--neg", neg, "--kind", "nb", "--out", model])
+    comments = os.path.join(tmp_dir, "c.csv")
+    with open(comments, "w", encoding="utf-8") as f:
+        f.write("id,评论,shop\n1,很好,a\n2,,a\n3,dirty room,b\n")
+    main(["analyze", "--input", comments, "--model", model, "--output-dir", os.path.join(tmp_dir, "r"), "--key", "id",
+          "--keep-invalid", "--one-line-csv", "--topic-columns", "shop"])
+    lines = [json.loads(ln) for ln in capsys.readouterr().out.splitlines() if ln.startswith("{")]
+    assert [r["n"] for r in lines if "shop" in r] == [1, 1] and lines[-2]["orig_pos_share"].endswith("%")
+    rows = {r["id"]: r for r in spark.read.parquet(lines[-1]["parquet_all"]).collect()}
+    assert set(rows) == {"1", "2", "3"} and rows["2"]["adj_sentiment"] is None
+    texts = os.path.join(tmp_dir, "t.txt")
+    with open(texts, "w", encoding="utf-8") as f:
+        f.write("很好\nbad service\n")
+    log = os.path.join(tmp_dir, "log")
+    main(["predict", "--model", model, "--file", texts, "--log", log])
+    printed = [json.loads(ln) for ln in capsys.readouterr().out.splitlines() if ln.startswith("{")]
+    assert len(printed) == 2 and spark.read.parquet(log).count() == 2
 
 
 def test_cli_parquet_output_and_split_report(spark, tmp_dir, capsys):

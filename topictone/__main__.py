@@ -84,7 +84,8 @@ def main(argv: list[str] | None = None) -> None:
                               headers=args.labels, cfg=cfg,
                               mode="overwrite" if args.overwrite else "errorifexists")
         report = topic_report(spark.read.parquet(paths["parquet_all"]), topics, cfg)
-        for row in report_display(report, topics).orderBy(*topics).limit(args.show).collect():
+        shown = report_display(report, topics)
+        for row in (shown.orderBy(*topics) if topics else shown).limit(args.show).collect():
             print(json.dumps(row.asDict(), ensure_ascii=False))
         print(json.dumps(paths, ensure_ascii=False))
     else:

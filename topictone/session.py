@@ -142,4 +142,5 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
         return df
     if math.ceil(size / split) >= target:
         return df
-    return df.repartition(target)
+    files = len(df._jdf.inputFiles())   # of a small table only
+    return df.repartition(target) if 0 < files < target else df
