@@ -128,8 +128,10 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     share = int(min(1.0, SAMPLE / max(1, texts.count())) * 1_000_000)
     sample = texts.filter(F.pmod(F.xxhash64("id", "t"), F.lit(1_000_000)) < share).select("t").limit(2 * SAMPLE)
     plain = sample.select(F.explode(F.split("t", r"\n+|(?<=[.!?;])\s+")).alias("paragraph"))
-    plain = plain.withColumn("w", words_of(F.col("paragraph"))).filter((F.size("w") > 0) & ~confirmed(F.col("w")))
-    plain = plain.withColumn("n", F.pmod(F.xxhash64("paragraph"), F.lit(16))).filter("n < 4")
+    plain = plain.filter(F.pmod(F.xxhash64("paragraph"), F.lit(4)) == 0).limit(12 * SAMPLE)
+    # Without a marker word no template is confirmed: few paragraphs are compared.
+    named = F.when(F.regexp_like("paragraph", F.lit(_MARKED)), confirmed(words_of(F.col("paragraph")))).otherwise(F.lit(False))
+    plain = plain.filter(~named).withColumn("w", words_of(F.col("paragraph"))).filter(F.size("w") > 0)
     made = notices(docs.sparkSession)
     # One ordinary paragraph per notice, by number.
     some = plain.orderBy(F.xxhash64("paragraph"), "paragraph").limit(4000)
@@ -196,9 +198,10 @@ def licence_scan(docs: DataFrame, model: LicenceModel, *, id_col: str = "doc_id"
     text = F.col(f"`{text_col}`").cast("string")
     marked = F.regexp_like(text, F.lit(_MARKED))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.when(marked, F.md5(text.cast("binary"))).alias("h"))
-    # The key is null in rows without a marker word, which match nothing.
-    out = rows.join(one.select(F.col("id").alias("oid"), F.col("h").alias("oh"), "n_marked", "n_licence", "families"),
-                    F.col("id").eqNullSafe(F.col("oid")) & (F.col("h") == F.col("oh")), "left")
+    # Rows without a marker word have no digest; they don't meet in a join.
+    side = one.select(F.col("id").alias("oid"), F.col("h").alias("oh"), "n_marked", "n_licence", "families")
+    out = rows.filter("h IS NOT NULL").join(side, F.col("id").eqNullSafe(F.col("oid")) & (F.col("h") == F.col("oh")), "left")
+    out = out.unionByName(rows.filter("h IS NULL"), allowMissingColumns=True)
     zero = F.lit(0).cast("long")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_marked", zero).alias("n_marked"),
                       F.coalesce("n_licence", zero).alias("n_licence"), F.coalesce("families", F.lit("")).alias("families"))
