@@ -20,8 +20,8 @@ the corpus's word counts.  The sum is the text's log10 probability;
 
 What the corpus gives, over all training rows: exact word counts (partial counts
 per task, summed by word) and the slot counts (one table per task, summed by
-block).  Only bounded tables reach the driver and are broadcast: HEAD words of at
-most LONG_WORD bytes (longer words count under a digest) and 2 * SLOTS slots.
+block).  Only bounded tables reach the driver and are broadcast: HEAD words (or
+fewer, as words of equal count stay together) of at most LONG_WORD bytes (longer words count under a digest) and 2 * SLOTS slots.
 Tail words are joined by word; none of them is frequent, so none is hot.
 
 Null texts count as empty (one end token).  Without training rows every count is 0
@@ -41,7 +41,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, groups_of, write_shared
@@ -265,6 +265,24 @@ def _first_weights(code: Code, counts: list[np.ndarray], texts: list[str]) -> np
     return start
 
 
+def _head(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The most frequent words: all with at least the least count that HEAD words
+    or fewer reach.  Only those are sent to the driver."""
+    hist = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    reached = hist.withColumn("reached", F.sum("words").over(Window.orderBy(F.desc("n"))))
+    least = reached.filter(F.col("reached") <= HEAD).agg(F.min("n")).first()[0]
+    rows = [] if least is None else counts.filter(F.col("n") >= least).collect()
+    return sorted(((bytes(r["word"]), int(r["n"])) for r in rows), key=lambda x: (-x[1], x[0]))
+
+
+def _sample(docs: DataFrame, n_docs: int) -> list[str]:
+    """About SAMPLE training texts, by a hash of id and text; 2 * SAMPLE at most."""
+    share = F.lit(int(min(1.0, SAMPLE / max(1, n_docs)) * 1_000_000))
+    rows = (docs.filter("NOT held_out").filter(F.octet_length("text") <= SAMPLE_BYTES)
+            .filter(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < share).select("text"))
+    return sorted(r["text"] for r in rows.limit(2 * SAMPLE).collect())
+
+
 def mixing_scores(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score,
     score, bits_per_byte.  ``held_out``: a condition; its rows are not learnt from."""
@@ -273,15 +291,14 @@ def mixing_scores(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col
     counts = write_shared(_count_words(docs), "cm-words")
     row = counts.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("V")).first()
     total, distinct = int(row["N"] or 0), int(row["V"])
-    head = [(bytes(r["word"]), int(r["n"])) for r in counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()]
+    n_docs = int(counts.filter(F.col("word") == F.lit(END)).agg(F.sum("n")).first()[0] or 0)
+    head = _head(counts)
     tail_n, tail_v = total - sum(n for _, n in head), distinct - len(head)
     code = Code.of(head, tail_n)
     shared_code = sc.broadcast(code)
     slots = _count_slots(docs, shared_code)
-    sample = (docs.filter("NOT held_out").filter(F.octet_length("text") <= SAMPLE_BYTES)
-              .orderBy(F.xxhash64("id", "text")).limit(SAMPLE).select("text"))
     mixer = Mixer([_odds(c[:, 0], c[:, 1]) for c in slots], [_level(c.sum(1)) for c in slots],
-                  _first_weights(code, slots, [r["text"] for r in sample.collect()]))
+                  _first_weights(code, slots, _sample(docs, n_docs)))
     shared_mixer = sc.broadcast(mixer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
