@@ -35,7 +35,7 @@ from .common import texts_of
 
 LEAF = 32
 #: Longest match, in characters, whose ids are remembered, and how many are.
-MEMO_CHARS, MEMO_SIZE = 48, 600_000
+MEMO_CHARS, MEMO_SIZE = 32, 150_000
 #: The encoder of this Python worker, kept from task to task: (broadcast value, encoder).
 _ENCODER: list = [None, None]
 

@@ -36,7 +36,7 @@ from .common import LOWER, collected, groups_of, texts_of
 
 #: Bytes of item text in one broadcast, bytes of document text in one shard,
 #: and every how many words of a stretch a suffix position is sampled.
-BLOCK_BYTES, SHARD_BYTES, SAMPLE = 16 << 20, 16 << 20, 8
+BLOCK_BYTES, SHARD_BYTES, SAMPLE = 16 << 20, 8 << 20, 8
 
 #: A word in lower-cased UTF-8: no ASCII besides digits and letters.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

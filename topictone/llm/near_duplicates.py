@@ -38,12 +38,14 @@ from pyspark.sql import functions as F
 
 from .common import groups_of, write_shared
 from .components import components
-from .sketch import band_keys, shingles, sketches
+from .sketch import band_keys, forget_words, shingles, sketches
 
 BANDS, ROWS, MARGIN = 32, 5, 0.18
 COORDS = BANDS * ROWS
 #: Members and shingles of a key or family that one task holds twice at most.
 GROUP, GROUP_SHINGLES, BATCH_BYTES = 2000, 2_000_000, 2 << 20
+#: A class with more than 1/HOT of all documents is hot.
+HOT = 1000
 
 
 def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -78,6 +80,7 @@ def _sketched(docs: DataFrame, k: int) -> DataFrame:
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                 pa.array([r.tobytes() if len(s) else None for r, s in zip(rows, sets)], pa.binary())],
                 ["id", "h", "n", "c", "s"]).to_batches()
+        forget_words()
 
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, h binary, n long, c binary, s binary")
 
@@ -118,16 +121,18 @@ def _searched(rows: DataFrame, key: str, links: Callable[[list[dict]], list[tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at, out = [], None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                mark = (row[key], row["i"], row["j"])
-                if mark != at:
-                    out += edges(held)
-                    held, at = [], mark
-                held.append(row)
+            for some in range(0, batch.num_rows, 200):  # few rows at once as Python objects
+                for row in batch.slice(some, 200).to_pylist():
+                    mark = (row[key], row["i"], row["j"])
+                    if mark != at:
+                        out += edges(held)
+                        held, at = [], mark
+                    held.append(row)
             if len(out) > 5000:
                 yield _edge_batch(out)
                 out = []
         out += edges(held)
+        forget_words()
         if out:
             yield _edge_batch(out)
 
@@ -197,7 +202,21 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     of_linked = linked.join(least, "root").select(F.col("node").alias("c"), "low")
     low = (classes.join(of_linked, "c", "left").filter(F.col("low").isNotNull() | (F.col("copies") > 1))
            .select("c", F.coalesce("low", "least").alias("low")))
-    return rows.join(low, "c", "left").select("id", "h", "n", F.coalesce("low", "id").alias("component_id"))
+    return _on_rows(rows.select("id", "h", "n", "c"), low, classes)
+
+
+def _on_rows(rows: DataFrame, low: DataFrame, classes: DataFrame) -> DataFrame:
+    """component_id of each document.  Classes with more than 1/HOT of all
+    documents (HOT at most, so they are broadcast) and documents without
+    shingles don't meet in the shuffle join of the others."""
+    total = rows.count()
+    hot = (low.join(classes.select("c", "copies"), "c").filter(F.col("copies") * HOT > total)
+           .select("c", F.col("low").alias("hot")))
+    marked = rows.join(F.broadcast(hot), "c", "left")
+    apart = F.col("c").isNull() | F.col("hot").isNotNull()
+    done = marked.filter(apart).select("id", "h", "n", F.coalesce("hot", "id").alias("component_id"))
+    rest = marked.filter(~apart).drop("hot").join(low, "c", "left")
+    return done.unionByName(rest.select("id", "h", "n", F.coalesce("low", "id").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,9 @@ from .common import LOWER
 
 _GOLD, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Hashes of words that were met, MEMO at most; a task empties it when it ends.
 _HASH_OF: dict[bytes, int] = {}
+MEMO = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,7 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hashes of the words (split at ASCII white space, A-Z lower-cased)."""
     known = _HASH_OF
-    if len(known) > 1_000_000:
+    if len(known) > MEMO:
         known.clear()
     words = (text or "").encode().translate(LOWER).split()
     for w in set(words).difference(known):
@@ -42,6 +44,11 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+def forget_words() -> None:
+    """A Python worker outlives its tasks; what they remembered need not."""
+    _HASH_OF.clear()
+
+
 def shingles(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of k consecutive words; of fewer words, the whole
     sequence; none of an empty text."""
