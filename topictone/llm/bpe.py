@@ -35,9 +35,7 @@ from .common import texts_of
 
 LEAF = 32
 #: Longest match, in characters, whose ids are remembered, and how many are.
-MEMO_CHARS, MEMO_SIZE = 32, 150_000
-#: The encoder of this Python worker, kept from task to task: (broadcast value, encoder).
-_ENCODER: list = [None, None]
+MEMO_CHARS, MEMO_SIZE = 32, 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -153,9 +151,8 @@ def bpe_documents(df: DataFrame, ranks: dict[bytes, int], pattern: str, *, id_co
     shared = spark.sparkContext.broadcast((ranks, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _ENCODER[0] is not shared.value:
-            _ENCODER[:] = shared.value, MonoidBPE(*shared.value)
-        bpe = _ENCODER[1]
+        # Made for each task: a Python worker outlives it and serves other stages.
+        bpe = MonoidBPE(*shared.value)
         for batch in batches:
             n, ids_out, text_out = [], [], []
             for value in batch.column(1):
