@@ -100,3 +100,41 @@ def test_query_held_out(spark, sf01):
         assert tuple(r)[:5] == w[:5] and r.base_score == pytest.approx(w[5], rel=1e-9)
     out = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_first_weights_are_fitted_on_all_rows(spark):
+    rng = np.random.default_rng(5)
+    # every text is longer than 64 KB; "a" and "b" take turns, so order 1 tells the next word
+    rows = [(i, ("a b " * 9000 if i % 2 else "b a " * 9000) + " ".join(f"c{x}" for x in rng.integers(0, 40, 9000))) for i in range(4)]
+    docs = spark.createDataFrame([(i, t, False) for i, t in rows], "id long, text string, held_out boolean").repartition(3)
+    counts = Counter(w for _, t in rows for w in M.tokens(t))
+    code = M.Code.of(sorted(counts.items(), key=lambda x: (-x[1], x[0])), 0)
+    shared = spark.sparkContext.broadcast(code)
+    slots = M._count_slots(docs, shared)
+    got = M._first_weights(docs, shared, slots)
+    symbols, first, _ = M._flat(code, [M.tokens(t) for _, t in rows])
+    node, bit, where, _ = code.decisions(symbols, first)
+    x, level = [code.logit[node].astype(float)], []
+    for order in range(2):
+        n = slots[order][where[order]]
+        n[np.arange(len(bit)), bit] -= 1
+        x.append(M._odds(n[:, 0], n[:, 1]))
+        level.append(M._level(n.sum(1)))
+    x, gate = np.stack(x, 1), level[0] * 3 + level[1]
+    assert {8} <= set(gate.tolist())
+    for g in range(M.GATES):
+        xs, y = x[gate == g], bit[gate == g]
+        slope = xs.T @ (y - 1 / (1 + np.exp(-xs @ got[g]))) - M.RIDGE * (got[g] - np.array([1.0, 0, 0]))
+        hess = (xs.T * np.exp(-np.logaddexp(0, xs @ got[g]) - np.logaddexp(0, -xs @ got[g]))) @ xs + M.RIDGE * np.eye(M.INPUTS)
+        assert np.abs(np.linalg.solve(hess, slope)).max() < M.SETTLED
+    assert np.abs(got[8] - [1, 0, 0]).max() > 0.3
+
+
+def test_short_texts_are_refined(monkeypatch):
+    rng = np.random.default_rng(6)
+    mixer = M.Mixer([], [], np.full((M.GATES, M.INPUTS), 0.3))
+    x, bit = rng.normal(size=(M.INPUTS, 100)).astype(np.float32), rng.integers(0, 2, 100).astype(np.int8)
+    run = lambda: mixer.log_probability(x, np.zeros(100, np.int8), bit, np.array([0, 100]))[0]
+    refined = run()
+    monkeypatch.setattr(M, "RATE", 0.0)
+    assert refined != run()

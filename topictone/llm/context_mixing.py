@@ -10,10 +10,10 @@ many as its bits of information.  Three predictors give each decision a logit:
   of the node with the last one or two tokens.
 
 A gate, how often the order-1 and order-2 slots were seen, chooses the weights
-that add the logits up.  The weights start from a fit on a bounded sample of
-training texts (each decision left out of its own counts) and are refined online
-within each text, after every BLOCK decisions, so a text's score does not depend
-on other texts or on partitions.  A word outside the head costs its escape
+that add the logits up.  The weights start from a fit on all training texts
+(each decision left out of its own counts; sums of gradients and Hessians per task)
+and are refined online within each text, after every BLOCK decisions (two or three
+words), so a text's score does not depend on other held-out texts or on partitions.  A word outside the head costs its escape
 and then its add-one share among those words, whose exact counts are joined from
 the corpus's word counts.  The sum is the text's log10 probability;
 ``bits_per_byte`` relates it to its UTF-8 bytes.
@@ -47,12 +47,13 @@ from pyspark.sql import functions as F
 from .common import LOWER, groups_of, write_shared
 from .sketch import mix
 
-HEAD, LONG_WORD, SLOTS, BLOCK = 1 << 17, 64, 1 << 18, 256
+HEAD, LONG_WORD, SLOTS, BLOCK = 1 << 17, 64, 1 << 18, 32
 #: Slots in one row of a task's table; distinct words a task counts before it
 #: hands its counts on; bytes of text that are scored together.
 SLOT_ROWS, FLUSH_WORDS, BATCH_BYTES = 1 << 12, 300_000, 1 << 20
-#: Texts, and their bytes each, of the sample that the first weights are fitted on.
-SAMPLE, SAMPLE_BYTES = 200, 1 << 16
+#: The fit of the first weights: passes at most, the move that ends them, one row
+#: of so many for the first passes, ridge, and tokens that are handled together.
+PASSES, SETTLED, WARM, RIDGE, FIT_TOKENS = 25, 0.01, 16, 20.0, 1 << 16
 GATES, INPUTS, RATE = 9, 3, 0.0005
 END = b""
 
@@ -240,29 +241,67 @@ def _count_slots(docs: DataFrame, code) -> list[np.ndarray]:
     return out
 
 
-def _first_weights(code: Code, counts: list[np.ndarray], texts: list[str]) -> np.ndarray:
-    """Logistic regression per gate (Newton steps with a little ridge towards
-    order 0 alone), every decision left out of its own slots' counts."""
+def _fit_sums(docs: DataFrame, code, counts, weights: np.ndarray) -> np.ndarray:
+    """Per gate, the gradient (INPUTS) and Hessian (INPUTS * INPUTS) of the
+    logistic loss at ``weights`` over the decisions of all ``docs``, each left out
+    of its own slots' counts: sums of each task, summed by gate."""
+    size = INPUTS + INPUTS * INPUTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code_, counts_, sums = code.value, counts.value, np.zeros((GATES, size))
+        for table in groups_of(batches, "text", BATCH_BYTES):
+            symbols, first, _ = _flat(code_, [tokens(t.as_py()) for t in table.column(0)])
+            for at in range(0, len(symbols), FIT_TOKENS):
+                low = max(0, at - 2)  # the tokens before, as context only
+                node, bit, slots, token = code_.decisions(symbols[low:at + FIT_TOKENS], first[low:at + FIT_TOKENS])
+                own = int(np.searchsorted(token, at - low))
+                node, bit = node[own:], bit[own:]
+                every = np.arange(len(bit))
+                x, level = [code_.logit[node]], []
+                for order in range(2):
+                    n = counts_[order][slots[order][own:]]
+                    n[every, bit] = np.maximum(n[every, bit] - 1, 0)
+                    x.append(_odds(n[:, 0], n[:, 1]))
+                    level.append(_level(n.sum(1)))
+                x, gate = np.stack(x, 1), level[0] * 3 + level[1]
+                for g in range(GATES):
+                    in_gate = np.flatnonzero(gate == g)
+                    xs = x[in_gate].astype(np.float64)
+                    p = 1 / (1 + np.exp(-np.clip(xs @ weights[g], -30, 30)))
+                    sums[g, :INPUTS] += xs.T @ (bit[in_gate] - p)
+                    sums[g, INPUTS:] += ((xs * (p * (1 - p))[:, None]).T @ xs).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(range(GATES), pa.int32()), *(pa.array(c) for c in sums.T)], names)
+
+    names = ["gate", *(f"s{i}" for i in range(size))]
+    parts = docs.select("text").mapInArrow(run, ", ".join(["gate int", *(f"{n} double" for n in names[1:])]))
+    out = np.zeros((GATES, size))
+    for r in parts.groupBy("gate").agg(*(F.sum(n).alias(n) for n in names[1:])).collect():
+        out[r["gate"]] = r[1:]
+    return out
+
+
+def _first_weights(docs: DataFrame, code, counts: list[np.ndarray]) -> np.ndarray:
+    """Logistic regression per gate over all training rows: Newton steps, with a
+    little ridge towards order 0 alone, until no weight moves by more than SETTLED.
+    Steps over one row of WARM bring the start near; they don't decide the result."""
     start = np.tile(np.array([1.0, 0, 0]), (GATES, 1))
-    if not texts:
-        return start
-    symbols, first, _ = _flat(code, [tokens(t) for t in texts])
-    node, bit, slots, _ = code.decisions(symbols, first)
-    x, level = [code.logit[node]], []
-    for order in range(2):
-        n = counts[order][slots[order]].copy()
-        n[np.arange(len(bit)), bit] = np.maximum(n[np.arange(len(bit)), bit] - 1, 0)
-        x.append(_odds(n[:, 0], n[:, 1]))
-        level.append(_level(n.sum(1)))
-    x, gate = np.stack(x, 1).astype(np.float64), level[0] * 3 + level[1]
-    for g in range(GATES):
-        xs, y, w = x[gate == g], bit[gate == g], start[g].copy()
-        for _ in range(8):
-            p = 1 / (1 + np.exp(-np.clip(xs @ w, -30, 30)))
-            hess = (xs * (p * (1 - p))[:, None]).T @ xs + 20 * np.eye(INPUTS)
-            w += np.linalg.solve(hess, xs.T @ (y - p) - 20 * (w - start[g]))
-        start[g] = w
-    return start
+    shared, weights = docs.sparkSession.sparkContext.broadcast(counts), start.copy()
+    train = docs.filter("NOT held_out")
+    some = train.filter(F.pmod(F.xxhash64("id", "text"), F.lit(WARM)) == 0)
+    for rows in (some, train):
+        for _ in range(PASSES):
+            sums = _fit_sums(rows, code, shared, weights)
+            moved = 0.0
+            for g in range(GATES):
+                hess = sums[g, INPUTS:].reshape(INPUTS, INPUTS) + RIDGE * np.eye(INPUTS)
+                step = np.linalg.solve(hess, sums[g, :INPUTS] - RIDGE * (weights[g] - start[g]))
+                step /= max(1.0, float(np.abs(step).max()))
+                weights[g] += step
+                moved = max(moved, float(np.abs(step).max()))
+            if moved < SETTLED:
+                break
+    shared.unpersist()
+    return weights
 
 
 def _head(counts: DataFrame) -> list[tuple[bytes, int]]:
@@ -275,14 +314,6 @@ def _head(counts: DataFrame) -> list[tuple[bytes, int]]:
     return sorted(((bytes(r["word"]), int(r["n"])) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
-def _sample(docs: DataFrame, n_docs: int) -> list[str]:
-    """About SAMPLE training texts, by a hash of id and text; 2 * SAMPLE at most."""
-    share = F.lit(int(min(1.0, SAMPLE / max(1, n_docs)) * 1_000_000))
-    rows = (docs.filter("NOT held_out").filter(F.octet_length("text") <= SAMPLE_BYTES)
-            .filter(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < share).select("text"))
-    return sorted(r["text"] for r in rows.limit(2 * SAMPLE).collect())
-
-
 def mixing_scores(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score,
     score, bits_per_byte.  ``held_out``: a condition; its rows are not learnt from."""
@@ -291,14 +322,13 @@ def mixing_scores(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col
     counts = write_shared(_count_words(docs), "cm-words")
     row = counts.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("V")).first()
     total, distinct = int(row["N"] or 0), int(row["V"])
-    n_docs = int(counts.filter(F.col("word") == F.lit(END)).agg(F.sum("n")).first()[0] or 0)
     head = _head(counts)
     tail_n, tail_v = total - sum(n for _, n in head), distinct - len(head)
     code = Code.of(head, tail_n)
     shared_code = sc.broadcast(code)
     slots = _count_slots(docs, shared_code)
     mixer = Mixer([_odds(c[:, 0], c[:, 1]) for c in slots], [_level(c.sum(1)) for c in slots],
-                  _first_weights(code, slots, _sample(docs, n_docs)))
+                  _first_weights(docs, shared_code, slots))
     shared_mixer = sc.broadcast(mixer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
