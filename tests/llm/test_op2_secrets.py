@@ -90,3 +90,39 @@ def test_query_on_a_table(spark, sf01):
     got = {r.doc_id: r for r in op2_guess_cost_secrets(spark, sf01).collect()}
     check(rows, [got[i] for i, _ in rows])
     assert sum(r.n_assign for r in got.values()) > 0
+
+
+OLD = re.compile(
+    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|login|(?:api|access|private)[ _-]?key)\b["']?\s{0,4}"""
+    r"""(?:[:=]>?|is\b)\s{0,4}["'`]?([^\s"'`,;<>(){}\[\]]{6,})""", re.IGNORECASE | re.ASCII)
+
+
+def test_credential_words_in_identifiers(spark):
+    value = "kT7#qq!2Zx9Lm"
+    names = ["DB_PASSWORD=", "client_secret: ", "auth_token=", "secret_key: ", "dbPassword: ", "authKey=", "userAuth: ", "MY-API-KEY: ", "password2 = ",
+             "x_api key: ", '"refreshToken": "', "login_pass=", "credentials: "]
+    rows = [(i, f"set {n}{value}") for i, n in enumerate(names)]
+    rows += [(100 + i, f"{n}: {value}") for i, n in enumerate(["author", "AUTHORS", "passenger", "passage", "monkey"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in S.secret_spans(df).collect()}
+    for i, n in enumerate(names):
+        assert got[i].spans.split(",")[-1] == f"guess:{4 + len(n)}:{4 + len(n) + len(value)}", n
+    assert all(got[i].n_guess == 0 for i, _ in rows if i >= 100)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["pass", "word", "AUTH", "auth", "api", "key", "secret", "login", "_", "-", " ", ": ", "=", " is ", '"', "abcdef", "kT7#qq!2", "X", "5", "é"]),
+                max_size=14).map("".join))
+def test_free_standing_words_are_still_contexts(text):
+    new = [m.span(1) for m in S.CONTEXT.finditer(text)]
+    for m in OLD.finditer(text):  # the same value, or one that holds it or holds its context
+        assert any(a <= m.end(1) and m.start() <= b for a, b in new), text
+
+
+@pytest.mark.parametrize("text", ["a" * 300_000, "pass" * 75_000, "api" * 100_000, "secret_" * 40_000, "a-" * 150_000, "token " * 50_000])
+def test_contexts_in_linear_time(text):
+    import time
+
+    start = time.process_time()
+    assert not list(S.CONTEXT.finditer(text))
+    assert time.process_time() - start < 5

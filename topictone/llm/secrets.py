@@ -43,9 +43,14 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: A credential word, a joint, and the value after it.
+#: An identifier with a credential word in it (DB_PASSWORD, authToken), a joint, and
+#: the value after it.  "pass" and "auth" don't begin a longer word there (author).
+#: An identifier is read from its start and never given back: linear time.
+_CREDENTIAL = (r"(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credential|login|(?:api|access|private)[_-]?key"
+               r"|(?:pass|auth)(?-i:(?![a-z])(?!(?<=[A-Z])[A-Z])))")
 CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth|login|(?:api|access|private)[ _-]?key)\b["']?\s{0,4}"""
+    rf"""(?<![A-Za-z0-9_-])(?:(?=[A-Za-z0-9_-]*?{_CREDENTIAL})[A-Za-z0-9_-]++"""
+    r"""|[A-Za-z0-9_-]*+(?:(?<=api)|(?<=access)|(?<=private))\x20key[A-Za-z0-9_-]*+)["']?\s{0,4}"""
     r"""(?:[:=]>?|is\b)\s{0,4}["'`]?([^\s"'`,;<>(){}\[\]]{6,})""", re.IGNORECASE | re.ASCII)
 LETTERS = re.compile(r"[^\W\d_]+")
 _Y, _M, _D = r"(?:19|20)\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
