@@ -8,13 +8,16 @@ from .bpe import bpe_documents, read_ranks
 from .common import read_table
 from .context_mixing import mixing_scores
 from .decontaminate import contamination
+from .language import fit_identifier, identify
 from .licenses import fit_licences, licence_scan
 from .mtree import exact_top_k
 from .near_duplicates import near_duplicates
 from .pii import personal_data
 from .secrets import secret_spans
 from .sharding import balanced_shards
+from .token_alignment import aligned_texts
 from .toxicity import fit_toxicity, fold, score_toxicity
+from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE, vector_codes
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -144,3 +147,58 @@ def op8_licence_paragraphs(spark, sf_dir):
     """Licence families that the paragraphs of every document name."""
     docs = read_table(spark, sf_dir, "documents")
     return licence_scan(docs, fit_licences(docs))
+
+
+@query
+def op11_orchard_codes(spark, sf_dir):
+    """Product codes of every vector, entries found by Orchard search."""
+    return vector_codes(read_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def _codes_sql() -> str:
+    """Rounds as one table each: all distances, the least (squared distance,
+    index), and the floors of the means."""
+    near = """a{r} AS MATERIALIZED (
+  SELECT uid, p.part, min(list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT * {k} + entry) AS m
+  FROM p JOIN b{r} AS b ON p.part = b.part GROUP BY ALL)"""
+    mean = """m{r} AS (
+  SELECT part, entry, list(y ORDER BY place) AS x FROM (
+    SELECT part, entry, place, CAST(floor(sum(y) / count(*)) AS BIGINT) AS y FROM (
+      SELECT p.part, a.m % {k} AS entry, unnest(p.x) AS y, generate_subscripts(p.x, 1) AS place
+      FROM a{q} AS a JOIN p ON a.uid = p.uid AND a.part = p.part) GROUP BY ALL) GROUP BY part, entry),
+b{r} AS MATERIALIZED (SELECT * FROM m{r} UNION ALL SELECT b.* FROM b{q} AS b ANTI JOIN m{r} AS m ON b.part = m.part AND b.entry = m.entry)"""
+    steps = [near.format(r=0, k=ENTRIES)]
+    for r in range(1, ROUNDS + 1):
+        steps += [mean.format(r=r, q=r - 1, k=ENTRIES), near.format(r=r, k=ENTRIES)]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS uid, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT uid, part, x[part * len(x) // {PARTS} + 1:(part + 1) * len(x) // {PARTS}] AS x FROM v, range({PARTS}) AS t(part)),
+b0 AS MATERIALIZED (SELECT part, CAST(uid - 1 AS HUGEINT) AS entry, x FROM p WHERE uid <= {ENTRIES}),
+{", ".join(steps)},
+f AS (SELECT uid, string_agg(printf('%02x', CAST(m % {ENTRIES} AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(m // {ENTRIES}) AS BIGINT) AS error
+      FROM a{ROUNDS} GROUP BY uid),
+s AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM v JOIN f USING (uid), s"""
+
+
+ORACLES["op11_orchard_codes"] = _codes_sql()
+
+
+@query
+def op12_pair_alignment(spark, sf_dir):
+    """Tokens of two vocabularies that cover the same bytes, in every document."""
+    import public_tokenizers as public
+
+    return aligned_texts(read_table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_kneser_ney_language(spark, sf_dir):
+    """Languages of every document; rows with crc32(doc_id) mod 4 = 2 are not learnt from."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = fit_identifier(docs, fold("id", 4) != 2)
+    return identify(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected", "bits_per_char")
