@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_TOPIC
 from ..functions.text import is_valid_text
 from ..operators.report import topic_report
-from ..session import shared_path
+from ..session import shared_path, write_shared
 from ..sources.comments import DEFAULT_TEXT_COL, read_comments
 from ..sources.lines import read_lines
 from .queries import nb_all_labels, table
@@ -46,6 +46,25 @@ def q_csv_comments(spark, sf_dir):
         F.col("doc_id").cast("bigint").alias("doc_id"), "source", DEFAULT_TEXT_COL)
 
 
+def q_csv_comments_split(spark, sf_dir):
+    """The documents' CSV read in splits of 256 KB, so that records cross splits;
+    the number of characters and line ends of each comment is kept too."""
+    path = _documents_csv(spark, sf_dir)
+    confs = {"spark.sql.files.maxPartitionBytes": "256k", "spark.sql.files.openCostInBytes": "1"}
+    held = {c: spark.conf.get(c) for c in confs}
+    try:
+        for c, v in confs.items():
+            spark.conf.set(c, v)
+        df = read_comments(spark, path, DEFAULT_TEXT_COL, na_values=None)
+        text = F.coalesce(F.col(DEFAULT_TEXT_COL), F.lit(""))   # CSV has no NULL
+        return write_shared(df.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "lang", F.md5(text.cast("binary")).alias("text_md5"),
+                                      F.length(text).cast("bigint").alias("n_chars"),
+                                      (F.length(text) - F.length(F.replace(text, F.lit("\n")))).cast("bigint").alias("n_lines")), "csv-split")
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+
+
 def q_csv_topic_job(spark, sf_dir):
     """The whole job from a CSV file: read, score (model trained on the
     labels), analyse by source, write all / per-class CSV with BOM and the
@@ -147,6 +166,7 @@ IO_QUERIES = {
     "labelled_csv": q_labelled_csv,
     "prediction_log": q_prediction_log,
     "csv_comments": q_csv_comments,
+    "csv_comments_split": q_csv_comments_split,
     "csv_topic_job": q_csv_topic_job,
     "csv_class_split": q_csv_class_split,
     "csv_result_rows": q_csv_result_rows,

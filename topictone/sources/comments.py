@@ -7,11 +7,15 @@ missing-value tokens mapped to NULL.
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import PANDAS_NA
+from .csv_records import csv_records
 
 DEFAULT_TEXT_COL = "评论"
 
@@ -40,9 +44,14 @@ def read_comments(spark: SparkSession, path: str, text_col: str = DEFAULT_TEXT_C
     a folder must have the header of the first (Spark compares them as it reads;
     another order or name raises).
 
-    ``multi_line=True`` reads quoted newlines as pandas does, at the price of
-    one task per file; use ``False`` for one-line CSV, or parquet, at scale.
+    ``multi_line=True`` reads quoted newlines as pandas does: UTF-8 files are read in
+    splits of any size (``sources/csv_records.py``), files of another encoding by
+    one task each.  ``False`` is for one-line CSV.
     """
+    if multi_line and encoding.upper().replace("-", "") == "UTF8" and len(sep) == 1:
+        df = _parallel_comments(spark, path, sep)
+        require_column(df, text_col)
+        return _na_to_null(df, na_values)
     names = _csv_header(spark, path, sep, encoding)
     schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
     df = (spark.read.schema(schema)
@@ -53,6 +62,26 @@ def read_comments(spark: SparkSession, path: str, text_col: str = DEFAULT_TEXT_C
     if names and names[0].startswith("\ufeff"):
         df = df.withColumnRenamed(names[0], names[0][1:])
     require_column(df, text_col)
+    return _na_to_null(df, na_values)
+
+
+def _parallel_comments(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    records, headers = csv_records(spark, path, sep)
+    options = {"sep": sep, "escape": '"', "quote": '"', "multiLine": "true", "mode": "PERMISSIVE"}
+    first = [r["record"].removesuffix("\r") for r in headers.select("record").distinct().limit(100).collect()]
+    if not first:
+        return spark.createDataFrame([], T.StructType([]))
+    names = [next(csv.reader(io.StringIO(x, newline=""), delimiter=sep, strict=False)) for x in first]
+    if any(n != names[0] for n in names):
+        raise ValueError(f"the files have different headers: {names}")
+    # A name of its own for an empty one, as Spark's reader gives it.
+    ddl = ", ".join("`{}` string".format((n or f"_c{i}").replace("`", "``")) for i, n in enumerate(names[0]))
+    row = F.from_csv("record", ddl, options)
+    folders = [c for c in records.columns if c != "record"]
+    return records.select(row.alias("__tt_row"), *[F.col(f"`{c}`") for c in folders]).select("__tt_row.*", *[F.col(f"`{c}`") for c in folders])
+
+
+def _na_to_null(df: DataFrame, na_values: tuple[str, ...] | None) -> DataFrame:
     if na_values:
         na = [v for v in na_values if v != ""]
         df = df.withColumns({
