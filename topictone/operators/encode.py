@@ -48,15 +48,16 @@ def encode_fixed(df: DataFrame, vocabulary: DataFrame, text_col: str, key_col: s
     """``key_col, *carry, input_ids, attention_mask, n_real``: token ids padded
     with 0 to ``max_length``, and a mask of 1 (token) / 0 (padding).
 
-    The (key, token array) rows are partitioned by key; the explode, the
-    vocabulary lookup (broadcast after a size check, else a shuffle join) and the
-    per-text collection keep that partitioning.  Every group holds at most
-    ``max_length`` ids; a key that repeats raises.
+    The (key, token array) rows are partitioned by key; the explode, a broadcast
+    vocabulary (after a size check) and the per-text collection keep that
+    partitioning, a vocabulary past the limits is a shuffle join by token and
+    one more by key.  Every group holds at most ``max_length`` ids; a key that
+    repeats raises.
     """
     length = token_cfg.max_length
     if length is None:
         raise ValueError("fixed-length encoding needs token_cfg.max_length")
-    toks = (df.select(key_col, *carry, text_col)
+    toks = (spread(df.select(key_col, *carry, text_col))
             .select(key_col, *carry, tokens(text_col, token_cfg).alias("__tt_toks"))
             .repartition(key_col))
     exploded = toks.select(key_col, *carry,

@@ -4,13 +4,22 @@ The derived table is broadcast only after its size has been measured.  Beyond
 the limits the join is a shuffle join in which hot keys are salted: a key
 holding a share ``s`` of the rows is spread over ``ceil(s * P)`` splits, where
 ``P`` is the shuffle partition count, so no split holds much more than an
-average partition.  Hot keys are found in the large side, so a frequent key that
-the derived table does not hold (an unknown token, NULL) is split too.  At most
-``P`` keys can be hot, so their table is bounded and may be broadcast itself.
+average partition.
+
+The large side is evaluated once: it is written to the shared folder with a hash of
+its keys, and a mergeable heavy-hitter sketch reads that one column, NULL and keys
+that the derived table does not hold included.  (``observe`` would fill the sketch while
+writing, but a session that has observed can't run Spark ML models any more: its
+manager isn't serializable.)  The sketch names every
+key with more than ``1 / P`` of the rows and at most ``2 * P`` keys, so the table of
+hot keys is bounded and may be broadcast itself.  A row's salt is a hash of its place
+(file and row number) in the written table, so a task that runs again gives each row
+the same salt, and equal rows are spread too.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +31,8 @@ from ..session import cut_lineage
 
 _SALT = "__tt_salt"
 _NSALT = "__tt_nsalt"
+_HASH = "__tt_key_hash"
+_PLACE = "__tt_place"
 
 
 @dataclass(frozen=True)
@@ -75,15 +86,44 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str,
     return out.drop(*renamed.values(), *[f"__tt_r_{k}" for k in extra_keys])
 
 
-def salt_table(big: DataFrame, keys: list[str], partitions: int) -> DataFrame:
-    """Keys of ``big`` (NULL and keys unknown to the small table included) with
-    more than ``1/partitions`` of its rows, and how many splits each needs.  At
-    most ``partitions`` rows.  The counts are partial aggregates: a hot key sends
-    one row per task."""
-    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__tt_n"))
-    total = big.count()
-    nsalt = F.ceil(F.col("__tt_n") * F.lit(float(partitions)) / F.lit(float(max(total, 1)))).cast("int")
-    return counts.select(*keys, nsalt.alias(_NSALT)).filter(F.col(_NSALT) > 1)
+@dataclass(frozen=True)
+class Stored:
+    """A large side written once: its table (with the hash of its keys) and the hot
+    keys, as hash and number of splits."""
+
+    table: DataFrame
+    hot: DataFrame
+    keys: tuple[str, ...]
+    types: tuple[T.DataType, ...]
+
+
+def _hash_of(keys, types) -> Column:
+    # NULL is a value here, and both sides are hashed in the type they are compared in.
+    return F.xxhash64(*[F.col(f"`{k}`").cast(t) for k, t in zip(keys, types)])
+
+
+def store_with_hot_keys(big: DataFrame, keys: list[str], small: DataFrame | None = None, where: Column | None = None,
+                        name: str = "join-side") -> Stored:
+    """Evaluate ``big`` once: write it, and find its hot keys.  ``small``:
+    the table it will be joined to (for the common type of the keys); ``where``: the
+    rows that the join will see (null: all)."""
+    spark = big.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    side = big.select(*[F.col(f"`{k}`") for k in keys]).limit(0)
+    types = side.schema if small is None else side.union(small.select(*[F.col(f"`{k}`") for k in keys]).limit(0)).schema
+    types = tuple(f.dataType for f in types.fields)
+    marked = big.withColumn(_HASH, _hash_of(keys, types))
+    if where is not None:
+        marked = marked.withColumn(_HASH, F.when(where, F.col(_HASH)))
+    table = cut_lineage(marked, name)
+    # At most 2 P keys are named; with 16 P of them tracked a key's error is below a
+    # quarter of the share that makes it hot.  Only the hashes are read again.
+    seen = table.agg(F.count(_HASH).alias("n"), F.expr(f"approx_top_k({_HASH}, {min(2 * partitions, 500_000)}, "
+                                                       f"{min(max(256, 16 * partitions), 1_000_000)})").alias("top")).first()
+    total, found = max(1, seen["n"]), seen["top"] or []
+    splits = [(r["item"], math.ceil(r["count"] * partitions / total)) for r in found]
+    hot = spark.createDataFrame([x for x in splits if x[0] is not None and x[1] > 1], f"{_HASH} long, {_NSALT} int")
+    return Stored(table, hot, tuple(keys), types)
 
 
 def attach(big: DataFrame, small: DataFrame, keys: list[str], *,
@@ -98,7 +138,7 @@ def attach(big: DataFrame, small: DataFrame, keys: list[str], *,
     if big.isStreaming:
         # A stream cannot be counted; its rows are joined unsalted.
         return _join(big, small, keys, how, null_safe)
-    return _salted_join(big, small, keys, how, null_safe)
+    return join_stored(store_with_hot_keys(big, keys, small), small, how, null_safe)
 
 
 def _attach_constant(big: DataFrame, small: DataFrame, how: str) -> DataFrame:
@@ -117,22 +157,14 @@ def _attach_constant(big: DataFrame, small: DataFrame, how: str) -> DataFrame:
     return out
 
 
-def _salted_join(big: DataFrame, small: DataFrame, keys: list[str], how: str,
-                 null_safe: bool) -> DataFrame:
-    partitions = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = cut_lineage(salt_table(big, keys, partitions), "hot-keys")
-    # Big side: rows of a hot key get a salt in [0, nsalt); others get 0.  The
-    # salt is a hash of the row's values, so a task that runs again gives every
-    # row the same salt.
-    big_salted = _join(big, F.broadcast(hot), keys, "left", True)
-    row_hash = F.xxhash64(*[F.col(f"`{f.name}`") for f in big.schema.fields
-                            if not isinstance(f.dataType, T.MapType)])
-    big_salted = big_salted.withColumn(
-        _SALT, F.when(F.col(_NSALT).isNull(), F.lit(0))
-        .otherwise(F.pmod(row_hash, F.col(_NSALT)).cast("int"))).drop(_NSALT)
-    # Small side: a hot key's row is repeated once per salt value.
-    small_salted = _join(small, F.broadcast(hot), keys, "left", True)
-    small_salted = small_salted.withColumn(
-        f"__tt_r_{_SALT}",
-        F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_NSALT), F.lit(1)) - 1))).drop(_NSALT)
-    return _join(big_salted, small_salted, keys, how, null_safe, extra_keys=(_SALT,)).drop(_SALT)
+def join_stored(stored: Stored, small: DataFrame, how: str = "inner", null_safe: bool = True, where: Column | None = None) -> DataFrame:
+    """The shuffle join of a stored side (its rows ``where``) to ``small``, hot keys salted."""
+    keys, hot = list(stored.keys), F.broadcast(stored.hot)
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias(_PLACE)
+    big = stored.table.select("*", place)
+    big = (big if where is None else big.filter(where)).join(hot, _HASH, "left")
+    big = big.withColumn(_SALT, F.coalesce(F.pmod(F.col(_PLACE), F.col(_NSALT)), F.lit(0)).cast("int")).drop(_NSALT, _PLACE, _HASH)
+    # A hot key's row of the small side is repeated once per salt value.
+    copies = small.withColumn(_HASH, _hash_of(keys, stored.types)).join(hot, _HASH, "left")
+    copies = copies.withColumn(f"__tt_r_{_SALT}", F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_NSALT), F.lit(1)) - 1))).drop(_NSALT, _HASH)
+    return _join(big, copies, keys, how, null_safe, extra_keys=(_SALT,)).drop(_SALT)

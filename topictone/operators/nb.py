@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_JOIN, DEFAULT_TOKENS, JoinConfig, TokenConfig
 from ..functions.text import tokens
 from ..session import cut_lineage, spread
-from .joins import TableSize, attach, fits_broadcast, measure
+from .joins import TableSize, _join, fits_broadcast, join_stored, measure, store_with_hot_keys
 from .scorers import Scorer, check_unique, key_list, with_row_key
 
 SCALE = 1_000_000
@@ -100,24 +100,30 @@ class NBModel(Scorer):
         dependent on the key (e.g. its topic).
 
         Unknown tokens add 0, so past the broadcast limits only tokens outside the
-        broadcast head are moved, counted per text before, to an inner join."""
+        broadcast head are moved, counted per text before, to an inner join; there
+        the counted tokens are written once (each text is tokenised once)."""
         keys = key_list(key_col)
         texts = spread(df.select(*keys, *carry, text_col))
         toks = texts.select(*keys, *carry, F.posexplode_outer(tokens(text_col, self.token_cfg)).alias("__tt_pos", "token"))
         head, tail = self._head_and_tail()
         joined = toks.join(F.broadcast(head), "token", "left")
         first = F.col("__tt_pos").isNull() | (F.col("__tt_pos") == 0)
-        parts = joined.groupBy(*keys, *carry).agg(
-            F.sum(F.coalesce(F.col("k"), F.lit(0))).alias("__tt_ksum"),
-            F.count("token").alias("__tt_ntok"), F.count_if(first).alias("__tt_texts"))
+        sums = (F.sum(F.coalesce(F.col("k"), F.lit(0))).alias("__tt_ksum"),
+                F.count("token").alias("__tt_ntok"), F.count_if(first).alias("__tt_texts"))
         if tail is None:
-            return parts
-        rest = (joined.filter(F.col("k").isNull() & F.col("token").isNotNull())
-                .groupBy(*keys, *carry, "token").agg(F.count(F.lit(1)).alias("__tt_n")))
-        zero = F.lit(0).cast("bigint")
-        rest = attach(rest, tail, ["token"], how="inner", null_safe=False, cfg=self.join_cfg)
-        rest = rest.select(*keys, *carry, (F.col("k") * F.col("__tt_n")).alias("__tt_ksum"), zero.alias("__tt_ntok"), zero.alias("__tt_texts"))
-        return parts.unionByName(rest).groupBy(*keys, *carry).agg(
+            return joined.groupBy(*keys, *carry).agg(*sums)
+        # One pass over the texts: a row per text with its head sums (no token), and one
+        # per text and token outside the head, with its count.
+        out_of_head = F.when(F.col("k").isNull(), F.col("token")).alias("token")
+        both = joined.groupBy(*keys, *carry, out_of_head).agg(*sums)
+        in_tail = F.col("token").isNotNull()
+        stored = store_with_hot_keys(both, ["token"], tail, where=in_tail, name="nb-tokens")
+        size = measure(tail)
+        rest = (_join(stored.table.filter(in_tail), F.broadcast(tail), ["token"], "inner", False) if fits_broadcast(size, self.join_cfg)
+                else join_stored(stored, tail, "inner", False, where=in_tail))
+        rest = rest.select(*keys, *carry, (F.col("k") * F.col("__tt_ntok")).alias("__tt_ksum"),
+                           *(F.lit(0).cast("bigint").alias(c) for c in ("__tt_ntok", "__tt_texts")))
+        return stored.table.select(*keys, *carry, "__tt_ksum", "__tt_ntok", "__tt_texts").unionByName(rest).groupBy(*keys, *carry).agg(
             *(F.sum(c).alias(c) for c in ("__tt_ksum", "__tt_ntok", "__tt_texts")))
 
     def score_keys(self, df: DataFrame, text_col: str, key_col: str | list[str],

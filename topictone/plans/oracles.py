@@ -333,6 +333,9 @@ ORACLES["topic_report_events"] = _with_report("SELECT * FROM rep")
 ORACLES["global_topic"] = _events("SELECT * FROM res", topic="")
 # A saved and reloaded model scores exactly as the fitted one.
 ORACLES["nb_model_roundtrip"] = ORACLES["nb_score"]
+# The shuffle joins give what the broadcast joins give.
+ORACLES["nb_score_salted"] = ORACLES["nb_score"]
+ORACLES["topic_analysis_events_salted"] = _events("SELECT * FROM res", topic="event_type")
 
 # ------------------------------------------------------------- file I/O --
 
@@ -342,6 +345,9 @@ LINE_SPLIT = r"'\r\n|\r|\n'"
 
 ORACLES["csv_comments"] = (
     f'SELECT doc_id, source, text AS "评论" FROM {CSV_DOCS} d WHERE {_valid("text")}')
+ORACLES["csv_comments_split"] = """SELECT doc_id, source, lang, md5(coalesce(text, '')) AS text_md5,
+       CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars,
+       CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS BIGINT) AS n_lines FROM documents"""
 ORACLES["csv_topic_job"] = (
     f"WITH {_docs_topic_ctes('quality', 'mean', ['source'], docs=CSV_DOCS)[1:]},"
     f"{_report('res', 'source')}\nSELECT * FROM rep")

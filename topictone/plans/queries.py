@@ -8,12 +8,13 @@ with the data.  Column names match the SQL oracles in ``oracles.py``.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT_TOPIC, LABELS_EN, REPLY_LABELS, TokenConfig
+from ..config import DEFAULT_TOPIC, LABELS_EN, REPLY_LABELS, JoinConfig, TokenConfig
 from ..functions.labels import binary_reply
 from ..functions.text import is_valid_text, null_to_empty, strip_col, tokens
 from ..operators.encode import build_vocabulary, encode_fixed
@@ -195,6 +196,26 @@ def q_nb_score(spark, sf_dir):
     return model.score(docs, "text", "doc_id", keep_z=True).drop("text")
 
 
+#: Limits that nothing fits: the shuffle joins with salted hot keys.
+NOTHING_FITS = JoinConfig(broadcast_max_rows=0, broadcast_max_bytes=0)
+#: Room for the most frequent tokens only; the others are joined.
+HEAD_FITS = JoinConfig(broadcast_max_rows=500, broadcast_max_bytes=1 << 20)
+
+
+def q_nb_score_salted(spark, sf_dir):
+    """M3 + J3 past the broadcast limits: the frequent tokens broadcast, the others
+    counted per text, written once and joined."""
+    model = dataclasses.replace(nb_all_labels(spark, sf_dir), join_cfg=HEAD_FITS)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return model.score(docs, "text", "doc_id", keep_z=True).drop("text")
+
+
+def q_topic_analysis_events_salted(spark, sf_dir):
+    """T7 + J2 past the broadcast limits, topics = event types (a few hot keys)."""
+    return analyze_topics(events_input(spark, sf_dir), ColumnScorer(event_probability()), text_col=None,
+                          topic_cols=["event_type"], join_cfg=NOTHING_FITS).result
+
+
 def q_nb_score_mean(spark, sf_dir):
     model = nb_all_labels(spark, sf_dir, normalise="mean")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -362,6 +383,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "encoded_training_set": q_encoded_training_set,
     "nb_model": q_nb_model,
     "nb_score": q_nb_score,
+    "nb_score_salted": q_nb_score_salted,
     "nb_score_mean": q_nb_score_mean,
     "nb_score_min_count": q_nb_score_min_count,
     "predict_label_confidence": q_predict_label_confidence,
@@ -375,6 +397,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "adjusted_class": q_adjusted_class,
     "absolute_class": q_absolute_class,
     "topic_analysis_events_neg": q_topic_analysis_events_neg,
+    "topic_analysis_events_salted": q_topic_analysis_events_salted,
     "topic_analysis_events_pos": q_topic_analysis_events_pos,
     "topic_analysis_documents": q_topic_analysis_documents,
     "topic_analysis_documents_toxic": q_topic_analysis_documents_toxic,
