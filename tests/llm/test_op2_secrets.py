@@ -126,3 +126,26 @@ def test_contexts_in_linear_time(text):
     start = time.process_time()
     assert not list(S.CONTEXT.finditer(text))
     assert time.process_time() - start < 5
+
+
+def test_a_value_of_a_million_characters(spark, monkeypatch):
+    """Whole, in rows that grow with its length: a digest stands for the value."""
+    rng = random.Random(8)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    long = "".join(rng.choices(alphabet, k=1_000_000))
+    rows = [(1, f"token: {long}"), (2, "x" * 200_000 + f" token: {long} end"), (3, "password is " + "letmein" * 20_000), (4, "password is monkey")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in S.secret_spans(df).collect()}
+    check(rows, [got[i] for i, _ in rows])
+    assert got[1].spans == f"assign:0:{len(long) + 7},guess:7:{len(long) + 7}"
+    assert got[2].n_guess == 1 and got[3].n_guess == 1 and got[4].n_guess == 0
+    size = [sum(map(len, S.segments_of(long[:n]))) for n in (4000, 8000, 16_000)]
+    assert size[1] < 2.2 * size[0] and size[2] < 2.2 * size[1]
+
+
+def test_segments_come_in_bounded_sets(monkeypatch):
+    value = "passwordmonkey77Straßeabcdefgh" * 50
+    whole = set().union(*S.segments_of(value))
+    monkeypatch.setattr(S, "SEGMENTS", 60)
+    parts = list(S.segments_of(value))
+    assert len(parts) > 5 and max(map(len, parts)) < 60 + S.WORD_MAX and set().union(*parts) == whole

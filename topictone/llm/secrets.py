@@ -14,8 +14,8 @@ log10 guesses of the segments:
 
 Spark does the corpus work.  One pass over the texts finds spans and candidate
 values and pre-counts the words of each task; counts are summed by word, joined
-to the distinct letter segments of the distinct values, and the verdict of each
-value goes back to its places.  A value that stands in very many documents is
+to the distinct letter segments of the distinct values (a value's digest stands for
+it there), and the verdict of each value goes back to its places.  A value that stands in very many documents is
 salted there, so its places are joined in many tasks.
 
 Null texts count as empty (no spans); values of any length are segmented whole
@@ -61,8 +61,9 @@ DATES = tuple((re.compile(p, re.ASCII), math.log10(n)) for p, n in (
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 #: Word lengths looked up; values cost at least THRESHOLD log10 guesses.
 WORD_MIN, WORD_MAX, THRESHOLD = 3, 24, 10.0
-#: Distinct words that one task counts before it hands its counts on.
-FLUSH_WORDS, SALTS = 300_000, 32
+#: Distinct words that one task counts before it hands its counts on; segments in
+#: one batch of rows.
+FLUSH_WORDS, SALTS, SEGMENTS = 300_000, 32, 50_000
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -95,10 +96,18 @@ def class_size(char: str) -> int:
     return 33
 
 
-def segments_of(value: str) -> set[str]:
-    """Lower-cased parts of the letter runs of a value that may be words."""
-    return {run[a:b] for run in (m.group().lower() for m in LETTERS.finditer(value))
-            for a in range(len(run)) for b in range(a + WORD_MIN, min(len(run), a + WORD_MAX) + 1)}
+def segments_of(value: str) -> Iterator[set[str]]:
+    """Lower-cased parts of the letter runs of a value that may be words, in sets of
+    bounded size (a part may be in more than one)."""
+    held: set[str] = set()
+    for run in (m.group().lower() for m in LETTERS.finditer(value)):
+        for a in range(len(run)):
+            held.update(run[a:b] for b in range(a + WORD_MIN, min(len(run), a + WORD_MAX) + 1))
+            if len(held) >= SEGMENTS:
+                yield held
+                held = set()
+    if held:
+        yield held
 
 
 class _Run:
@@ -202,15 +211,14 @@ def _scan(docs: DataFrame) -> DataFrame:
 
 
 def _costs(rows: DataFrame) -> DataFrame:
-    """value, words (struct array of word and cost) to value, cost."""
+    """digest, value, words (struct array of word and cost) to digest, cost."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = batch.column(0).to_pylist()
-            cost = [guess_cost(v, {w["word"]: w["cost"] for w in ws or ()})
-                    for v, ws in zip(values, batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cost, pa.float64())], ["value", "cost"])
+            cost = [guess_cost(v.as_py(), {w["word"]: w["cost"] for w in ws.as_py() or ()})
+                    for v, ws in zip(batch.column(1), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cost, pa.float64())], ["digest", "cost"])
 
-    return rows.mapInArrow(run, "value string, cost double")
+    return rows.mapInArrow(run, "digest binary, cost double")
 
 
 def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -221,18 +229,19 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     scan = write_shared(_scan(texts_of(docs, id_col, text_col)), "secret-scan")
     rows = scan.filter("part = 0").select("id", "row", "base", "counts", "candidates")
     places = (rows.filter(F.size("candidates") > 0)
-              .select("row", F.explode("candidates").alias("c")).select("row", "c.start", "c.end", "c.value"))
-    values = places.select("value").distinct()
-    segments = values.mapInArrow(_segment_rows, "value string, word string")
+              .select("row", F.explode("candidates").alias("c"))
+              .select("row", "c.start", "c.end", "c.value", F.unhex(F.sha2("c.value", 256)).alias("digest")))
+    values = places.select("digest", "value").dropDuplicates(["digest"])
+    segments = values.mapInArrow(_segment_rows, "digest binary, word string")
     counts = scan.filter("part = 1").groupBy("word").agg(F.sum("n").alias("n"))
     total = scan.filter("part = 1").agg(F.sum("n").alias("total")).first()["total"] or 1
     known = (segments.join(counts, "word")
-             .groupBy("value").agg(F.collect_list(F.struct("word", F.log10(F.lit(float(total)) / F.col("n")).alias("cost"))).alias("words")))
-    secrets = _costs(values.join(known, "value", "left").select("value", "words")).filter(F.col("cost") >= F.lit(float(threshold)))
+             .groupBy("digest").agg(F.collect_list(F.struct("word", F.log10(F.lit(float(total)) / F.col("n")).alias("cost"))).alias("words")))
+    secrets = _costs(values.join(known, "digest", "left").select("digest", "value", "words")).filter(F.col("cost") >= F.lit(float(threshold)))
     # The places of one value are dealt over SALTS tasks.
-    spread = places.withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.lit(SALTS)).cast("int"))
-    dealt = secrets.select("value", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    added = (spread.join(dealt, ["value", "salt"], "left_semi")
+    spread = places.drop("value").withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.lit(SALTS)).cast("int"))
+    dealt = secrets.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    added = (spread.join(dealt, ["digest", "salt"], "left_semi")
              .groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("guess")))
     out = rows.select("id", "row", "base", "counts").join(added, "row", "left").select("id", "base", "counts", "guess")
 
@@ -256,6 +265,17 @@ def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            pairs = [(v, w) for v in batch.column(0)[at:at + 256].to_pylist() for w in sorted(segments_of(v))]
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], ["value", "word"])
+        held: list[tuple[bytes, str]] = []
+        for digest, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for part in segments_of(value.as_py()):
+                held += [(digest, w) for w in part]
+                if len(held) >= SEGMENTS:
+                    yield _pairs(held)
+                    held = []
+        if held:
+            yield _pairs(held)
+
+
+def _pairs(held: list[tuple[bytes, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([d for d, _ in held], pa.binary()), pa.array([w for _, w in held], pa.string())],
+                                      ["digest", "word"])
