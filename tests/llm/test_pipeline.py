@@ -9,6 +9,8 @@ import tiktoken
 
 import corpus_pipeline as P
 from topictone.llm.bpe import read_ranks
+from topictone.llm.near_duplicates import keep_one_of_each
+from topictone.llm.pii import sanitise
 from topictone.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -133,3 +135,14 @@ def test_edge_rows_pass_all_stages(spark, sf001, tmp_path):
     for name, stage in P.STAGES:
         empty = stage(spark, empty, str(tmp_path))
         assert empty.count() == 0
+
+
+def test_columns_that_have_the_names_of_helpers(spark):
+    names = ["digest", "DIGEST2", "gone_id", "gone_digest", "row_key", "row_spans", "__key", "__spans", "__digest", "__id", "__h"]
+    rows = [(i, f"text {i} of mail ann.lee{i}@example.org and more words in it", *[f"{n}{i}" for n in names]) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = keep_one_of_each(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == rows
+    clean = sanitise(df)
+    assert clean.columns == df.columns
+    assert all("@" not in r.text and r[2:] == rows[r.doc_id][2:] for r in clean.collect())

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import write_shared
 
-__all__ = ["LOWER", "collected", "digest", "groups_of", "read_table", "texts_of", "write_shared"]
+__all__ = ["LOWER", "collected", "digest", "free_names", "groups_of", "read_table", "texts_of", "write_shared"]
 
 #: bytes.translate table that lower-cases A-Z and nothing else.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -22,6 +22,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as make it new to the table
+    (whose column names Spark compares without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Exactly (id_col, text_col): other columns, whatever their names, are
     dropped at the scan.  A text that is not a string is cast."""

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_of, write_shared
+from .common import free_names, groups_of, write_shared
 from .components import components
 from .sketch import band_keys, forget_words, shingles, sketches
 
@@ -231,8 +231,9 @@ def keep_one_of_each(docs: DataFrame, *, k: int = 5, percent: int = 80, id_col:
     """``docs`` with all columns: the document with the least id of each
     component.  Rows equal in id and text are one."""
     found = _components(_keyed(docs, id_col, text_col), k, percent)
-    gone = found.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__id"), F.col("h").alias("__h"))
+    own, other, h = free_names(docs, "digest", "gone_id", "gone_digest")
+    gone = found.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias(other), F.col("h").alias(h))
     digest = F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")))
-    named = docs.withColumn("__digest", digest)
-    left = named.join(gone, (F.col("__digest") == F.col("__h")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_anti")
-    return left.dropDuplicates([id_col, "__digest"]).drop("__digest")
+    named = docs.withColumn(own, digest)
+    left = named.join(gone, (F.col(own) == F.col(h)) & F.col(f"`{id_col}`").eqNullSafe(F.col(other)), "left_anti")
+    return left.dropDuplicates([id_col, own]).drop(own)

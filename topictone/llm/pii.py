@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest, write_shared
+from .common import free_names, digest, write_shared
 
 #: Kinds in the order in which spans that start at one place are listed, with
 #: their patterns (Java syntax; linear forms of the given ones).
@@ -198,21 +198,22 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
              generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``docs`` with all columns and rows: base spans masked, disclosing terms
     generalised or removed; other texts unchanged."""
+    key, spans = free_names(docs, "row_key", "row_spans")
     scan = _scanned(docs, id_col, text_col)
     found = _term_spans(scan, _disclosing(docs, scan, id_col, text_col, generalise, remove))
     full = "array<struct<start:int,kind:int,end:int,value:string,removed:boolean>>"
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"),
                                                   s["value"].alias("value"), F.lit(False).alias("removed")))
     edits = (scan.filter("key IS NOT NULL").select("key", "base").dropDuplicates(["key"]).join(found, "key", "left")
-             .select(F.col("key").alias("__key"), F.array_sort(F.concat(base, F.coalesce("found", F.array().cast(full)))).alias("__spans")))
+             .select(F.col("key").alias(key), F.array_sort(F.concat(base, F.coalesce("found", F.array().cast(full)))).alias(spans)))
     text = _text(text_col)
     # Only rows with a span are moved by the join: the others have no key.
     touched = F.lit(False)
     for p in PATTERNS.values():
         touched = touched | F.regexp_like(text, F.lit(p))
-    marked = docs.withColumn("__key", F.when(touched, _row_key(id_col, text)))
-    same = marked.filter("__key IS NULL").drop("__key")
-    some = marked.filter("__key IS NOT NULL").join(edits, "__key", "left")
+    marked = docs.withColumn(key, F.when(touched, _row_key(id_col, text)))
+    same = marked.filter(F.col(key).isNull()).drop(key)
+    some = marked.filter(F.col(key).isNotNull()).join(edits, key, "left")
 
     def step(acc, s):
         """Spans by start; one that begins inside the last is already gone."""
@@ -224,7 +225,7 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("__spans", empty, step, lambda acc: F.concat(
+    clean = F.aggregate(spans, empty, step, lambda acc: F.concat(
         F.array_join(acc["out"], ""), F.substring(F.col(f"`{text_col}`"), acc["at"] + 1, F.length(F.col(f"`{text_col}`")))))
-    edited = some.withColumn(text_col, F.when(F.size("__spans") > 0, clean).otherwise(F.col(f"`{text_col}`")))
+    edited = some.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(F.col(f"`{text_col}`")))
     return same.unionByName(edited.select(*(F.col(f"`{c}`") for c in docs.columns)))
