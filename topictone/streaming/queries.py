@@ -14,13 +14,15 @@ from ..config import REPLY_LABELS
 from ..functions.labels import binary_reply
 from ..operators.predict import predict
 from ..operators.scorers import ColumnScorer
-from ..operators.topics import topic_baselines
 from ..plans.model_queries import _hashed_fit
 from ..plans.oracles import UNTIDY, _event_p, _events, _three_way, _valid
 from ..plans.queries import event_probability, untidy
 from ..session import path_kind, shared_path, write_shared
-from .scoring import (latest_windows, start_adjust_stream, start_scoring_stream,
+from .final_windows import close_windows, start_final_windows
+from .published import newest_baselines, start_publish_stream
+from .scoring import (event_time_utc, file_stream, latest_windows, start_adjust_stream, start_scoring_stream,
                       start_windowed_stream, windowed_baselines)
+from .versions import VersionedTable
 
 WINDOW = "1 hour"
 WATERMARK = "1 hour"
@@ -84,20 +86,73 @@ def q_stream_event_replies(spark, sf_dir):
     return spark.read.schema(audit.schema).parquet(sink).drop("scored_at")
 
 
-def q_stream_topic_adjust(spark, sf_dir):
-    """Events stream adjusted with the baselines the batch job published, here
-    for users with an even id; events of the others are emitted unadjusted."""
+def _arriving(spark, sf_dir, kind: str) -> tuple[DataFrame, str, list[DataFrame]]:
+    """The events as two arrivals (the lower and the upper half of their ids, null ids
+    in the first) and the folder they arrive in."""
     events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
-    scorer = ColumnScorer(event_probability())
-    (published,) = _paths(spark, "published", "baselines")
-    topic_baselines(scorer.score(events.select("user_id", "value").filter("user_id % 2 = 0")), ["user_id"]).write.parquet(published)
-    stream = table_stream(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    sink, ckpt = _paths(spark, "stream-adjust", "sink", "ckpt")
-    start_adjust_stream(stream, lambda: spark.read.parquet(published), ["user_id"], scorer, sink=sink,
-                        checkpoint=ckpt).awaitTermination()
+    ends = events.agg(F.min("event_id").alias("a"), F.max("event_id").alias("b")).first()
+    middle = ((ends["a"] or 0) + (ends["b"] or 0)) // 2
+    first = F.coalesce(F.col("event_id") <= middle, F.lit(True))
+    return events, *_paths(spark, kind, "in"), [events.filter(first), events.filter(~first)]
+
+
+def q_stream_topic_adjust(spark, sf_dir):
+    """Events adjusted with the baselines published so far, which a second stream
+    merges from new rows only: two arrivals, each published and then adjusted, so rows
+    of the first show version 0 and rows of the second show version 1."""
+    events, folder, arrivals = _arriving(spark, sf_dir, "stream-adjust")
+    scorer, columns = ColumnScorer(event_probability()), ["event_id", "user_id", "event_type", "value"]
+    sink, adjusted, publishing, versions = _paths(spark, "stream-adjust", "sink", "ckpt", "publish-ckpt", "versions")
+    store = VersionedTable(spark, versions)
+    for rows in arrivals:
+        rows.write.mode("append").parquet(folder)
+        start_publish_stream(file_stream(spark, folder, events.schema).select("user_id", "value"), scorer, ["user_id"], store,
+                             checkpoint=publishing).awaitTermination()
+        start_adjust_stream(file_stream(spark, folder, events.schema).select(*columns), newest_baselines(store, events, ["user_id"]), ["user_id"],
+                            scorer, sink=sink, checkpoint=adjusted).awaitTermination()
     return spark.read.parquet(sink).drop("batch_id")
 
 
+def q_stream_final_windows(spark, sf_dir):
+    """X5 in append mode: hourly windows per event type written once, when the watermark
+    has passed them, and the rows that came after that.  The events arrive by id, so
+    many come late.  Per window and type the final figures, and how many rows (and
+    the sum of their ids) came late; rows without a time are under -1."""
+    events, folder, arrivals = _arriving(spark, sf_dir, "final-windows")
+    scorer = ColumnScorer(event_probability())
+    sink, late, ckpt, state = _paths(spark, "final-windows", "sink", "late", "ckpt", "state")
+    store = VersionedTable(spark, state)
+    for rows in arrivals:
+        rows.write.mode("append").parquet(folder)
+        stream = scorer.score(file_stream(spark, folder, events.schema).select("event_id", "ts", "event_type", "value"))
+        start_final_windows(stream, "ts", WINDOW, WATERMARK, ["event_type"], sink=sink, late=late, state=store,
+                            checkpoint=ckpt).awaitTermination()
+    close_windows(store, ["event_type"], sink=sink)
+    zero = F.lit(0).cast("bigint")
+    final = spark.read.parquet(sink).select("window_start", "event_type", "n_rows", "n", "sum_p4", "baseline", zero.alias("n_late"), zero.alias("late_ids"))
+    hour = F.unix_seconds(F.window(event_time_utc("ts", events.schema["ts"].dataType), WINDOW)["start"])
+    rows = spark.read.parquet(late).select(F.coalesce(hour, F.lit(-1).cast("bigint")).alias("window_start"), "event_type", zero.alias("n_rows"), zero.alias("n"),
+                                           zero.alias("sum_p4"), F.lit(None).cast("double").alias("baseline"), F.lit(1).cast("bigint").alias("n_late"),
+                                           F.coalesce("event_id", zero).alias("late_ids"))
+    return final.unionByName(rows).groupBy("window_start", "event_type").agg(
+        *(F.sum(c).alias(c) for c in ("n_rows", "n", "sum_p4", "n_late", "late_ids")), F.max("baseline").alias("baseline"))
+
+
+def q_stream_bounded_replies(spark, sf_dir):
+    """X1 + X2 + S8: a backlog of many files admitted in micro-batches of bounded bytes:
+    the replies of one micro-batch over everything."""
+    events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").select("event_id", "user_id", "value")
+    folder, sink, rejects, ckpt = _paths(spark, "stream-bounded", "in", "sink", "rejects", "ckpt")
+    events.withColumn("text", F.concat(F.lit("event "), "event_id")).repartition(12).write.parquet(folder)
+    given = spark.read.parquet(folder)
+    size = sum(f["b"] for f in given.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b")).distinct().collect())
+    start_scoring_stream(file_stream(spark, folder, given.schema, max_bytes=max(1, size // 4)), ColumnScorer(event_probability()), "text",
+                         sink=sink, rejects=rejects, checkpoint=ckpt, source="events").awaitTermination()
+    scored, bad = spark.read.parquet(sink), spark.read.parquet(rejects)
+    return scored.select("event_id", "user_id", "value", "label", "sentiment", "confidence", "reply", "source_name").unionByName(
+        bad.select("event_id", "user_id", "value", "source_name"), allowMissingColumns=True)
+
+
 def q_stream_windowed_baseline(spark, sf_dir):
     """Hourly baselines per event type, all windows."""
     stream = table_stream(spark, sf_dir, "events")
@@ -114,6 +169,8 @@ STREAM_QUERIES = {
     "stream_event_replies": q_stream_event_replies,
     "stream_topic_adjust": q_stream_topic_adjust,
     "stream_windowed_baseline": q_stream_windowed_baseline,
+    "stream_final_windows": q_stream_final_windows,
+    "stream_bounded_replies": q_stream_bounded_replies,
 }
 
 _WINDOWED = f"""WITH
@@ -141,11 +198,29 @@ STREAM_ORACLES = {
     "stream_rejects": f"""SELECT conv_id, turn, role, text,
         CASE WHEN text IS NULL THEN 'null text' WHEN NOT {_valid('text')} THEN 'blank text' END AS reject_reason
         FROM {UNTIDY}""",
-    # Events of users without a published baseline keep their probability.
-    "stream_topic_adjust": _events("""SELECT event_id, user_id, event_type, value, abs_sentiment, abs_confidence, adj_sentiment,
-        pos_prob, adj_pos_prob, adj_factor, topic_baseline FROM res WHERE user_id % 2 = 0
-        UNION ALL SELECT event_id, user_id, event_type, value, abs_sentiment, abs_confidence,
-        CASE WHEN pos_prob > 0.6::DOUBLE THEN 'positive' WHEN pos_prob < 0.4::DOUBLE THEN 'negative' ELSE 'neutral' END,
-        pos_prob, pos_prob, 0.0::DOUBLE, NULL FROM res WHERE coalesce(user_id % 2 <> 0, true)"""),
+    # Two arrivals: the first adjusted with its own baselines, the second with those of all rows.
+    "stream_topic_adjust": f"""WITH
+ev AS (SELECT *, coalesce(event_id <= (SELECT (min(event_id) + max(event_id)) // 2 FROM events), true) AS early FROM events),
+one AS (SELECT * FROM ({_events("SELECT * FROM res").replace("FROM events)", "FROM (SELECT * FROM ev WHERE early))")})),
+two AS (SELECT * FROM ({_events("SELECT * FROM res").replace("FROM events)", "FROM ev)")}))
+SELECT *, CAST(0 AS BIGINT) AS baseline_version FROM one
+UNION ALL SELECT two.*, CAST(1 AS BIGINT) FROM two WHERE event_id IN (SELECT event_id FROM ev WHERE NOT early)""",
+    # The watermark of the second arrival is that of the first one's newest event.
+    "stream_final_windows": f"""WITH
+ev AS (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS ws, {_event_p(False)} AS pos_prob,
+       coalesce(event_id <= (SELECT (min(event_id) + max(event_id)) // 2 FROM events), true) AS early FROM events),
+ma AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM ev WHERE early),
+al AS (SELECT ev.*, CASE WHEN ts IS NULL THEN 'no event time'
+       WHEN NOT early AND ws + INTERVAL 1 HOUR <= (SELECT mark FROM ma) THEN 'after its window' END AS late_reason FROM ev),
+w AS (SELECT ws, event_type, count(*) AS n_rows, count(pos_prob) AS n,
+             CAST(coalesce(sum(CAST(round(pos_prob * 10000.0::DOUBLE) AS BIGINT)), 0) AS BIGINT) AS sum_p4
+      FROM al WHERE late_reason IS NULL GROUP BY ALL),
+b AS (SELECT *, CASE WHEN n > 0 THEN CAST(sum_p4 AS DOUBLE) / (10000.0::DOUBLE * n) END AS baseline FROM w)
+SELECT coalesce(CAST(epoch(ws) AS BIGINT), -1) AS window_start, event_type, CAST(sum(n_rows) AS BIGINT) AS n_rows, CAST(sum(n) AS BIGINT) AS n,
+       CAST(sum(sum_p4) AS BIGINT) AS sum_p4, max(baseline) AS baseline, CAST(sum(n_late) AS BIGINT) AS n_late, CAST(sum(late_ids) AS BIGINT) AS late_ids
+FROM (SELECT ws, event_type, n_rows, n, sum_p4, baseline, 0 AS n_late, 0 AS late_ids FROM b
+      UNION ALL SELECT CASE WHEN ts IS NOT NULL THEN ws END, event_type, 0, 0, 0, NULL, 1, coalesce(event_id, 0) FROM al WHERE late_reason IS NOT NULL)
+GROUP BY ALL""",
     "stream_windowed_baseline": _WINDOWED,
 }
+STREAM_ORACLES["stream_bounded_replies"] = STREAM_ORACLES["stream_event_replies"].replace("value, pos_prob,", "value,", 1)

@@ -70,23 +70,21 @@ def start_scoring_stream(stream: DataFrame, scorer: Scorer, text_col: str, *,
                          sink: str, rejects: str, checkpoint: str,
                          trigger: dict | None = None, labels: Labels = REPLY_LABELS,
                          source: str | None = None) -> StreamingQuery:
-    """Start X1-X3 as one query: the source is read once per micro-batch, valid
-    rows are scored into ``sink``, the others go to ``rejects``.  Each micro-batch
+    """Start X1-X3 as one query: valid rows are scored into ``sink``, the others
+    go to ``rejects``.  A row's result depends on that row alone, so the source may
+    bound its micro-batches (``file_stream``) however it likes.  Each micro-batch
     has a folder of its own that a repeated batch overwrites, so a restart neither
     loses nor duplicates rows.  ``trigger`` defaults to ``availableNow``."""
     _require_narrow(scorer)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            good, bad = valid_and_rejects(batch, text_col)
-            scored_rows(good, scorer, text_col, labels, source).write.mode("overwrite").parquet(batch_folder(sink, batch_id))
-            bad = bad.withColumn("scored_at", F.current_timestamp())
-            if source is not None:
-                bad = bad.withColumn("source_name", F.lit(source))
-            bad.write.mode("overwrite").parquet(batch_folder(rejects, batch_id))
-        finally:
-            batch.unpersist()
+        # Two narrow passes over the micro-batch's files; nothing of it is held.
+        good, bad = valid_and_rejects(batch, text_col)
+        scored_rows(good, scorer, text_col, labels, source).write.mode("overwrite").parquet(batch_folder(sink, batch_id))
+        bad = bad.withColumn("scored_at", F.current_timestamp())
+        if source is not None:
+            bad = bad.withColumn("source_name", F.lit(source))
+        bad.write.mode("overwrite").parquet(batch_folder(rejects, batch_id))
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
@@ -105,23 +103,41 @@ def adjust_stream(stream: DataFrame, published: DataFrame, topic_cols: list[str]
     return adjust(scored, published, topic_cols, cfg, join_cfg)
 
 
-def start_adjust_stream(stream: DataFrame, published: Callable[[], DataFrame], topic_cols: list[str],
+def start_adjust_stream(stream: DataFrame, published: Callable[[], DataFrame | tuple[DataFrame, int | None]], topic_cols: list[str],
                         scorer: Scorer, *, sink: str, checkpoint: str, text_col: str | None = None,
                         trigger: dict | None = None, cfg: TopicConfig = DEFAULT_TOPIC,
                         join_cfg: JoinConfig = DEFAULT_JOIN) -> StreamingQuery:
     """X4 with refresh: every micro-batch is adjusted with the baselines that
     ``published()`` reads at that moment, i.e. the newest the batch job wrote.
-    A micro-batch is a table, so past the broadcast limits hot topics are salted."""
+    A micro-batch is a table, so past the broadcast limits hot topics are salted.
+    With ``published.newest_baselines`` every row has the ``baseline_version`` it was
+    adjusted with (NULL: nothing was published yet)."""
     _require_narrow(scorer)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = adjust_stream(batch, published(), topic_cols, scorer, text_col, cfg, join_cfg)
+        found = published()
+        baselines, *version = found if isinstance(found, tuple) else (found,)
+        out = adjust_stream(batch, baselines, topic_cols, scorer, text_col, cfg, join_cfg)
+        if version:
+            out = out.withColumn("baseline_version", F.lit(version[0]).cast("bigint"))
         out.write.mode("overwrite").parquet(batch_folder(sink, batch_id))
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def file_stream(spark, path: str, schema: T.StructType, *, max_bytes: int | None = None, max_files: int | None = None) -> DataFrame:
+    """A stream over the parquet files of a folder.  A backlog is admitted in
+    micro-batches of at most ``max_bytes`` bytes (one file at least) or
+    ``max_files`` files."""
+    reader = spark.readStream.schema(schema)
+    if max_bytes is not None:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(path)
+
+
 UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Etc/GMT", "Z", "+00:00")
 
 
