@@ -68,9 +68,9 @@ def test_against_overlaps(spark):
     assert got(spark, rows) == brute(rows)
 
 
-def test_many_groups_of_pairs_small_blocks_and_pieces(spark, monkeypatch):
+def test_many_groups_of_pairs_and_small_blocks(spark, monkeypatch):
     rows = rows_of(2, 20) + [(900, "".join(random.Random(3).choice("ab é.\n") for _ in range(400)))]
-    for name, value in {"BUCKET": 20, "GROUP_BUCKETS": 3, "HELD": 40, "BLOCK": 16, "SEGMENT": 8, "FAN": 2, "PIECE": 30, "BATCH_BYTES": 300}.items():
+    for name, value in {"BUCKET": 20, "GROUP_BUCKETS": 3, "BLOCK": 16, "SEGMENT": 8, "FAN": 2, "BATCH_BYTES": 300}.items():
         monkeypatch.setattr(ta, name, value)
     assert got(spark, rows, parts=6) == brute(rows)
 
@@ -80,15 +80,36 @@ def test_empty_tables(spark):
     assert got(spark, [(1, None), (2, "")]) == brute([(1, None), (2, "")])
 
 
-def test_pieces_of_a_long_text_encode_as_the_whole(monkeypatch):
+def test_units_of_a_text_encode_as_the_whole():
     with open(A, "rb") as a, open(B, "rb") as b:
         pair = ta.TokenizerPair(a.read(), b.read())
-    assert pair.cuttable
     rng = random.Random(4)
-    text = "".join(rng.choice(["ab", " ", "  ", "é", "don't ", "12 ", "\n", "_x ", ". ", "\x1c ", "　"]) for _ in range(4000))
-    whole = pair.encode([text])
-    monkeypatch.setattr(ta, "PIECE", 50)
-    assert len(ta._pieces(text, True)) > 50 and pair.encode([text]) == whole
+    for n in (1, 3, 4000):
+        text = "".join(rng.choice(["ab", " ", "  ", "é", "don't ", "12 ", "\n", "_x ", ". ", "\x1c ", "　", "\r", "\t "]) for _ in range(n))
+        cut = ta.units(text)
+        assert "".join(" " + u for u in cut) == " " + text
+        (a, n_a), (b, n_b), (same, _) = pair.encode(cut)
+        whole = Tokenizer.from_file(A)
+        assert same.all() and a.tolist() == whole.encode(" " + text, add_special_tokens=False).ids and b.tolist() == pair.b.encode(text)
+        for n, u in enumerate(cut[:300]):
+            (x, _), (y, _), _ = pair.encode([u])
+            assert a[n_a[:n].sum():n_a[:n + 1].sum()].tolist() == x.tolist() and b[n_b[:n].sum():n_b[:n + 1].sum()].tolist() == y.tolist()
+
+
+def test_a_memo_that_fills_up_changes_nothing(monkeypatch):
+    with open(A, "rb") as a, open(B, "rb") as b:
+        pair = ta.TokenizerPair(a.read(), b.read())
+    texts = [t for _, t in rows_of(5)]
+    def look(keys):
+        return keys, keys % 7
+
+    whole, parts = ta.Units(pair, look), []
+    numbers, begin = whole.of(texts)
+    for t in texts:
+        one = ta.Units(pair, look)
+        at = one.of([t])
+        parts.append((one.per_text(*at)[:, 0].tolist(), one.digests(*at)[0], one.ids(*at, 0, np.uint16)[0] if len(one.number) else b""))
+    assert parts == list(zip(whole.per_text(numbers, begin).T.tolist(), whole.digests(numbers, begin), whole.ids(numbers, begin, 0, np.uint16)))
 
 
 @pytest.mark.parametrize("n", [1, 2, 63, 5000])
@@ -98,9 +119,9 @@ def test_hash_is_minimal_and_verified(n):
     buckets = max(1, n // 700)
     own = ta._bucket(keys, buckets)
     rows = [(b, [x.tobytes() for x in ta._levels(keys[own == b])], keys[own == b].tobytes()) for b in sorted(set(own.tolist()))]
-    index = ta.PairIndex(buckets, rows)
+    index = ta.PairIndex(buckets, 0, rows)
     assert sorted(index.numbers(keys).tolist()) == list(range(n))
     other = np.setdiff1d(rng.choice(50_257 * 32_000, 3 * n), keys)
     assert (index.numbers(other) == -1).all()
-    some = ta.PairIndex(buckets, rows[: (len(rows) + 1) // 2])
+    some = ta.PairIndex(buckets, 0, rows[: (len(rows) + 1) // 2])
     assert ((some.numbers(keys) >= 0) == np.isin(own, [r[0] for r in rows[: (len(rows) + 1) // 2]])).all()
