@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import REPLY_LABELS
-from ..functions.text import tokens
 from ..operators.hashed import fit_hashed
+from ..operators.hashed_audit import log_loss, recomputed_scores, token_features
 from ..operators.nb import NBModel
 from ..operators.predict import predict
 from ..session import shared_path, write_shared
@@ -87,13 +87,37 @@ def q_hashed_model_roundtrip(spark, sf_dir):
 
 
 def q_hashed_features(spark, sf_dir):
-    """E5: token counts per feature bucket and documents per bucket, with a hash
-    that SQL can repeat (the first 32 bits of the md5, mod 4096)."""
+    """E5: documents per token of the training texts, and whether the fitted term
+    frequencies and IDF of the token's bucket follow from them."""
+    train = split_labelled(spark, sf_dir).filter(F.col("split") == "train")
+    return token_features(_hashed_fit(spark, sf_dir).model, train.select("doc_id", "text"), "text", "doc_id", WHOLE_TEXT)
+
+
+def q_hashed_score_recomputed(spark, sf_dir):
+    """M4: the score of every document against the sum over its tokens of the exported
+    weights (a last decimal may be rounded the other way)."""
+    model = _hashed_fit(spark, sf_dir).model
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    toks = docs.select("doc_id", F.explode(tokens("text", WHOLE_TEXT)).alias("token"))
-    bucket = F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("bigint") % 4096
-    counts = toks.groupBy("doc_id", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("tf"))
-    return counts.groupBy("bucket").agg(F.sum("tf").alias("tokens"), F.count(F.lit(1)).alias("documents"))
+    sums = recomputed_scores(model, docs, "text", "doc_id", WHOLE_TEXT)
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("z")))
+    return model.score(docs, "text").select("doc_id", "pos_prob").join(sums, "doc_id").select(
+        "doc_id", (F.abs(F.col("pos_prob") - p) < 0.00005 + 1e-9).alias("score_follows"))
+
+
+def q_hashed_training(spark, sf_dir):
+    """M1 + M8: per split the labelled texts, and whether the chosen model, scored from
+    its exported weights, does what the fit says: on train a log loss below that of
+    the best constant (a model of zero weights has none), on eval the
+    number of right answers that chose it."""
+    data, fit = write_shared(split_labelled(spark, sf_dir), "labelled"), _hashed_fit(spark, sf_dir)
+    z = recomputed_scores(fit.model, data.select("doc_id", "text"), "text", "doc_id", WHOLE_TEXT)
+    scored = write_shared(data.select("doc_id", "label", "split").join(z, "doc_id"), "recomputed")
+    loss = log_loss(scored.filter("split = 'train'"), "label")
+    chosen = fit.grid.filter("chosen").first()
+    right = scored.filter("split = 'eval'").agg(F.count_if((F.col("z") > 0) == (F.col("label") == 1)).alias("n")).first()["n"]
+    follows = F.when(F.col("split") == "train", F.lit(bool(loss["loss"] < 0.9 * loss["constant"]))).when(
+        F.col("split") == "eval", F.lit(right == chosen["eval_correct"])).otherwise(F.lit(True))
+    return scored.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("positive")).withColumn("follows", follows)
 
 
 def q_sample_predictions(spark, sf_dir):
@@ -134,6 +158,8 @@ MODEL_QUERIES = {
     "hashed_topic_analysis": q_hashed_topic_analysis,
     "hashed_model_roundtrip": q_hashed_model_roundtrip,
     "hashed_features": q_hashed_features,
+    "hashed_score_recomputed": q_hashed_score_recomputed,
+    "hashed_training": q_hashed_training,
     "sample_predictions": q_sample_predictions,
     "nb_model_roundtrip": q_nb_model_roundtrip,
 }

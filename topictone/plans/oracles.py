@@ -431,9 +431,14 @@ ORACLES["hashed_best_model"] = f"""SELECT reg_param, eval_n, true AS accuracy_fo
 ORACLES["hashed_topic_analysis"] = f"""SELECT doc_id, source, lang, true AS p_in_range, true AS baseline_follows,
     true AS adjustment_follows, true AS class_follows FROM documents WHERE {_valid('text')}"""
 ORACLES["hashed_model_roundtrip"] = "SELECT doc_id, true AS same_score FROM documents"
-ORACLES["hashed_features"] = f"""WITH t AS (SELECT doc_id, unnest({_toks('text')}) AS token FROM documents),
-c AS (SELECT doc_id, ('0x' || substr(md5(token), 1, 8))::BIGINT % 4096 AS bucket, count(*) AS tf FROM t GROUP BY ALL)
-SELECT bucket, CAST(sum(tf) AS BIGINT) AS tokens, count(*) AS documents FROM c GROUP BY bucket"""
+_SPLIT_ROWS = f"""split_rows AS (SELECT l.doc_id, d.text, l.quality AS label, {_split('d.text')} AS split
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE d.text IS NOT NULL)"""
+ORACLES["hashed_features"] = f"""WITH {_SPLIT_ROWS},
+t AS (SELECT DISTINCT doc_id, unnest({_toks('text')}) AS token FROM split_rows WHERE split = 'train')
+SELECT token, count(*) AS df, true AS bucket_ok FROM t GROUP BY token"""
+ORACLES["hashed_score_recomputed"] = "SELECT doc_id, true AS score_follows FROM documents"
+ORACLES["hashed_training"] = f"""WITH {_SPLIT_ROWS}
+SELECT split, count(*) AS n, CAST(sum(label) AS BIGINT) AS positive, true AS follows FROM split_rows GROUP BY split"""
 ORACLES["sample_predictions"] = f"""WITH {_nb_ctes()[1:]}, samples AS (SELECT item_id AS doc_id, text FROM benchmark),
     {_nb_doc_ctes('samples')} {PREDICT_SELECT} FROM nbs"""
 
