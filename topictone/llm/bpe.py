@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import texts_of
+from .common import released, texts_of
 
 LEAF = 32
 #: Longest match, in characters, whose ids are remembered, and how many are.
@@ -175,4 +175,4 @@ def bpe_documents(df: DataFrame, ranks: dict[bytes, int], pattern: str, *, id_co
     kinds = ["long"] + (["string", "string"] if digests else ["array<int>", "string"])
     schema = ", ".join([f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}",
                         *(f"{a} {b}" for a, b in zip(names[1:], kinds))])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)

@@ -3,6 +3,8 @@ Arrow batches, and result tables kept in the shared folder."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import write_shared
 
-__all__ = ["LOWER", "collected", "digest", "free_names", "groups_of", "read_table", "texts_of", "write_shared"]
+__all__ = ["LOWER", "collected", "digest", "free_names", "groups_of", "read_table", "released", "texts_of", "write_shared"]
 
 #: bytes.translate table that lower-cases A-Z and nothing else.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -61,6 +63,23 @@ def groups_of(batches: Iterator[pa.RecordBatch], text_col: str,
         yield pa.Table.from_batches(held)
 
 
+def released(run):
+    """``run`` (batches to batches), after which a Python worker hands the memory of its
+    task back to the system: the worker lives on, and its free memory would
+    otherwise stand beside that of the stages after it."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)   # glibc only
+            if trim is not None:
+                trim(0)
+
+    return task
+
+
 def collected(df: DataFrame, max_bytes: int, size_of) -> Iterator[list]:
     """Rows of a small table on the driver, in blocks of about ``max_bytes``:
     partitions are streamed one by one, and only one block is held."""

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import LOWER, collected, groups_of, texts_of
+from .common import LOWER, collected, groups_of, released, texts_of
 
 #: Bytes of item text in one broadcast, bytes of document text in one shard,
 #: and every how many words of a stretch a suffix position is sampled.
@@ -266,7 +266,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 10, id_col:
                 ([[{"start": a, "end": b} for a, b in f[3]] for f in found], span)))]
             yield from pa.table(arrays, names).to_batches()
 
-    return docs.mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_words long, n_hit long, "
+    return docs.mapInArrow(released(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_words long, n_hit long, "
                            "n_items long, items array<string>, items_sha256 string, contaminated boolean, "
                            "spans array<struct<start:int,end:int>>")
 
@@ -285,4 +285,4 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 10,
                    for t, (_, _, h) in zip(texts, _check_shard(texts, blocks))]
             yield from shard.set_column(at, text_col, pa.array(cut, pa.string())).to_batches()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

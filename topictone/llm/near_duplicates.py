@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, groups_of, write_shared
+from .common import free_names, groups_of, released, write_shared
 from .components import components
 from .sketch import band_keys, forget_words, shingles, sketches
 
@@ -82,7 +82,7 @@ def _sketched(docs: DataFrame, k: int) -> DataFrame:
                 ["id", "h", "n", "c", "s"]).to_batches()
         forget_words()
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, h binary, n long, c binary, s binary")
+    return docs.mapInArrow(released(run), f"id {docs.schema['id'].dataType.simpleString()}, h binary, n long, c binary, s binary")
 
 
 def _banded(classes: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def _banded(classes: DataFrame) -> DataFrame:
                 c = part.column(0).take(pa.array(np.repeat(np.arange(len(s)), BANDS)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), c], ["b", "c"])
 
-    return classes.select("c", "s").mapInArrow(run, "b long, c binary")
+    return classes.select("c", "s").mapInArrow(released(run), "b long, c binary")
 
 
 def _in_parts(rows: DataFrame, key: str, parts) -> DataFrame:
@@ -136,7 +136,7 @@ def _searched(rows: DataFrame, key: str, links: Callable[[list[dict]], list[tupl
         if out:
             yield _edge_batch(out)
 
-    return own.mapInArrow(run, "u binary, v binary")
+    return own.mapInArrow(released(run), "u binary, v binary")
 
 
 def _edge_batch(edges) -> pa.RecordBatch:
