@@ -18,13 +18,14 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, SQLTransformer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_TOKENS, TokenConfig
 from ..functions.text import TOKEN_PATTERN
 from ..session import spread
 from .predict import accuracy
+from .saved import load_version, save_version
 from .scorers import Scorer
 
 TEXT = "__tt_text"
@@ -66,12 +67,12 @@ class HashedModel(Scorer):
 
     def save(self, path: str, overwrite: bool = False) -> None:
         """Fails where something is saved already, unless ``overwrite``."""
-        writer = self.model.write()
-        (writer.overwrite() if overwrite else writer).save(path)
+        save_version(SparkSession.active(), path, self.model.save, {"kind": "hashed"}, overwrite)
 
     @staticmethod
     def load(path: str) -> "HashedModel":
-        return HashedModel(PipelineModel.load(path))
+        folder, _ = load_version(SparkSession.active(), path)
+        return HashedModel(PipelineModel.load(folder))
 
 
 @dataclass

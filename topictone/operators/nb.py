@@ -28,8 +28,6 @@ A key that repeats or is NULL raises, as its texts could not be told apart.
 
 from __future__ import annotations
 
-import json
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,6 +37,7 @@ from ..config import DEFAULT_JOIN, DEFAULT_TOKENS, JoinConfig, TokenConfig
 from ..functions.text import tokens
 from ..session import cut_lineage, spread
 from .joins import TableSize, _join, fits_broadcast, join_stored, measure, store_with_hot_keys
+from .saved import load_version, save_version
 from .scorers import Scorer, check_unique, key_list, with_row_key
 
 SCALE = 1_000_000
@@ -164,19 +163,15 @@ class NBModel(Scorer):
     # -- persistence (M10 / S6) -------------------------------------------
     def save(self, path: str, overwrite: bool = False) -> None:
         """Fails where something is saved already, unless ``overwrite``."""
-        spark = self.weights.sparkSession
-        mode = "overwrite" if overwrite else "errorifexists"
-        self.weights.write.mode(mode).parquet(os.path.join(path, "weights"))
-        meta = {"prior": self.prior, "vocab": self.vocab, "normalise": self.normalise,
+        note = {"kind": "nb", "prior": self.prior, "vocab": self.vocab, "normalise": self.normalise,
                 "temperature": self.temperature, "max_length": self.token_cfg.max_length,
                 "lowercase": self.token_cfg.lowercase}
-        spark.createDataFrame([(json.dumps(meta),)], "meta string") \
-            .coalesce(1).write.mode(mode).text(os.path.join(path, "meta"))
+        save_version(self.weights.sparkSession, path, self.weights.write.parquet, note, overwrite)
 
     @staticmethod
     def load(spark: SparkSession, path: str, join_cfg: JoinConfig = DEFAULT_JOIN) -> "NBModel":
-        meta = json.loads(spark.read.text(os.path.join(path, "meta")).first()[0])
-        return NBModel(weights=spark.read.parquet(os.path.join(path, "weights")),
+        folder, meta = load_version(spark, path)
+        return NBModel(weights=spark.read.parquet(folder),
                        prior=int(meta["prior"]), vocab=int(meta["vocab"]),
                        normalise=meta["normalise"], temperature=float(meta["temperature"]),
                        token_cfg=TokenConfig(meta["max_length"], bool(meta["lowercase"])),

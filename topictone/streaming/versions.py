@@ -33,8 +33,11 @@ class VersionedTable:
     def latest(self, before: int | None = None) -> int | None:
         return max((v for v in self.versions() if before is None or v < before), default=None)
 
+    def folder(self, version: int) -> str:
+        return f"{self.path}/version-{version}"
+
     def read(self, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/version-{version}")
+        return self.spark.read.parquet(self.folder(version))
 
     def note(self, version: int) -> str:
         """What was committed with the version."""
@@ -43,7 +46,7 @@ class VersionedTable:
 
     def write(self, df: DataFrame, version: int) -> DataFrame:
         """Write a version; it doesn't count before ``commit``."""
-        df.write.mode("overwrite").parquet(f"{self.path}/version-{version}")
+        df.write.mode("overwrite").parquet(self.folder(version))
         return self.read(version)
 
     def commit(self, version: int, note: str = "") -> None:
@@ -65,4 +68,4 @@ class VersionedTable:
         for v in self.versions():
             if v < before:
                 remove_path(self.spark, f"{self.path}/marks/{v}")
-                remove_path(self.spark, f"{self.path}/version-{v}")
+                remove_path(self.spark, self.folder(v))
