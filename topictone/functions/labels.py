@@ -52,6 +52,23 @@ def argmax_index(probs: str | Column) -> Column:
     return F.array_position(a, F.array_max(a)) - 1
 
 
+def log_sum_exp(logits: str | Column) -> Column:
+    """ln(sum(exp(x))) of an array of finite logits, the largest taken out first so
+    that nothing overflows; NULL for NULL and for no logits."""
+    a = col_of(logits)
+    top = F.array_max(a)
+    return top + F.log(F.aggregate(F.transform(a, lambda x: F.exp(x - top)), F.lit(0.0), lambda acc, x: acc + x))
+
+
+def softmax(logits: str | Column) -> Column:
+    """exp(x) / sum(exp) of an array of finite logits, the largest taken out first;
+    summed from first to last.  NULL for NULL, empty for no logits."""
+    a = col_of(logits)
+    top = F.array_max(a)
+    shifted = F.transform(a, lambda x: F.exp(x - top))
+    return F.transform(shifted, lambda x: x / F.aggregate(shifted, F.lit(0.0), lambda acc, y: acc + y))
+
+
 def positive_probability(probs: str | Column) -> Column:
     """Column 1 of a probability array, or column 0 for a one-column model."""
     a = col_of(probs)

@@ -24,12 +24,16 @@ def union_labelled(*dfs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs)
 
 
-def split_bucket(key_cols: list[str], seed: int = SPLIT_SEED) -> Column:
-    """Bucket 0..9999 from the md5 of ``seed:key``."""
+def split_digest(key_cols: list[str], seed: int = SPLIT_SEED) -> Column:
+    """The md5 of ``seed:key`` as 32 hex digits."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key_cols]
     key = parts[0] if len(parts) == 1 else F.concat_ws(":", *parts)
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), key))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 10000
+    return F.md5(F.concat(F.lit(f"{seed}:"), key))
+
+
+def split_bucket(key_cols: list[str], seed: int = SPLIT_SEED) -> Column:
+    """Bucket 0..9999 from the md5 of ``seed:key``."""
+    return F.conv(F.substring(split_digest(key_cols, seed), 1, 8), 16, 10).cast("bigint") % 10000
 
 
 def split_name(bucket: Column, fractions=SPLIT_FRACTIONS) -> Column:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..config import REPLY_LABELS
 from ..operators.hashed import fit_hashed
 from ..operators.hashed_audit import log_loss, recomputed_scores, token_features
+from ..operators.multiclass import fit_classes
 from ..operators.nb import NBModel
 from ..operators.predict import predict
 from ..session import shared_path, write_shared
-from .queries import WHOLE_TEXT, nb_all_labels, split_labelled, table
+from .queries import NOTHING_FITS, WHOLE_TEXT, nb_all_labels, split_labelled, table
 from .topic_analysis import analyze_topics
 from .training import load_model
 
@@ -120,6 +121,39 @@ def q_hashed_training(spark, sf_dir):
     return scored.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("positive")).withColumn("follows", follows)
 
 
+#: Classes of the labelled documents, in the order of their logits.
+THREE = ["good", "poor", "toxic"]
+
+
+def _three_classes(spark, sf_dir, **options):
+    labels = table(spark, sf_dir, "labels")
+    name = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    data = labels.select("doc_id", name.alias("name")).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return fit_classes(data, "text", "name", classes=THREE, token_cfg=WHOLE_TEXT, **options)
+
+
+def _class_rows(model, spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    probs = [F.col("probs")[i].alias(f"p_{c}") for i, c in enumerate(THREE)]
+    return model.score(docs, "text", "doc_id").select("doc_id", "class", "confidence", *probs)
+
+
+def q_class_model(spark, sf_dir):
+    """M2 for three classes: counts and weights of each token."""
+    weights = _three_classes(spark, sf_dir).weights
+    return weights.select("token", *(F.col(x)[i].alias(f"{x}_{c}") for x in ("n", "k") for i, c in enumerate(THREE)))
+
+
+def q_class_score(spark, sf_dir):
+    """M3 + M5 + M6 for three classes: softmax, argmax and confidence of every document."""
+    return _class_rows(_three_classes(spark, sf_dir), spark, sf_dir)
+
+
+def q_class_score_salted(spark, sf_dir):
+    """The same past the broadcast limits."""
+    return _class_rows(_three_classes(spark, sf_dir, join_cfg=NOTHING_FITS), spark, sf_dir)
+
+
 def q_sample_predictions(spark, sf_dir):
     """A saved and reloaded NB model on the benchmark passages as samples."""
     model = nb_all_labels(spark, sf_dir)
@@ -160,6 +194,9 @@ MODEL_QUERIES = {
     "hashed_features": q_hashed_features,
     "hashed_score_recomputed": q_hashed_score_recomputed,
     "hashed_training": q_hashed_training,
+    "class_model": q_class_model,
+    "class_score": q_class_score,
+    "class_score_salted": q_class_score_salted,
     "sample_predictions": q_sample_predictions,
     "nb_model_roundtrip": q_nb_model_roundtrip,
 }

@@ -447,3 +447,61 @@ _WRITTEN = _docs_topic_ctes("quality", "mean", ["source"], docs=CSV_DOCS)[1:]
 _AS_TEXT = """doc_id, text AS "评论", abs_sentiment, adj_sentiment, pos_prob, topic_baseline"""
 ORACLES["csv_result_rows"] = f"WITH {_WRITTEN}\nSELECT {_AS_TEXT} FROM res"
 ORACLES["csv_class_rows"] = f"WITH {_WRITTEN}\nSELECT adj_sentiment AS adj_class, {_AS_TEXT} FROM res"
+
+# D2 with exact sizes: held back ceil(0.3 n), of those ceil(half) for test.
+SPLIT_EXACT = f"""{LABELLED_UNION.replace('FROM conversations', f'FROM {UNTIDY}')},
+ranked AS (
+  SELECT *, count(*) OVER () AS n,
+         row_number() OVER (ORDER BY md5('42:' || coalesce(text, '')) || md5(concat_ws(':', text IS NULL, label, origin))) AS place
+  FROM lu),
+sa AS (
+  SELECT origin, label, text,
+         CASE WHEN place <= n - (3 * n + 9) // 10 THEN 'train'
+              WHEN place <= n - ((3 * n + 9) // 10 + 1) // 2 THEN 'eval' ELSE 'test' END AS split
+  FROM ranked)"""
+
+ORACLES["split_exact"] = f"WITH {SPLIT_EXACT[1:]} SELECT * FROM sa WHERE text IS NOT NULL"
+ORACLES["split_exact_sizes"] = f"WITH {SPLIT_EXACT[1:]} SELECT split, count(*) AS n FROM sa GROUP BY split"
+
+# Three classes: multinomial naive Bayes, softmax with the largest logit taken out.
+_THREE = ["good", "poor", "toxic"]
+
+
+def _each(form: str, sep: str = ", ") -> str:
+    return sep.join(form.format(c=c) for c in _THREE)
+
+
+CLASS_MODEL = f"""
+cl AS (
+  SELECT d.text, CASE WHEN l.toxic = 1 THEN 'toxic' WHEN l.quality = 1 THEN 'good' WHEN l.quality = 0 THEN 'poor' END AS name
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+cc AS (
+  SELECT token, {_each("count(*) FILTER (WHERE name = '{c}') AS n_{c}")}
+  FROM (SELECT name, unnest({_toks('text')}) AS token FROM cl WHERE name IS NOT NULL) GROUP BY token),
+ct AS (SELECT count(*) AS v, {_each('CAST(sum(n_{c}) AS BIGINT) AS s_{c}')} FROM cc),
+cw AS (
+  SELECT token, {_each('n_{c}')},
+         {_each('CAST(round(ln(CAST(n_{c} + 1 AS DOUBLE) / CAST(s_{c} + v AS DOUBLE)) * 1000000.0::DOUBLE) AS BIGINT) AS k_{c}')}
+  FROM cc, ct)"""
+
+CLASS_SCORE = f"""{CLASS_MODEL},
+cp AS (
+  SELECT {_each("CAST(round(ln(CAST(count(*) FILTER (WHERE name = '{c}') AS DOUBLE) / CAST(count(name) AS DOUBLE)) * 1000000.0::DOUBLE) AS BIGINT) AS p_{c}")}
+  FROM cl),
+cs AS (
+  SELECT t.doc_id, {_each('CAST(sum(k_{c}) AS BIGINT) AS s_{c}')}
+  FROM (SELECT doc_id, unnest({_toks('text')}) AS token FROM documents) t JOIN cw ON t.token = cw.token GROUP BY t.doc_id),
+cz AS (
+  SELECT d.doc_id, {_each('coalesce(s_{c}, 0) + p_{c} AS z_{c}')}
+  FROM documents d CROSS JOIN cp LEFT JOIN cs ON d.doc_id = cs.doc_id),
+ce AS (
+  SELECT *, {_each('exp(CAST(z_{c} AS DOUBLE) / 1000000.0::DOUBLE - CAST(greatest(z_good, z_poor, z_toxic) AS DOUBLE) / 1000000.0::DOUBLE) AS e_{c}')}
+  FROM cz)"""
+
+ORACLES["class_model"] = f"WITH {CLASS_MODEL[1:]} SELECT * FROM cw"
+ORACLES["class_score"] = ORACLES["class_score_salted"] = f"""WITH {CLASS_SCORE[1:]}
+SELECT doc_id,
+       CASE WHEN z_good >= z_poor AND z_good >= z_toxic THEN 'good' WHEN z_poor >= z_toxic THEN 'poor' ELSE 'toxic' END AS class,
+       round(1.0::DOUBLE / (e_good + e_poor + e_toxic), 4) AS confidence,
+       {_each('round(e_{c} / (e_good + e_poor + e_toxic), 4) AS p_{c}')}
+FROM ce"""

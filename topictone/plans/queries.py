@@ -18,6 +18,7 @@ from ..config import DEFAULT_TOPIC, LABELS_EN, REPLY_LABELS, JoinConfig, TokenCo
 from ..functions.labels import binary_reply
 from ..functions.text import is_valid_text, null_to_empty, strip_col, tokens
 from ..operators.encode import build_vocabulary, encode_fixed
+from ..operators.exact_split import assign_exact_split
 from ..operators.nb import fit_nb
 from ..operators.prep import (assign_split, split_label_distribution, split_sizes,
                               union_labelled)
@@ -131,13 +132,27 @@ def q_labelled_union(spark, sf_dir):
     return union_labelled(docs, pos, neg)
 
 
-def q_split_assign(spark, sf_dir):
-    """D2 + D3 (P3): some turns have no text and are dropped."""
+def _split_input(spark, sf_dir):
     docs = labelled_docs(spark, sf_dir).select("text", "label", F.lit("labelled").alias("origin"))
     turns = untidy(table(spark, sf_dir, "conversations")).select("text", F.lit(0).alias("label"), F.lit("negative_lines").alias("origin"))
     pos = table(spark, sf_dir, "benchmark").select("text", F.lit(1).alias("label"), F.lit("positive_lines").alias("origin"))
-    return assign_split(union_labelled(docs, pos, turns), ["text"], text_col="text") \
-        .select("origin", "label", "split", "text")
+    return union_labelled(docs, pos, turns)
+
+
+def q_split_assign(spark, sf_dir):
+    """D2 + D3 (P3): some turns have no text and are dropped."""
+    return assign_split(_split_input(spark, sf_dir), ["text"], text_col="text").select("origin", "label", "split", "text")
+
+
+def q_split_exact(spark, sf_dir):
+    """D2 + D3 with exact sizes: the rows in the order of their digests, cut by rank;
+    then rows without a text are dropped."""
+    return assign_exact_split(_split_input(spark, sf_dir), ["text"], text_col="text").select("origin", "label", "split", "text")
+
+
+def q_split_exact_sizes(spark, sf_dir):
+    """D2 + D4: rows per part before any are dropped."""
+    return split_sizes(assign_exact_split(_split_input(spark, sf_dir), ["text"]))
 
 
 def q_split_sizes(spark, sf_dir):
@@ -375,6 +390,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "null_to_empty": q_null_to_empty,
     "labelled_union": q_labelled_union,
     "split_assign": q_split_assign,
+    "split_exact": q_split_exact,
+    "split_exact_sizes": q_split_exact_sizes,
     "split_sizes": q_split_sizes,
     "split_label_distribution": q_split_label_distribution,
     "tokens_truncated": q_tokens_truncated,

@@ -7,21 +7,22 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_TOKENS, SPLIT_SEED, TokenConfig
+from ..operators.exact_split import assign_exact_split
 from ..operators.hashed import HashedModel, fit_hashed
 from ..functions.labels import absolute_id
 from ..operators.nb import NBModel, fit_nb, sigmoid_p
 from ..operators.predict import predict
 from ..operators.prep import assign_split, union_labelled
+from ..operators.saved import load_version
 from ..operators.scorers import Scorer
 from ..sources.comments import read_labelled_csv
-from ..session import cut_lineage, path_kind
+from ..session import cut_lineage
 from ..sources.lines import read_lines
 
 
@@ -79,9 +80,11 @@ def _choose_nb(split: DataFrame, variants: dict[str, NBModel]) -> tuple[str, Dat
 
 def train(data: DataFrame, *, kind: str = "hashed", key_cols: tuple[str, ...] = ("text",),
           seed: int = SPLIT_SEED, token_cfg: TokenConfig = DEFAULT_TOKENS,
-          num_features: int = 1 << 18, reg_grid=(0.0, 0.01, 0.1)) -> Trained:
-    """Split ``data`` (``text, label``), fit, select on eval, measure."""
-    split = assign_split(data, list(key_cols), seed=seed, text_col="text")
+          num_features: int = 1 << 18, reg_grid=(0.0, 0.01, 0.1), exact_split: bool = False) -> Trained:
+    """Split ``data`` (``text, label``), fit, select on eval, measure.  With
+    ``exact_split`` the parts have exact sizes (of all rows, before NULL texts go)."""
+    assign = assign_exact_split if exact_split else assign_split
+    split = assign(data, list(key_cols), seed=seed, text_col="text")
     tr = split.filter(F.col("split") == "train")
     ev = split.filter(F.col("split") == "eval")
     if kind == "nb":
@@ -101,13 +104,12 @@ def train(data: DataFrame, *, kind: str = "hashed", key_cols: tuple[str, ...] =
 
 
 def save_model(model: Scorer, path: str, overwrite: bool = False) -> None:
-    """NB as parquet weights + metadata, hashed as a Spark ML pipeline; fails
-    where something is saved already, unless ``overwrite``."""
+    """NB weights as parquet, the Spark ML scorer as a pipeline, each with a mark
+    that makes it count; fails where something is saved already, unless ``overwrite``."""
     model.save(path, overwrite)
 
 
 def load_model(spark: SparkSession, path: str) -> Scorer:
-    """Whichever kind was saved at ``path`` (an NB model has a ``meta``
-    folder, a Spark ML pipeline does not)."""
-    kind = path_kind(spark, os.path.join(path, "meta"))
-    return NBModel.load(spark, path) if kind == "folder" else HashedModel.load(path)
+    """Whichever kind was saved at ``path``; raises when no whole model is there."""
+    kind = load_version(spark, path)[1]["kind"]
+    return NBModel.load(spark, path) if kind == "nb" else HashedModel.load(path)
