@@ -23,6 +23,8 @@ any length are read whole.  An empty table gives an empty table.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
@@ -122,15 +124,24 @@ def templates() -> list[tuple[str, list[str], float]]:
             for f, texts in source.items() for t in texts]
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def confirmed(words: Column, family: Column | None = None) -> Column:
     """Whether enough pairs of a template (of ``family``, or of any) stand in
     a paragraph."""
-    held = F.array_union(pairs(words), words)
-    out = F.lit(False)
-    for name, want, least in templates():
-        hit = F.size(F.array_intersect(held, F.array(*(F.lit(w) for w in want)))) / F.lit(len(want)) >= least
-        out = out | (hit if family is None else (family == name) & hit)
-    return out
+    rows = [{"family": f, "want": want, "least": least} for f, want, least in templates()]
+    known = F.from_json(F.lit(json.dumps(rows)), "array<struct<family:string,want:array<string>,least:double>>")   # a constant
+
+    def hit(held):
+        def enough(t):
+            share = F.size(F.array_intersect(held, t["want"])) / F.size(t["want"]) >= t["least"]
+            return share if family is None else (t["family"] == family) & share
+        return F.exists(known, enough)
+
+    return _bound(words, lambda w: _bound(F.array_union(pairs(w), w), hit))
 
 
 def _plain_pairs(phrase: str) -> list[str]:
