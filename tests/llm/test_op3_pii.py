@@ -30,39 +30,47 @@ def brute_base(text):
     return sorted(out)
 
 
+TERM = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|([^\W\d_](?:[^\W\d_]|['-]){2,})")
+IN_RUN = re.compile(r"(?:[^\W_]|['@._%+-])")
+
+
+def brute_units(t):
+    """(first character, piece): cuts at each PASSAGE, moved to the end of a run that stands there."""
+    cuts = [0]
+    for at in range(pii.PASSAGE, len(t), pii.PASSAGE):
+        if IN_RUN.match(t[at - 1]):
+            while at < len(t) and IN_RUN.match(t[at]):
+                at += 1
+        cuts.append(at)
+    return [t[a:b] for a, b in zip(cuts, cuts[1:] + [len(t)])]
+
+
 def brute_terms(rows, generalise=pii.GENERALISE, remove=pii.REMOVE):
     """(id, text) -> set of (start, end) of disclosing terms."""
-    texts = {(d, t or "") for d, t in rows}
-    word = re.compile(r"[^\W\d_](?:[^\W\d_]|['-])+")
-    words = lambda t: [m for m in word.finditer(t) if len(m[0]) >= 3]
-    df, n_e, both, support, uses = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(set), defaultdict(list)
+    df, n_e, both, texts, n = defaultdict(int), defaultdict(int), defaultdict(int), defaultdict(set), 0
     for _, t in rows:
-        for w in {m[0] for m in words((t or "").lower())}:
-            df[w] += 1
-    for d, t in texts:
-        seen_e, seen_p = set(), set()
+        t = t or ""
+        entities = defaultdict(set)
         for a, k, e, v in brute_base(t):
-            entity = (k, v.lower())
-            seen_e.add(entity)
-            lo = max(0, a - pii.WINDOW)
-            before, after = t[lo:a], t[e:e + pii.WINDOW]
-            skip = len(re.match(r"(?:[^\W\d_]|['-])*", before)[0]) if lo else 0
-            found = [(m.start() + lo + skip, m.end() + lo + skip, m[0].lower()) for m in words(before[skip:])]
-            found += [(m.start() + e, m.end() + e, m[0].lower()) for m in words(re.sub(r"(?:[^\W\d_]|['-])+$", "", after))]
-            for s, x, w in found:
-                seen_p.add((entity, w))
-                support[entity, w].add((before, after))
-                uses[entity, w].append((d, t, s, x))
-        for e in seen_e:
-            n_e[e] += 1
-        for p in seen_p:
-            both[p] += 1
-    out, n = defaultdict(set), len(rows)
-    for p, b in both.items():
-        if len(support[p]) >= pii.SUPPORT and n_e[p[0]] < n:
-            if math.log(n * b / (df[p[1]] * n_e[p[0]])) / math.log(n / n_e[p[0]]) >= generalise - 1e-12:
-                for d, t, s, x in uses[p]:
-                    out[d, t].add((s, x))
+            entities[a // pii.PASSAGE].add((k, v.lower()))
+        for u, piece in enumerate(brute_units(t)):
+            n += 1
+            words = {m[1] for m in TERM.finditer(piece.lower()) if m[1]}
+            for w in words:
+                df[w] += 1
+            for e in entities[u]:
+                n_e[e] += 1
+                for w in words:
+                    both[e, w] += 1
+                    texts[e, w].add(piece)
+    over = {w for (e, w), c in both.items() if len(texts[e, w]) >= pii.SUPPORT and n_e[e] < n
+            and math.log(n * c / (df[w] * n_e[e])) / math.log(n / n_e[e]) >= generalise - 1e-12}
+    out = defaultdict(set)
+    for d, t in rows:
+        spans = brute_base(t or "")
+        for m in TERM.finditer(t or ""):
+            if m[1] and m[1].lower() in over and not any(a < m.end() and m.start() < e for a, _, e, _ in spans):
+                out[d, t or ""].add(m.span())
     return out
 
 
@@ -111,7 +119,7 @@ def test_sanitise(spark):
     for d, t in rows:
         base = brute_base(t or "")
         if not base:
-            assert out[d].text == t and out[d].source == "s"
+            assert (out[d].text == t) == (not terms.get((d, t or ""))) and out[d].source == "s"
         else:
             assert not brute_base(out[d].text) or any(k != 0 for _, k, _, _ in base)
             for a, k, e, v in base:
@@ -121,6 +129,38 @@ def test_sanitise(spark):
     assert pii.sanitise(df.limit(0)).count() == 0 and pii.personal_data(df.limit(0)).count() == 0
 
 
+def test_terms_anywhere(spark):
+    """A name far from the mention, in a text without one, of an address in two texts
+    only, and beyond the first unit of a long text; a copied text proves nothing."""
+    fill = "the quick words of ordinary talk go on here " * 40
+    rows = [(i, f"{fill} number {i}") for i in range(1000, 1400)]
+    rows += [(100, f"Quillon wrote. {fill} mail ann@x.org"), (101, f"mail ann@x.org {fill} signed Quillon"), (102, "Quillon was here, Épann@x.org")]
+    rows += [(110 + i, "Copied Marwick at bob@y.org") for i in range(5)]
+    long = "plain filler text " * 300
+    rows += [(120, f"{long} Tarrow zed@z.org {long}"), (121, f"{long} {long} zed@z.org by Tarrow")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(df).collect()}
+    terms = brute_terms(rows)
+    for d, t in rows:
+        assert {tuple(map(int, x.split(":")[1:])) for x in got[d].spans.split(",") if x.startswith("term")} == terms[d, t]
+    text = dict(rows)
+    for d, name in [(100, "Quillon"), (101, "Quillon"), (102, "Quillon"), (120, "Tarrow"), (121, "Tarrow")]:
+        at = text[d].index(name)
+        assert f"term:{at}:{at + len(name)}" in got[d].spans.split(",")
+    assert all(got[110 + i].n_term == 0 for i in range(5))
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert all(name not in clean[d] for d, name in [(100, "Quillon"), (102, "Quillon"), (121, "Tarrow")])
+    assert all(clean[i] == text[i] for i in range(1000, 1400))
+
+
+def test_many_mentions_in_one_text(spark):
+    text = " ".join(f"10.{i // 250}.{i % 250}.7" for i in range(16_000))
+    df = spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(df).collect()}
+    want = ",".join(f"ip:{a}:{e}" for a, _, e, _ in brute_base(text))
+    assert got[1].n_ip == 16_000 and got[1].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
 def test_query(spark, sf01):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf01}/documents.parquet").collect()]
     got = {r.doc_id: r for r in op3_information_pii(spark, sf01).collect()}

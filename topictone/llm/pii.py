@@ -7,18 +7,23 @@ pattern: matches and the pieces between them, whose lengths add up.  The pattern
 are possessive and anchored where a match can start, which finds the same matches
 in linear time and without recursion.
 
-The method: an address or number found is a protected *entity*.  The words within
-WINDOW characters of a mention are *terms*.  Counting documents over the
-whole corpus, the pointwise mutual information of term t and entity e is
-``ln(N * n(t, e) / (n(t) * n(e)))``, and the information content of e is
-``ln(N / n(e))``.  Their ratio is the share of the entity that the term gives away:
-1 if it stands in no document without the entity.  A term whose ratio reaches
-``generalise`` (in at least SUPPORT different windows, so copies of one text prove
-nothing) is a span of kind ``term`` there; from ``remove`` on it is removed, below
-that it is generalised to the class of its spelling.
-
-Terms are counted by one partial aggregation over all documents.  A pair
-(term, entity) that stands in very many documents is joined salted.
+The method: an address or number found is a protected *entity*, the words of a text
+outside its addresses are *terms*.  Both are counted over all *units* of the corpus:
+a unit is a text, or of a longer text each PASSAGE characters (a run of word or
+address characters stays in the unit where it begins).  The pointwise mutual
+information of term t and entity e is ``ln(N * n(t, e) / (n(t) * n(e)))``, and the
+information content of e is ``ln(N / n(e))``.  Their ratio is the share of the entity
+that the term gives away: 1 if it stands in no unit without the entity.  A term whose
+ratio reaches ``generalise`` for some entity (met in at least SUPPORT units of
+different text, as copies of one text prove nothing) is a span of kind ``term``
+wherever it stands, in texts without the entity too.  From ``remove`` on it is
+removed, below that it is generalised to the class of its spelling.
+
+Exact bounds keep the pairs few.  An entity in fewer than SUPPORT different units has
+no term, and a term can only reach the ratio if ``n(t) <= n(e)**g * N**(1-g)``: the
+words in more than a COMMON-th of the units (at most COMMON times the words of a unit)
+are broadcast with the least n(e) they need.  Entities of very many units are joined
+salted, and the pairs are counted per unit text first.
 
 Null texts count as empty.  Equal rows (id and text) give equal rows.  Texts of any
 length are scanned whole.  An empty table gives an empty table.
@@ -43,26 +48,60 @@ PATTERNS = {
 KINDS = (*PATTERNS, "term")
 #: What replaces a span of each kind in a sanitised text.
 MASKS = {k: f"[{k.upper()}]" for k in PATTERNS}
-WINDOW, SUPPORT, GENERALISE, REMOVE, SALTS = 60, 3, 0.9, 0.99, 16
+PASSAGE, SUPPORT, GENERALISE, REMOVE, SALTS, COMMON, STEP = 4000, 2, 0.9, 0.99, 16, 1000, 256
 WORD = r"[\p{L}][\p{L}\p{M}'-]{2,}+"
+#: An address (group 1 empty) or a word; and what a unit's end doesn't cut.
+TERM = rf"(?:{PATTERNS['email']})|({WORD})"
+RUN = r"[\p{L}\p{M}0-9'@._%+-]"
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def places(text: Column, pattern: str, kind: int) -> Column:
     """Array of (start, kind, end, value) of the pattern's matches in code points."""
     pieces = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    gaps = F.transform(F.arrays_zip(F.slice(pieces, 1, F.greatest(F.size(found), F.lit(1))).alias("piece"), found.alias("match")),
+                       lambda x: F.struct(F.length(x["piece"]).alias("gap"), x["match"].alias("value")))
+
+    def run(step, start):
+        """Spans of up to STEP matches, places counted from ``start``."""
+        first = F.struct(start.alias("at"), F.array().cast(SPAN).alias("out"))
+
+        def add(acc, x):
+            begin = acc["at"] + x["gap"]
+            end = begin + F.length(x["value"])
+            span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+        return F.aggregate(step, first, add)
+
+    # Appending copies an array, so long lists are built in steps, each from 0, and
+    # then moved to where the steps before end.
+    def steps(pairs):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / STEP).cast("int")),
+                           lambda i: run(F.slice(pairs, i * STEP + 1, F.lit(STEP)), F.lit(0)))
+
+    moved_type = f"array<struct<by:int,out:{SPAN}>>"
+
+    def move(acc, x):
+        part = F.struct(acc["at"].alias("by"), x["out"].alias("out"))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["parts"], F.array(part)).alias("parts"))
+
+    def moved(p):
+        return F.transform(p["out"], lambda s: F.struct(
+            (s["start"] + p["by"]).alias("start"), s["kind"].alias("kind"), (s["end"] + p["by"]).alias("end"), s["value"].alias("value")))
 
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["piece"])
-        end = begin + F.length(x["match"])
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def spans(pairs):
+        many = F.aggregate(steps(pairs), F.struct(F.lit(0).alias("at"), F.array().cast(moved_type).alias("parts")), move,
+                           lambda acc: F.flatten(F.transform(acc["parts"], moved)))
+        return F.when(F.size(pairs) <= STEP, run(pairs, F.lit(0))["out"]).otherwise(many)
 
-    pairs = F.arrays_zip(F.slice(pieces, 1, F.greatest(F.size(found), F.lit(1))).alias("piece"), found.alias("match"))
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(SPAN))
+    return F.when(F.regexp_like(text, F.lit(pattern)), _let(gaps, spans)).otherwise(F.array().cast(SPAN))
 
 
 def _luhn(digits: Column) -> Column:
@@ -92,8 +131,7 @@ def _passes(kind: str, value: Column) -> Column:
 def base_spans(text: Column) -> Column:
     """All base spans in the listed order."""
     def of(i: int, kind: str, pattern: str) -> Column:
-        passing = F.filter(places(text, pattern, i), lambda s: _passes(kind, s["value"]))
-        return F.when(F.regexp_like(text, F.lit(pattern)), passing).otherwise(F.array().cast(SPAN))
+        return F.filter(places(text, pattern, i), lambda s: _passes(kind, s["value"]))
 
     return F.array_sort(F.concat(*(of(i, k, p) for i, (k, p) in enumerate(PATTERNS.items()))))
 
@@ -112,78 +150,103 @@ def _row_key(id_col: str, text: Column) -> Column:
     return F.unhex(F.sha2(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit("\u0000"), text), 256))
 
 
+def _units(rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``text``) once per unit: its number ``unit`` and its text ``piece``."""
+    def last_in_run(piece):
+        return F.regexp_like(F.substring(piece, -1, 1), F.lit(RUN))
+
+    def lead(piece):
+        return F.regexp_extract(piece, f"^{RUN}*+", 0)
+
+    def whole(piece, i):
+        """Without the end of a run that began before, with the end of its own last run."""
+        before, after = F.coalesce(F.get("cut", i - 1), F.lit("")), F.coalesce(F.get("cut", i + 1), F.lit(""))
+        own = F.when(last_in_run(before), F.substring(piece, F.length(lead(piece)) + 1, F.length(piece))).otherwise(piece)
+        return F.concat(own, F.when(last_in_run(piece), lead(after)).otherwise(F.lit("")))
+
+    cut = F.when(F.length("text") > PASSAGE, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PASSAGE}}}"), F.lit(0)))
+    return (rows.withColumn("cut", cut)
+            .withColumn("pieces", F.when(F.col("cut").isNull(), F.array("text")).otherwise(F.transform("cut", whole)))
+            .select(*(F.col(c) for c in rows.columns), F.posexplode("pieces").alias("unit", "piece")))
+
+
+def _words(piece: Column) -> Column:
+    """The different words of a unit outside its addresses, in lower case."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(piece), F.lit(TERM), F.lit(1)), lambda w: w != ""))
+
+
 def _scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, base spans, and for rows with spans a key and the words near each
-    mention: (entity, start, end, word, window), written once without texts."""
+    """id, key (equal for equal rows), length and base spans, written once without texts."""
     text = _text(text_col)
-    found = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-
-    def near(span):
-        begin = F.greatest(span["start"] - WINDOW, F.lit(0))
-        before = F.substring(F.col("text"), begin + 1, span["start"] - begin)
-        after = F.substring(F.col("text"), span["end"] + 1, F.lit(WINDOW))
-        # Words cut by the window's edge are left out.
-        cut_before = F.when(begin > 0, F.regexp_extract(before, r"^[\p{L}\p{M}'-]*+", 0)).otherwise(F.lit(""))
-        cut_after = F.regexp_replace(after, r"[\p{L}\p{M}'-]++$", "")
-        window = F.xxhash64(before, after)
-        entity = F.concat_ws(":", span["kind"], F.lower(span["value"]))
-
-        def words(part, offset):
-            return F.transform(places(part, WORD, len(PATTERNS)), lambda w: F.struct(
-                entity.alias("entity"), (w["start"] + offset).alias("start"), (w["end"] + offset).alias("end"),
-                F.lower(w["value"]).alias("word"), window.alias("window")))
-
-        left = F.substring(before, F.length(cut_before) + 1, F.length(before))
-        return F.concat(words(left, begin + F.length(cut_before)), words(cut_after, span["end"]))
-
-    some = F.size("base") > 0
-    terms = F.when(some, F.flatten(F.transform("base", near)))
-    key = F.when(some, _row_key("id", F.col("text")))
-    return write_shared(found.select("id", key.alias("key"), "base", terms.alias("terms")), "pii-scan")
-
-
-def _disclosing(docs: DataFrame, scan: DataFrame, id_col: str, text_col: str, generalise: float, remove: float) -> DataFrame:
-    """word, entity, removed: terms over the threshold, by document counts."""
-    uses = scan.filter("key IS NOT NULL").select("key", F.explode("terms").alias("t")).select("key", "t.entity", "t.word", "t.window")
-    pairs = (uses.select("key", "entity", "word").distinct().groupBy("entity", "word").agg(F.count(F.lit(1)).alias("both"))
-             .join(uses.select("entity", "word", "window").distinct().groupBy("entity", "word").agg(F.count(F.lit(1)).alias("support")),
-                   ["entity", "word"]).filter(F.col("support") >= SUPPORT))
-    entities = (scan.filter("key IS NOT NULL").select("key", F.explode("base").alias("b"))
-                .select("key", F.concat_ws(":", "b.kind", F.lower("b.value")).alias("entity")).distinct()
-                .groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")))
-    total = scan.count()
-    # Document frequencies of all words of all texts, summed in the tasks first.
-    words = F.array_distinct(F.regexp_extract_all(F.lower(_text(text_col)), F.lit(WORD), F.lit(0)))
-    wanted = pairs.select("word").distinct()
-    freq = (docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_word"))
-            .join(wanted, "word", "left_semi"))
-    share = (F.log(F.lit(float(max(total, 1))) * F.col("both") / (F.col("n_word") * F.col("n_entity")))
-             / F.log(F.lit(float(max(total, 1))) / F.col("n_entity")))
-    return (pairs.join(entities, "entity").join(freq, "word").filter(F.col("n_entity") < total)
-            .withColumn("share", share).filter(F.col("share") >= generalise)
-            .select("word", "entity", (F.col("share") >= remove).alias("removed")))
-
-
-def _term_spans(scan: DataFrame, terms: DataFrame) -> DataFrame:
-    """key, terms: the disclosing places of each row, once each."""
-    uses = scan.filter("key IS NOT NULL").select("key", F.explode("terms").alias("t")).select("key", "t.*")
-    spread = uses.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    found = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
+    return write_shared(found.select("id", _row_key("id", F.col("text")).alias("key"), F.length("text").alias("length"),
+                                     base_spans(F.col("text")).alias("base")), "pii-scan")
+
+
+def _entity(span: Column) -> Column:
+    return F.concat_ws(":", span["kind"], F.lower(span["value"]))
+
+
+def _disclosing(docs: DataFrame, scan: DataFrame, text_col: str, generalise: float, remove: float) -> DataFrame:
+    """word, removed: the terms over the threshold for some entity, by unit counts."""
+    texts = docs.select(_text(text_col).alias("text"))
+    total = int(scan.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("length") / PASSAGE)))).first()[0] or 0)
+    # Unit counts of all words of all texts, summed in the tasks first.
+    freq = write_shared(_units(texts).select(F.explode(_words(F.col("piece"))).alias("word"))
+                        .groupBy("word").agg(F.count(F.lit(1)).alias("n_word")), "pii-words")
+    # Units with an entity: their entities and words, written once.
+    found = texts.withColumn("base", base_spans(F.col("text"))).filter(F.size("base") > 0)
+    here = F.filter("base", lambda s: F.floor(s["start"] / PASSAGE) == F.col("unit"))
+    units = write_shared(
+        _units(found).withColumn("entities", F.array_distinct(F.transform(here, _entity))).filter(F.size("entities") > 0)
+        .select("entities", F.xxhash64("piece").alias("unit_text"), _words(F.col("piece")).alias("words")), "pii-units")
+    uses = units.select("words", "unit_text", F.explode("entities").alias("entity"))
+    entities = (uses.groupBy("entity", "unit_text").agg(F.count(F.lit(1)).alias("n"))
+                .groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count(F.lit(1)).alias("different"))
+                .filter((F.col("different") >= SUPPORT) & (F.col("n_entity") < total)).drop("different"))
+    entities = write_shared(entities, "pii-entities")
+    n = float(max(total, 1))
+    common = freq.filter(F.col("n_word") > n / COMMON).select("word", F.pow(
+        F.col("n_word") / F.lit(n ** (1 - generalise)), F.lit(1 / generalise)).alias("least"))
+    dealt = entities.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # The bound is taken a little low, so that rounding drops no pair.
+    pairs = (uses.withColumn("salt", F.pmod("unit_text", F.lit(SALTS)).cast("int")).join(dealt, ["entity", "salt"])
+             .select("entity", "n_entity", "unit_text", F.explode("words").alias("word"))
+             .join(F.broadcast(common), "word", "left").filter("least IS NULL OR n_entity >= least * 0.999")
+             .groupBy("entity", "word", "n_entity", "unit_text").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy("entity", "word", "n_entity").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("different"))
+             .filter(F.col("different") >= SUPPORT))
+    share = F.log(F.lit(n) * F.col("both") / (F.col("n_word") * F.col("n_entity"))) / F.log(F.lit(n) / F.col("n_entity"))
+    over = pairs.join(freq, "word").withColumn("share", share).filter(F.col("share") >= generalise)
+    return write_shared(over.groupBy("word").agg(F.max(F.col("share") >= remove).alias("removed")), "pii-terms")
+
+
+def _term_spans(docs: DataFrame, scan: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """key, found: the disclosing places of each row that has some, once each."""
+    text = _text(text_col)
+    rows = docs.select(_row_key(id_col, text).alias("key"), text.alias("text"))
+    words = (rows.select("key", F.explode(_words(F.col("text"))).alias("word"))
+             .withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")))
     dealt = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hit = spread.join(dealt, ["word", "entity", "salt"])
-    one = hit.groupBy("key", "start", "end").agg(F.max("removed").alias("removed"), F.max("word").alias("value"))
-    return one.groupBy("key").agg(F.collect_list(F.struct(
+    hits = write_shared(words.join(dealt, ["word", "salt"]).select("key", "word", "removed").distinct(), "pii-hits")
+    keys = hits.select("key").distinct()
+    places_ = (rows.join(keys, "key", "left_semi").select("key", F.explode(places(F.col("text"), TERM, len(PATTERNS))).alias("s"))
+               .select("key", "s.start", "s.end", "s.value", F.lower("s.value").alias("word")))
+    one = places_.join(hits, ["key", "word"]).groupBy("key", "start", "end").agg(F.max("removed").alias("removed"), F.max("value").alias("value"))
+    found = one.groupBy("key").agg(F.collect_list(F.struct(
         "start", F.lit(len(PATTERNS)).alias("kind"), "end", "value", "removed")).alias("found"))
+    # A word that an address begins in is the address's.
+    base = scan.select("key", "base").filter(F.size("base") > 0).join(keys, "key", "left_semi").dropDuplicates(["key"])
+    free = F.filter("found", lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    return (found.join(base, "key", "left").select("key", F.when(F.col("base").isNull(), F.col("found")).otherwise(free).alias("found")))
 
 
 def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                   generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Per document: id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans."""
     scan = _scanned(docs, id_col, text_col)
-    found = _term_spans(scan, _disclosing(docs, scan, id_col, text_col, generalise, remove))
-    # Rows without a mention have no key; they don't meet in a join.
-    rows = scan.select("id", "key", "base")
-    out = (rows.filter("key IS NOT NULL").join(found, "key", "left").unionByName(
-        rows.filter("key IS NULL"), allowMissingColumns=True))
+    found = _term_spans(docs, scan, _disclosing(docs, scan, text_col, generalise, remove), id_col, text_col)
+    out = scan.select("id", "key", "base").join(found, "key", "left")
     plain = F.transform(F.coalesce("found", F.array().cast("array<struct<start:int,kind:int,end:int,value:string,removed:boolean>>")),
                         lambda s: F.struct(s["start"], s["kind"], s["end"], s["value"])).cast(SPAN)
     def count(k: int) -> Column:
@@ -200,20 +263,15 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     generalised or removed; other texts unchanged."""
     key, spans = free_names(docs, "row_key", "row_spans")
     scan = _scanned(docs, id_col, text_col)
-    found = _term_spans(scan, _disclosing(docs, scan, id_col, text_col, generalise, remove))
+    found = _term_spans(docs, scan, _disclosing(docs, scan, text_col, generalise, remove), id_col, text_col)
     full = "array<struct<start:int,kind:int,end:int,value:string,removed:boolean>>"
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"),
                                                   s["value"].alias("value"), F.lit(False).alias("removed")))
-    edits = (scan.filter("key IS NOT NULL").select("key", "base").dropDuplicates(["key"]).join(found, "key", "left")
-             .select(F.col("key").alias(key), F.array_sort(F.concat(base, F.coalesce("found", F.array().cast(full)))).alias(spans)))
-    text = _text(text_col)
-    # Only rows with a span are moved by the join: the others have no key.
-    touched = F.lit(False)
-    for p in PATTERNS.values():
-        touched = touched | F.regexp_like(text, F.lit(p))
-    marked = docs.withColumn(key, F.when(touched, _row_key(id_col, text)))
-    same = marked.filter(F.col(key).isNull()).drop(key)
-    some = marked.filter(F.col(key).isNotNull()).join(edits, key, "left")
+    based = scan.filter(F.size("base") > 0).select("key", "base").dropDuplicates(["key"])
+    edits = write_shared(based.join(found, "key", "full_outer").select(F.col("key").alias(key), F.array_sort(F.concat(
+        F.coalesce(base, F.array().cast(full)), F.coalesce("found", F.array().cast(full)))).alias(spans)), "pii-edits")
+    # Texts meet their spans; those without any keep their own.
+    some = docs.withColumn(key, _row_key(id_col, _text(text_col))).join(edits, key, "left")
 
     def step(acc, s):
         """Spans by start; one that begins inside the last is already gone."""
@@ -228,4 +286,4 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     clean = F.aggregate(spans, empty, step, lambda acc: F.concat(
         F.array_join(acc["out"], ""), F.substring(F.col(f"`{text_col}`"), acc["at"] + 1, F.length(F.col(f"`{text_col}`")))))
     edited = some.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(F.col(f"`{text_col}`")))
-    return same.unionByName(edited.select(*(F.col(f"`{c}`") for c in docs.columns)))
+    return edited.select(*(F.col(f"`{c}`") for c in docs.columns))
