@@ -49,6 +49,7 @@ KINDS = (*PATTERNS, "term")
 #: What replaces a span of each kind in a sanitised text.
 MASKS = {k: f"[{k.upper()}]" for k in PATTERNS}
 PASSAGE, SUPPORT, GENERALISE, REMOVE, SALTS, COMMON, STEP = 4000, 2, 0.9, 0.99, 16, 1000, 256
+BROADCAST = 16 << 20
 WORD = r"[\p{L}][\p{L}\p{M}'-]{2,}+"
 #: An address (group 1 empty) or a word; and what a unit's end doesn't cut.
 TERM = rf"(?:{PATTERNS['email']})|({WORD})"
@@ -151,7 +152,8 @@ def _row_key(id_col: str, text: Column) -> Column:
 
 
 def _units(rows: DataFrame) -> DataFrame:
-    """``rows`` (with ``text``) once per unit: its number ``unit`` and its text ``piece``."""
+    """``rows`` (with ``text``) once per unit: its number ``unit``, its text ``piece`` and
+    where that begins."""
     def last_in_run(piece):
         return F.regexp_like(F.substring(piece, -1, 1), F.lit(RUN))
 
@@ -164,10 +166,26 @@ def _units(rows: DataFrame) -> DataFrame:
         own = F.when(last_in_run(before), F.substring(piece, F.length(lead(piece)) + 1, F.length(piece))).otherwise(piece)
         return F.concat(own, F.when(last_in_run(piece), lead(after)).otherwise(F.lit("")))
 
+    def placed(size):
+        return F.transform("pieces", lambda p, i: F.struct(p.alias("piece"), F.aggregate(
+            F.slice(size, 1, i), F.lit(0), lambda acc, n: acc + n).alias("begin")))
+
     cut = F.when(F.length("text") > PASSAGE, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PASSAGE}}}"), F.lit(0)))
     return (rows.withColumn("cut", cut)
             .withColumn("pieces", F.when(F.col("cut").isNull(), F.array("text")).otherwise(F.transform("cut", whole)))
-            .select(*(F.col(c) for c in rows.columns), F.posexplode("pieces").alias("unit", "piece")))
+            .select(*(F.col(c) for c in rows.columns if c != "text"),
+                    F.posexplode(_let(F.transform("pieces", F.length), placed)).alias("unit", "at"))
+            .select(*(F.col(c) for c in rows.columns if c != "text"), "unit", "at.piece", "at.begin"))
+
+
+def _bounded_join(rows: DataFrame, small: DataFrame, col: str, other: str) -> DataFrame:
+    """Inner join with ``small`` (written, ``col`` unique): broadcast within BROADCAST
+    bytes, beyond them shuffled with the rows of one ``col`` dealt by ``other``."""
+    size = small.agg(F.coalesce(F.sum(F.octet_length(col) + 24), F.lit(0))).first()[0]
+    if size <= BROADCAST:
+        return rows.join(F.broadcast(small), col)
+    dealt = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).join(dealt, [col, "salt"]).drop("salt")
 
 
 def _words(piece: Column) -> Column:
@@ -208,10 +226,8 @@ def _disclosing(docs: DataFrame, scan: DataFrame, text_col: str, generalise: flo
     n = float(max(total, 1))
     common = freq.filter(F.col("n_word") > n / COMMON).select("word", F.pow(
         F.col("n_word") / F.lit(n ** (1 - generalise)), F.lit(1 / generalise)).alias("least"))
-    dealt = entities.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     # The bound is taken a little low, so that rounding drops no pair.
-    pairs = (uses.withColumn("salt", F.pmod("unit_text", F.lit(SALTS)).cast("int")).join(dealt, ["entity", "salt"])
-             .select("entity", "n_entity", "unit_text", F.explode("words").alias("word"))
+    pairs = (_bounded_join(uses, entities, "entity", "unit_text").select("entity", "n_entity", "unit_text", F.explode("words").alias("word"))
              .join(F.broadcast(common), "word", "left").filter("least IS NULL OR n_entity >= least * 0.999")
              .groupBy("entity", "word", "n_entity", "unit_text").agg(F.count(F.lit(1)).alias("n"))
              .groupBy("entity", "word", "n_entity").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("different"))
@@ -224,15 +240,25 @@ def _disclosing(docs: DataFrame, scan: DataFrame, text_col: str, generalise: flo
 def _term_spans(docs: DataFrame, scan: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """key, found: the disclosing places of each row that has some, once each."""
     text = _text(text_col)
-    rows = docs.select(_row_key(id_col, text).alias("key"), text.alias("text"))
-    words = (rows.select("key", F.explode(_words(F.col("text"))).alias("word"))
-             .withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")))
-    dealt = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hits = write_shared(words.join(dealt, ["word", "salt"]).select("key", "word", "removed").distinct(), "pii-hits")
+    units = _units(docs.select(_row_key(id_col, text).alias("key"), text.alias("text")))
+    words = units.select("key", "unit", F.explode(_words(F.col("piece"))).alias("word"))
+    hits = _bounded_join(words, terms, "word", "key").groupBy("key", "unit").agg(F.collect_set(F.struct("word", "removed")).alias("hits"))
+    # A unit has at most PASSAGE / 3 words.  Only units with a hit are searched for places.
+    hits = write_shared(hits, "pii-hits")
+    tag = F.xxhash64("key", "unit").alias("tag")
+    tags = hits.select(tag).distinct()
+    if hits.count() * 16 <= BROADCAST:  # else all texts travel once
+        units = units.withColumn("tag", tag).join(F.broadcast(tags), "tag", "left_semi").drop("tag")
     keys = hits.select("key").distinct()
-    places_ = (rows.join(keys, "key", "left_semi").select("key", F.explode(places(F.col("text"), TERM, len(PATTERNS))).alias("s"))
-               .select("key", "s.start", "s.end", "s.value", F.lower("s.value").alias("word")))
-    one = places_.join(hits, ["key", "word"]).groupBy("key", "start", "end").agg(F.max("removed").alias("removed"), F.max("value").alias("value"))
+
+    def hit(s):
+        return F.get(F.filter("hits", lambda h: h["word"] == F.lower(s["value"])), 0)
+
+    marked = F.filter(F.transform(places(F.col("piece"), TERM, len(PATTERNS)), lambda s: F.struct(
+        (s["start"] + F.col("begin")).alias("start"), (s["end"] + F.col("begin")).alias("end"), s["value"].alias("value"), hit(s).alias("hit"))),
+        lambda s: s["hit"].isNotNull())
+    one = (units.join(hits, ["key", "unit"]).select("key", F.explode(marked).alias("s"))
+           .groupBy("key", "s.start", "s.end").agg(F.max("s.hit.removed").alias("removed"), F.max("s.value").alias("value")))
     found = one.groupBy("key").agg(F.collect_list(F.struct(
         "start", F.lit(len(PATTERNS)).alias("kind"), "end", "value", "removed")).alias("found"))
     # A word that an address begins in is the address's.
