@@ -287,7 +287,7 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
              generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``docs`` with all columns and rows: base spans masked, disclosing terms
     generalised or removed; other texts unchanged."""
-    key, spans = free_names(docs, "row_key", "row_spans")
+    key, spans, tag = free_names(docs, "row_key", "row_spans", "row_tag")
     scan = _scanned(docs, id_col, text_col)
     found = _term_spans(docs, scan, _disclosing(docs, scan, text_col, generalise, remove), id_col, text_col)
     full = "array<struct<start:int,kind:int,end:int,value:string,removed:boolean>>"
@@ -296,8 +296,13 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     based = scan.filter(F.size("base") > 0).select("key", "base").dropDuplicates(["key"])
     edits = write_shared(based.join(found, "key", "full_outer").select(F.col("key").alias(key), F.array_sort(F.concat(
         F.coalesce(base, F.array().cast(full)), F.coalesce("found", F.array().cast(full)))).alias(spans)), "pii-edits")
-    # Texts meet their spans; those without any keep their own.
-    some = docs.withColumn(key, _row_key(id_col, _text(text_col))).join(edits, key, "left")
+    # Only rows with a span are moved by the join, while a tag of each fits a broadcast.
+    some, same = docs.withColumn(key, _row_key(id_col, _text(text_col))), None
+    if edits.count() * 16 <= BROADCAST:
+        tags = F.broadcast(edits.select(F.xxhash64(key).alias(tag)).distinct())
+        marked = some.withColumn(tag, F.xxhash64(key))
+        some, same = (marked.join(tags, tag, how) for how in ("left_semi", "left_anti"))
+    some = some.join(edits, key, "left")
 
     def step(acc, s):
         """Spans by start; one that begins inside the last is already gone."""
@@ -312,4 +317,5 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     clean = F.aggregate(spans, empty, step, lambda acc: F.concat(
         F.array_join(acc["out"], ""), F.substring(F.col(f"`{text_col}`"), acc["at"] + 1, F.length(F.col(f"`{text_col}`")))))
     edited = some.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(F.col(f"`{text_col}`")))
-    return edited.select(*(F.col(f"`{c}`") for c in docs.columns))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return edited.select(*columns) if same is None else edited.select(*columns).unionByName(same.select(*columns))
