@@ -136,3 +136,37 @@ def test_long_texts_in_bounded_memory(monkeypatch):
     assert np.allclose(pieces[0], all_at_once[0][[1, 2, 4, 5, 6]], rtol=1e-4)
     assert all((a == b[[1, 2, 4, 5, 6]]).all() for a, b in zip(pieces[1], all_at_once[1]))
     assert np.allclose(model.pooled(some)[0], pieces[0], rtol=1e-4)
+
+
+def test_whole_fit_reads_every_labelled_row(spark, monkeypatch):
+    """Beyond the bounds of one process a word that only a few rows hold, whatever their
+    place in a hash's order, is still learnt, and partitions don't matter."""
+    rng = np.random.default_rng(11)
+    rows = [(i, t + (" onlyhere" if y and i >= 500 else ""), y, "en" if i % 2 else "de") for i, t, y in texts(1500, rng)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, lang string")
+    parts = (df.select("doc_id", "text", "lang"), df.select("doc_id", "toxic"))
+    monkeypatch.setattr(T, "SAMPLE", 20)
+    monkeypatch.setattr(T, "SHARD_ROWS", 400)
+    seen = []
+    real = T._round
+    monkeypatch.setattr(T, "_round", lambda d, t, r: seen.append((d.count(), d.select("shard").distinct().count())) or real(d, t, r))
+    model = T.fit_toxicity(*parts, whole=True)
+    n, shards = seen[0]
+    assert len(seen) == T.EPOCHS and 1500 * 0.75 < n < 1500 * 0.92 and shards == 4
+    ids = [T.word_ids(r[1]) for r in rows]
+    y = np.array([r[2] for r in rows])
+    assert ((model.scores(ids) >= 0.5) == y).mean() > 0.9
+    assert model.table[T.word_ids("onlyhere")].any()
+    assert set(model.thresholds) == {"en", "de"}
+    again = T.fit_toxicity(*(p.repartition(5, p.columns[1]) for p in parts), whole=True)
+    assert (T._unpacked(T._packed(ids[3])) == ids[3]).all()
+    assert (again.table == model.table).all() and again.thresholds == model.thresholds and again.intercept == model.intercept
+
+
+def test_whole_fit_threshold_has_the_best_f1(spark):
+    rng = np.random.default_rng(12)
+    rows = [(int(s), int(rng.random() < s / 50), "x") for s in rng.integers(0, 50, 300)]
+    df = spark.createDataFrame(rows, "step int, label int, lang string").groupBy("lang", "step").agg({"label": "sum", "*": "count"})
+    got = T._best_steps(df.toDF(*["hits" if "sum" in c else "n" if "count" in c else c for c in df.columns])).first()
+    f1 = lambda t: 2 * sum(y for s, y, _ in rows if s >= t) / (sum(s >= t for s, _, _ in rows) + sum(y for _, y, _ in rows))
+    assert f1(got["step"]) == max(f1(t) for t in range(50)) and got["positive"] == sum(y for _, y, _ in rows)
