@@ -36,7 +36,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, by its language's threshold, doesn't reject."""
-    return keep_clean(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels")))
+    return keep_clean(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels"), whole=True))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
