@@ -75,3 +75,27 @@ def test_softmax(spark):
     assert got[0].p == [0.5, 0.5] and got[1].p == pytest.approx([s, 1 - s, 0]) and got[2].p == pytest.approx([s, 1 - s])
     assert got[3].p == [1.0] and got[4].p == [] and got[5].p is None
     assert got[0].l == pytest.approx(math.log(2)) and got[1].l == pytest.approx(1000 + math.log(1 + math.exp(-1))) and got[4].l is None
+
+
+def test_packed_sums_move_a_row_per_chunk_and_token(spark):
+    """Plain sums, with empty and null texts, unknown tokens and repeated rows; the join
+    sees each token of a chunk once, however many texts hold it."""
+    from pyspark.sql import functions as F
+
+    from topictone.functions.text import tokens
+    from topictone.operators.packed import packed_sums
+
+    rows = [(i, "x", " ".join(f"w{(i * j) % 17}" for j in range(i % 9))) for i in range(300)] + [(7, "x", None), (None, None, "w1 w1 new")]
+    df = spark.createDataFrame(rows, "id long, `odd name` string, text string").repartition(3)
+    weights = spark.createDataFrame([(f"w{j}", [j, -10**12 * j]) for j in range(17)], "token string, k array<bigint>")
+    seen = []
+
+    def weigh(pairs):
+        seen.append((pairs.count(), pairs.select("__tt_chunk").distinct().count()))
+        return pairs.join(weights, "token")
+
+    got = packed_sums(df, tokens(F.col("text")), 2, weigh).collect()
+    count = lambda t: [int(w[1:]) for w in (t or "").split() if w != "new"]
+    want = [(i, s, [sum(count(t)), -10**12 * sum(count(t))], len((t or "").split())) for i, s, t in rows]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert seen[0][1] == 3 and seen[0][0] <= 3 * 17 + 1

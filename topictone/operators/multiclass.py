@@ -14,8 +14,8 @@ is the log odds of ``nb.py``, but for the rounding of its weights.
 
 The integer sums don't depend on partitions.  The weights are one row per
 token with an array of one weight per class, so a handful of classes is meant
-(MAX_CLASSES at most).  They are broadcast after a check of their size; beyond it tokens
-are counted per text, written once and joined, hot tokens salted (``joins.py``).
+(MAX_CLASSES at most).  They are broadcast after a check of their size; beyond it the
+tokens of chunks of texts are joined, hot tokens salted (``packed.py``, ``joins.py``).
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from ..functions.text import tokens
 from ..session import cut_lineage, spread
 from .joins import attach, fits_broadcast, measure
 from .nb import SCALE
+from .packed import packed_sums
 from .scorers import check_unique, key_list
 
 MAX_CLASSES = 100
@@ -50,14 +51,17 @@ class ClassModel:
         keys = key_list(key_col)
         side = self.weights.select("token", "k")
         size = measure(side)
-        toks = spread(df.select(*keys, text_col)).select(
-            *keys, F.posexplode_outer(tokens(text_col, self.token_cfg)).alias("__tt_pos", "token"))
-        first = F.col("__tt_pos").isNull() | (F.col("__tt_pos") == 0)
-        toks = toks.select(*keys, "token", F.lit(1).cast("bigint").alias("__tt_n"), first.cast("bigint").alias("__tt_texts"))
-        if not fits_broadcast(size, self.join_cfg):   # fewer rows are moved
-            toks = toks.groupBy(*keys, "token").agg(F.sum("__tt_n").alias("__tt_n"), F.sum("__tt_texts").alias("__tt_texts"))
-        joined = attach(toks, side, ["token"], how="left", null_safe=False, cfg=self.join_cfg, size=size)
-        sums = [F.coalesce(F.sum(F.col("k")[i] * F.col("__tt_n")), F.lit(0)) + F.lit(p) for i, p in enumerate(self.priors)]
+        texts = spread(df.select(*keys, text_col))
+        if fits_broadcast(size, self.join_cfg):
+            toks = texts.select(*keys, F.posexplode_outer(tokens(text_col, self.token_cfg)).alias("__tt_pos", "token"))
+            first = F.col("__tt_pos").isNull() | (F.col("__tt_pos") == 0)
+            toks = toks.select(*keys, "token", first.cast("bigint").alias("__tt_texts"))
+            joined = attach(toks, side, ["token"], how="left", null_safe=False, cfg=self.join_cfg, size=size)
+        else:   # one row per chunk of texts and token is moved
+            joined = packed_sums(texts, tokens(text_col, self.token_cfg), len(self.classes), lambda pairs: attach(
+                pairs, side, ["token"], null_safe=False, cfg=self.join_cfg, size=size))
+            joined = joined.select(*keys, F.col("__tt_sums").alias("k"), F.lit(1).cast("bigint").alias("__tt_texts"))
+        sums = [F.coalesce(F.sum(F.col("k")[i]), F.lit(0)) + F.lit(p) for i, p in enumerate(self.priors)]
         per_text = cut_lineage(joined.groupBy(*keys).agg(F.array(*sums).alias("z"), F.sum("__tt_texts").alias("__tt_texts")), "class-scores")
         check_unique(per_text, keys)
         return per_text.drop("__tt_texts")
