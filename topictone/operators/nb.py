@@ -21,7 +21,7 @@ Plan: the token counts are one ``groupBy(token)`` with map-side partial
 aggregation (a frequent token is combined in every task before the shuffle).
 Scoring explodes the tokens, joins the weights (broadcast after a size check;
 beyond it the most frequent tokens are broadcast and only the others are joined
-by a shuffle, counted per text before) and sums per text with map-side partial
+by a shuffle, once per chunk of texts) and sums per text with map-side partial
 aggregation; the per-text sums are joined back to the texts on their unique key.
 A key that repeats or is NULL raises, as its texts could not be told apart.
 """
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_JOIN, DEFAULT_TOKENS, JoinConfig, TokenConfig
 from ..functions.text import tokens
 from ..session import cut_lineage, spread
-from .joins import TableSize, _join, fits_broadcast, join_stored, measure, store_with_hot_keys
+from .joins import TableSize, attach, fits_broadcast, measure
+from .packed import packed_sums
 from .saved import load_version, save_version
 from .scorers import Scorer, check_unique, key_list, with_row_key
 
@@ -98,32 +99,29 @@ class NBModel(Scorer):
         counts the texts of the key).  ``carry`` columns must be functionally
         dependent on the key (e.g. its topic).
 
-        Unknown tokens add 0, so past the broadcast limits only tokens outside the
-        broadcast head are moved, counted per text before, to an inner join; there
-        the counted tokens are written once (each text is tokenised once)."""
+        Unknown tokens add 0, so past the broadcast limits only the distinct tokens of
+        each chunk of texts are moved, those outside the broadcast head to an inner
+        join (``packed.py``; each text is tokenised once)."""
         keys = key_list(key_col)
         texts = spread(df.select(*keys, *carry, text_col))
-        toks = texts.select(*keys, *carry, F.posexplode_outer(tokens(text_col, self.token_cfg)).alias("__tt_pos", "token"))
         head, tail = self._head_and_tail()
-        joined = toks.join(F.broadcast(head), "token", "left")
-        first = F.col("__tt_pos").isNull() | (F.col("__tt_pos") == 0)
-        sums = (F.sum(F.coalesce(F.col("k"), F.lit(0))).alias("__tt_ksum"),
-                F.count("token").alias("__tt_ntok"), F.count_if(first).alias("__tt_texts"))
         if tail is None:
-            return joined.groupBy(*keys, *carry).agg(*sums)
-        # One pass over the texts: a row per text with its head sums (no token), and one
-        # per text and token outside the head, with its count.
-        out_of_head = F.when(F.col("k").isNull(), F.col("token")).alias("token")
-        both = joined.groupBy(*keys, *carry, out_of_head).agg(*sums)
-        in_tail = F.col("token").isNotNull()
-        stored = store_with_hot_keys(both, ["token"], tail, where=in_tail, name="nb-tokens")
-        size = measure(tail)
-        rest = (_join(stored.table.filter(in_tail), F.broadcast(tail), ["token"], "inner", False) if fits_broadcast(size, self.join_cfg)
-                else join_stored(stored, tail, "inner", False, where=in_tail))
-        rest = rest.select(*keys, *carry, (F.col("k") * F.col("__tt_ntok")).alias("__tt_ksum"),
-                           *(F.lit(0).cast("bigint").alias(c) for c in ("__tt_ntok", "__tt_texts")))
-        return stored.table.select(*keys, *carry, "__tt_ksum", "__tt_ntok", "__tt_texts").unionByName(rest).groupBy(*keys, *carry).agg(
-            *(F.sum(c).alias(c) for c in ("__tt_ksum", "__tt_ntok", "__tt_texts")))
+            toks = texts.select(*keys, *carry, F.posexplode_outer(tokens(text_col, self.token_cfg)).alias("__tt_pos", "token"))
+            joined = toks.join(F.broadcast(head), "token", "left")
+            first = F.col("__tt_pos").isNull() | (F.col("__tt_pos") == 0)
+            return joined.groupBy(*keys, *carry).agg(F.sum(F.coalesce(F.col("k"), F.lit(0))).alias("__tt_ksum"),
+                                                     F.count("token").alias("__tt_ntok"), F.count_if(first).alias("__tt_texts"))
+
+        def weigh(pairs: DataFrame) -> DataFrame:
+            top = F.broadcast(head)
+            found = pairs.join(top, "token").select(*pairs.columns, "k")
+            # Tokens outside the head meet the tail in a join, hot ones salted.
+            rest = attach(pairs.join(top.select("token"), "token", "left_anti"), tail, ["token"], null_safe=False, cfg=self.join_cfg)
+            return found.unionByName(rest.select(*pairs.columns, "k")).withColumn("k", F.array("k"))
+
+        sums = packed_sums(texts, tokens(text_col, self.token_cfg), 1, weigh)
+        return sums.groupBy(*keys, *carry).agg(F.sum(F.col("__tt_sums")[0]).alias("__tt_ksum"), F.sum("__tt_ntok").alias("__tt_ntok"),
+                                               F.count(F.lit(1)).alias("__tt_texts"))
 
     def score_keys(self, df: DataFrame, text_col: str, key_col: str | list[str],
                    carry: tuple[str, ...] = (), p_col: str = "pos_prob") -> DataFrame:
