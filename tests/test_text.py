@@ -62,3 +62,15 @@ def test_array_helpers(spark):
         "id", argmax_index("probs").alias("a"), positive_probability("probs").alias("p")).collect()}
     assert got[1] == (0, 0.5)      # a tie picks class 0, like numpy's argmax
     assert got[2] == (1, 0.8) and got[3] == (0, 0.7) and got[4] == (0, 0.1)
+
+
+def test_tokens_of_every_code_point(spark):
+    """The pattern that names ASCII first finds what the plain one does."""
+    from pyspark.sql import functions as F
+    chars = spark.range(1, 0x110000).filter("id NOT BETWEEN 55296 AND 57343").select(
+        F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    text = chars.select(F.concat(F.lit("a"), "c", "c", F.lit("7 "), "c", F.lit("_"), "c").alias("t"))
+    plain = F.regexp_extract_all("t", F.lit("\\p{IsHan}|[\\p{L}\\p{N}&&[^\\p{IsHan}]]+"), 0)
+    row = text.select(F.size(plain).alias("n"), (tokens("t", TokenConfig(lowercase=False, max_length=None)) == plain).alias("same")).agg(
+        F.count_if("same").alias("same"), F.count_if(F.col("n") > 2).alias("more")).first()
+    assert row["same"] == 0x110000 - 1 - 2048 and row["more"] > 100_000

@@ -23,8 +23,9 @@ STRIP_PATTERN = f"^{WHITESPACE_CLASS}+|{WHITESPACE_CLASS}+$"
 # A text is valid when it has at least one character outside the class.
 NONBLANK_PATTERN = WHITESPACE_CLASS.replace("[", "[^", 1)
 
-# Token pattern: one Han character, or a run of letters/digits that are not Han.
-TOKEN_PATTERN = "\\p{IsHan}|[\\p{L}\\p{N}&&[^\\p{IsHan}]]+"
+# Token pattern: a run of letters/digits that are not Han, or one Han character.
+# ASCII is named first: a character's script is looked up only beyond it.
+TOKEN_PATTERN = "[a-zA-Z0-9[\\p{L}\\p{N}&&[^\\p{IsHan}]]]+|[\\x{80}-\\x{10FFFF}&&\\p{IsHan}]"
 
 
 def col_of(c: str | Column) -> Column:
