@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,42 @@ def test_short_texts_are_refined(monkeypatch):
     refined = run()
     monkeypatch.setattr(M, "RATE", 0.0)
     assert refined != run()
+
+
+def test_token_ids_are_those_of_plain_tokens():
+    for texts in ([None, "", " a  B\t\x0b\nc ", "É x" * 30, "long" * 40 + " A", "\x1c\x85 q r", "  ", "a a A"], [None], ["x" * 65]):
+        distinct, ids, sizes = M.token_ids(pa.chunked_array([texts], pa.string()))
+        assert sizes.tolist() == [len(M.tokens(t)) for t in texts]
+        assert [distinct[i].as_py() for i in ids.tolist()] == [w for t in texts for w in M.tokens(t)]
+
+
+@pytest.mark.parametrize("slots", [3, 400])
+def test_scores_by_parts_are_those_of_whole_texts(monkeypatch, slots):
+    rng = np.random.default_rng(7)
+    code = M.Code.of([(f"w{i}".encode(), 2000 // (i + 1)) for i in range(200)], 50)
+    sizes = np.array([1, 900, 1, 40, 333, 2500, 7])
+    symbols = rng.integers(0, 201, sizes.sum()).astype(np.int32)
+    first, begin = M._row_marks(sizes)
+    level = [rng.integers(0, slots, M.SLOTS).clip(0, 2).astype(np.int8) for _ in range(2)]
+    mixer = M.Mixer([rng.normal(size=M.SLOTS).astype(np.float32) for _ in range(2)], level, rng.normal(0.3, 0.2, (M.GATES, M.INPUTS)))
+    node, bit, where, token = code.decisions(symbols, first)
+    x, gate = mixer.inputs(code, node, where)
+    want = mixer.log_probability(x, gate, bit, np.searchsorted(token, begin))
+    monkeypatch.setattr(M, "LANES", 2)
+    monkeypatch.setattr(M, "AT_HAND", 128)
+    assert mixer.score(code, symbols, first, begin) == pytest.approx(want, rel=1e-6)
+
+
+def test_texts_are_read_for_the_word_counts_and_once_more(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text_of(i):
+        read.add(1)
+        return f"the cat number {i % 7} sat on the mat " * 9
+
+    docs = spark.range(80).select(F.col("id").alias("doc_id"), text_of("id").alias("text"))
+    n_held = docs.filter(fold7()).count()
+    read.value = 0
+    assert len(M.mixing_scores(docs, fold7()).collect()) == 80 and 0 < n_held < 80
+    assert read.value <= 2 * 80     # every pass of the fit and the scoring take the symbols that were stored
