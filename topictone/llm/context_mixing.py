@@ -150,9 +150,9 @@ class Code:
         h1 = mix(one)
         return h1, mix(h1 ^ (two + np.uint64(7)))
 
-    def steps(self, symbols: np.ndarray, hashes):
-        """Node and bit of each decision, its slots of order 1 and 2, and the number
-        of decisions of each token."""
+    def steps(self, symbols: np.ndarray, hashes, keys: bool = False):
+        """Node and bit of each decision, its slots of order 1 and 2 (or the ``keys``,
+        2 * slot + bit), and the number of decisions of each token."""
         size = self.length.take(symbols)
         at = np.repeat(self.begin.take(symbols) - (np.cumsum(size) - size), size)
         at += np.arange(len(at))
@@ -161,22 +161,27 @@ class Code:
         path >>= 1
         wide = path.astype(np.uint64)
         wide *= np.uint64(0x9E3779B97F4A7C15)
-        slots = []
+        slots, low = [], bit.astype(np.uint64) if keys else None
         for h in hashes:
             x = np.repeat(h, size)
             x ^= wide
             x *= np.uint64(0xBF58476D1CE4E5B9)
-            x >>= np.uint64(40)
-            x &= np.uint64(SLOTS - 1)
+            if keys:
+                x >>= np.uint64(39)
+                x &= np.uint64(2 * SLOTS - 2)
+                x |= low
+            else:
+                x >>= np.uint64(40)
+                x &= np.uint64(SLOTS - 1)
             slots.append(x.view(np.int64))
         return path, bit, slots, size
 
     def pieces(self, symbols: np.ndarray, first: np.ndarray):
-        """``steps`` of texts in a row, of NEAR_TOKENS tokens at a time."""
+        """``steps`` of texts in a row, with keys, of NEAR_TOKENS tokens at a time."""
         hashes = self.contexts(symbols, first)
         for at in range(0, len(symbols), NEAR_TOKENS):
             piece = slice(at, at + NEAR_TOKENS)
-            yield self.steps(symbols[piece], [h[piece] for h in hashes])
+            yield self.steps(symbols[piece], [h[piece] for h in hashes], keys=True)
 
     def decisions(self, symbols: np.ndarray, first: np.ndarray):
         """Of texts in a row: node and bit of each decision, its slots of order 1
@@ -202,8 +207,13 @@ class Mixer:
     weights: np.ndarray     # (GATES, INPUTS)
 
     def inputs(self, code: Code, node, slots):
-        x = np.stack([code.logit.take(node), self.odds[0].take(slots[0]), self.odds[1].take(slots[1])])
-        return x, self.level[0].take(slots[0]) * 3 + self.level[1].take(slots[1])
+        x = np.empty((INPUTS, len(node)), np.float32)
+        for table, at, out in zip((code.logit, *self.odds), (node, *slots), x):
+            table.take(at, out=out, mode="clip")
+        gate = self.level[0].take(slots[0])
+        gate *= 3
+        gate += self.level[1].take(slots[1])
+        return x, gate
 
     def log_probability(self, x, gate, bit, begin: np.ndarray) -> np.ndarray:
         """Natural log probability of each text; ``begin`` has the first
@@ -373,12 +383,9 @@ def _count_slots(docs: DataFrame, code) -> list[np.ndarray]:
         for table in groups_of(batches, "symbols", SYMBOL_BYTES):
             symbols, first, _ = _read_symbols(table.column(0))
             held: list[list[np.ndarray]] = [[], []]
-            for _, bit, slots, _ in code.value.pieces(symbols, first):
+            for _, _, keys, _ in code.value.pieces(symbols, first):
                 for order in range(2):
-                    at = slots[order]
-                    at *= 2
-                    at += bit
-                    held[order].append(at)
+                    held[order].append(keys[order])
             for order in range(2):
                 total[order] += np.bincount(np.concatenate(held[order]), minlength=SLOTS * 2)
         rows = [(order, b, part.astype(np.uint32).tobytes()) for order in range(2)
@@ -406,7 +413,8 @@ def _count_slots(docs: DataFrame, code) -> list[np.ndarray]:
 def _left_out(counts: list[np.ndarray]) -> list[np.ndarray]:
     """Per order, by 2 * slot + bit: odds of the slots without one decision of that
     bit, as doubles.  Odds are rounded to single precision, so the last bits are
-    free; they hold the order's part of the gate, and one look gives both."""
+    free; they hold the order's part of the gate (the sum of both has the gate in its
+    last four bits), and one look gives both."""
     out = []
     for c, part in zip(counts, (3, 1)):
         n = np.repeat(c[:, None], 2, 1)     # slot, bit that is left out, counts
@@ -417,11 +425,9 @@ def _left_out(counts: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def _loss_terms(weights: np.ndarray, x: np.ndarray, bit: np.ndarray) -> np.ndarray:
-    """Of each decision: bit less probability, and the inputs times the variance."""
-    p, *more = weights * x
-    for z in more:
-        p += z
+def _loss_terms(p: np.ndarray, x: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Of each decision, from its logit: bit less probability, and the inputs times
+    the variance."""
     np.clip(p, -30, 30, p)
     np.negative(p, p)
     np.exp(p, p)
@@ -445,25 +451,22 @@ def _fit_sums(docs: DataFrame, code, left_out, weights: np.ndarray) -> np.ndarra
         code_, tables, sums = code.value, left_out.value, np.zeros((GATES, size))
         for table in groups_of(batches, "symbols", SYMBOL_BYTES):
             symbols, first, _ = _read_symbols(table.column(0))
-            for node, bit, slots, _ in code_.pieces(symbols, first):
-                x, gate = np.empty((INPUTS, len(bit))), np.zeros(len(bit), np.int8)
+            for node, bit, keys, _ in code_.pieces(symbols, first):
+                x = np.empty((INPUTS, len(bit)))
                 x[0] = code_.logit.take(node)
-                for i in range(2):
-                    slots[i] *= 2
-                    slots[i] += bit
-                    look = tables[i].take(slots[i])
-                    x[1 + i] = look.view(np.float64)
-                    gate += (look & 7).astype(np.int8)
+                looks = [tables[i].take(keys[i], out=x[1 + i].view(np.int64), mode="clip") for i in range(2)]
+                gate = looks[0] + looks[1]
+                gate &= 15
                 # Nearly all decisions are in the last gate; the others are put in order, so each gate's are one slice.
                 other = np.flatnonzero(gate != GATES - 1)
-                terms = _loss_terms(weights[-1][:, None], x, bit)
+                terms = _loss_terms(weights[-1] @ x, x, bit)
                 terms[:, other] = 0
                 sums[-1] += (terms @ x.T).ravel()
                 if len(other):
-                    other = other[np.argsort(gate[other], kind="stable")]
+                    other = other[np.argsort(gate[other].astype(np.int8), kind="stable")]
                     count = np.bincount(gate[other], minlength=GATES)
                     x = x[:, other]
-                    terms, end = _loss_terms(np.repeat(weights.T, count, axis=1), x, bit[other]), np.cumsum(count)
+                    terms, end = _loss_terms((np.repeat(weights.T, count, axis=1) * x).sum(0), x, bit[other]), np.cumsum(count)
                     for g in np.flatnonzero(count):
                         own = slice(end[g] - count[g], end[g])
                         sums[g] += (terms[:, own] @ x[:, own].T).ravel()
