@@ -7,6 +7,9 @@ stage before it kept; all but the last return the columns of ``documents`` (with
 Parquet in the shared folder and gives the next stage that table, so a stage that
 is lost is computed again from its input alone.
 
+The stages with Python workers lower the session's ``spark.sql.execution.arrow.maxBytesPerBatch``
+(``small_batches``): an executor's JVM and its workers share one memory limit.
+
 Nulls, empty texts, repeated rows and extra columns are treated as the operators'
 docstrings say; an empty table passes through as an empty table.
 """
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topictone.llm.bpe import bpe_documents, read_ranks
-from topictone.llm.common import read_table, write_shared
+from topictone.llm.common import read_table, small_batches, write_shared
 from topictone.llm.decontaminate import remove_contamination
 from topictone.llm.near_duplicates import keep_one_of_each
 from topictone.llm.pii import sanitise
@@ -36,16 +39,19 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, by its language's threshold, doesn't reject."""
+    small_batches(spark)
     return keep_clean(docs, fit_toxicity(docs, read_table(spark, sf_dir, "labels"), whole=True))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is linked at 80 % of five-word shingles."""
+    small_batches(spark)
     return keep_one_of_each(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that repeat ten words of a test item."""
+    small_batches(spark)
     return _counted(remove_contamination(docs, read_table(spark, sf_dir, "benchmark"), n=10))
 
 
@@ -56,6 +62,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the text decoded from the ids."""
+    small_batches(spark)
     return bpe_documents(docs, read_ranks(RANKS), public_tokenizers.PATTERN)
 
 

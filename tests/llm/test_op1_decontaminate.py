@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -106,3 +108,20 @@ def test_query_against_brute_force(spark, sf001):
                     hit.update(range(p, p + k))
         r = got[d]
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(found), bool(hit))
+
+
+def test_shard_holds_numbers_for_words():
+    """Memory for a shard: no object for every occurrence of a word."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(rng.choices(vocabulary, k=3000)) for _ in range(100)]
+    texts[7] += " a b c d e f g h i j k"
+    block = SimpleNamespace(value=D.Phrases([("x", "a b c d e f g h i j k")], 10))
+    tracemalloc.start()
+    try:
+        found = D._check_shard(texts, [block])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [(n, items, int(hit.sum())) for n, items, hit in found] == [(3011, {"x"}, 11) if i == 7 else (3000, set(), 0) for i in range(100)]
+    assert peak < 9 * sum(map(len, texts))   # 14.5 with the words as objects

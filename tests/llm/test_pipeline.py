@@ -4,11 +4,13 @@ import re
 from collections import Counter
 
 import public_tokenizers as public
+import pyarrow as pa
 import pytest
 import tiktoken
 
 import corpus_pipeline as P
 from topictone.llm.bpe import read_ranks
+from topictone.llm.common import ARROW_BYTES, ARROW_SETTING
 from topictone.llm.near_duplicates import keep_one_of_each
 from topictone.llm.pii import sanitise
 from topictone.llm.toxicity import fit_toxicity, score_toxicity
@@ -146,3 +148,26 @@ def test_columns_that_have_the_names_of_helpers(spark):
     clean = sanitise(df)
     assert clean.columns == df.columns
     assert all("@" not in r.text and r[2:] == rows[r.doc_id][2:] for r in clean.collect())
+
+
+def test_python_workers_get_small_batches(spark, sf001):
+    """Stages bound what the JVM hands to a Python worker at a time by bytes."""
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    wide = spark.range(0, 4000, 1, 1).selectExpr("id", "repeat('a', 3000) AS text").mapInArrow(sizes, "n long, size long")
+    held = spark.conf.get(ARROW_SETTING)
+    docs = spark.read.parquet(f"{sf001}/documents.parquet")
+    try:
+        for name, stage in P.STAGES:
+            if name in ("decontamination", "encoding"):
+                spark.conf.set(ARROW_SETTING, "64m")
+                stage(spark, docs, sf001)
+                found = wide.select("*").collect()
+                assert sum(r.n for r in found) == 4000 and max(r.size for r in found) < 2 * ARROW_BYTES
+                spark.conf.set(ARROW_SETTING, "100k")   # a lower bound stays
+                stage(spark, docs, sf001)
+                assert spark.conf.get(ARROW_SETTING) == "100k"
+    finally:
+        spark.conf.set(ARROW_SETTING, held)

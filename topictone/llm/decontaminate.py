@@ -36,7 +36,7 @@ from .common import LOWER, collected, groups_of, released, texts_of
 
 #: Bytes of item text in one broadcast, bytes of document text in one shard,
 #: and every how many words of a stretch a suffix position is sampled.
-BLOCK_BYTES, SHARD_BYTES, SAMPLE = 16 << 20, 8 << 20, 8
+BLOCK_BYTES, SHARD_BYTES, SAMPLE = 16 << 20, 4 << 20, 8
 
 #: A word in lower-cased UTF-8: no ASCII besides digits and letters.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -212,28 +212,48 @@ def _cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return "".join([*parts, text[at:]])
 
 
+class Words:
+    """The words of a shard's texts as numbers: four bytes a word, and each distinct
+    word once, in place of an object for every occurrence."""
+
+    def __init__(self, texts: list[str | None]):
+        known: dict[bytes, int] = {}
+        self.docs: list[np.ndarray] = []
+        for text in texts:
+            words = words_of(text)
+            for w in set(words).difference(known):
+                known[w] = len(known)
+            self.docs.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+        self.distinct = list(known)
+
+    def ids(self, vocabulary: dict[bytes, int], begins: np.ndarray) -> np.ndarray:
+        """The vocabulary's ids of all words, a 0 after each text."""
+        of = np.fromiter(map(vocabulary.get, self.distinct, repeat(0)), np.int32, len(self.distinct))
+        out = np.zeros(int(begins[-1]), np.int32)
+        for doc, at in zip(self.docs, begins):
+            out[at:at + len(doc)] = of[doc]
+        return out
+
+
 def _check_shard(texts: list[str | None], blocks) -> list[tuple[int, set[str], np.ndarray]]:
     """Per document of a shard: number of words, items found, hit words."""
-    words = [words_of(t) for t in texts]
-    sizes = np.array([len(w) + 1 for w in words])
+    words = Words(texts)
+    sizes = np.array([len(w) + 1 for w in words.docs])
     begins = np.concatenate(([0], np.cumsum(sizes)))
-    hit = np.zeros(int(begins[-1]) + 1, np.int64)
+    hit = np.zeros(int(begins[-1]) + 1, np.int32)
     items: list[set[str]] = [set() for _ in texts]
     for block in blocks:
         phrases = block.value
         if not phrases.by_length:
             continue
-        ids = np.zeros(int(begins[-1]), np.int32)
-        for doc, at in zip(words, begins):
-            ids[at:at + len(doc)] = np.fromiter(map(phrases.vocabulary.get, doc, repeat(0)), np.int32, len(doc))
-        for places, length, names, which in search_shard(ids, phrases):
+        for places, length, names, which in search_shard(words.ids(phrases.vocabulary, begins), phrases):
             np.add.at(hit, places, 1)
             np.add.at(hit, places + length, -1)
             docs = np.searchsorted(begins, places, "right") - 1
             for d, p in np.unique(np.stack((docs, which), 1), axis=0).tolist():
                 items[d].update(names[p])
     hit = np.cumsum(hit) > 0
-    return [(len(w), i, hit[a:a + len(w)]) for w, i, a in zip(words, items, begins)]
+    return [(len(w), i, hit[a:a + len(w)]) for w, i, a in zip(words.docs, items, begins)]
 
 
 def phrase_blocks(benchmark: DataFrame, n: int, item_col: str, text_col: str) -> list:
