@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topictone.llm.bpe import bpe_documents, read_ranks
-from topictone.llm.common import read_table, small_batches, write_shared
+from topictone.llm.common import ARROW_SETTING, read_table, small_batches, write_shared
 from topictone.llm.decontaminate import remove_contamination
 from topictone.llm.near_duplicates import keep_one_of_each
 from topictone.llm.pii import sanitise
@@ -74,7 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = write_shared(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    docs, held = read_table(spark, sf_dir, "documents"), spark.conf.get(ARROW_SETTING)
+    try:
+        for name, stage in STAGES:
+            docs = write_shared(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    finally:
+        spark.conf.set(ARROW_SETTING, held)   # all stages are written
     return docs

@@ -3,9 +3,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from topictone.llm import toxicity as T
+from topictone.llm.common import whole_runs
 from topictone.llm.queries import op7_cnn_toxicity
 
 
@@ -170,3 +172,14 @@ def test_whole_fit_threshold_has_the_best_f1(spark):
     got = T._best_steps(df.toDF(*["hits" if "sum" in c else "n" if "count" in c else c for c in df.columns])).first()
     f1 = lambda t: 2 * sum(y for s, y, _ in rows if s >= t) / (sum(s >= t for s, _, _ in rows) + sum(y for _, y, _ in rows))
     assert f1(got["step"]) == max(f1(t) for t in range(50)) and got["positive"] == sum(y for _, y, _ in rows)
+
+
+def test_runs_of_rows_do_not_depend_on_batches():
+    rows = [f"text {i}" for i in range(300)]
+    for size in (1, 7, 64, 100, 300):
+        batches = [pa.RecordBatch.from_arrays([pa.array(rows[at:at + size])], ["t"]) for at in range(0, 300, size)]
+        out = list(whole_runs(iter(batches), 64))
+        assert [x for b in out for x in b.column(0).to_pylist()] == rows
+        assert all(b.num_rows % 64 == 0 for b in out[:-1])
+    assert [b.num_rows for b in whole_runs(iter(batches), 64, max_bytes=10)] == [300]
+    assert list(whole_runs(iter([]), 64)) == []
